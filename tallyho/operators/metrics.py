@@ -112,28 +112,32 @@ def latency_profile(df: DataFrame, latency: str = "latency_ms", by=None,
 
 
 def _seconds_between(a: Column, b: Column) -> Column:
-    return (F.unix_micros(b) - F.unix_micros(a)).cast("double") / F.lit(1e6)
+    """Seconds from ``a`` to ``b``; works for TIMESTAMP and TIMESTAMP_NTZ alike."""
+    return F.timestamp_diff("MICROSECOND", a, b).cast("double") / F.lit(1e6)
 
 
 def run_metrics(df: DataFrame, label: str = "label", latency: str = "latency_ms",
                 ts: str = "ts", error: Column | None = None, y_true: str | None = None,
-                y_pred: str | None = None, rounded: bool = True, approx: bool = False) -> DataFrame:
+                y_pred: str | None = None, rounded: bool = True, approx: bool = False,
+                keys: Sequence[str] = ()) -> DataFrame:
     """One benchmark record per run label.
 
     Wall time = first to last request; throughput = valid latencies / wall
     seconds (0 when the wall time is 0); accuracy = correct / max(1, rows with a
     truth value); failed requests still count their latency (only latencies
-    <= 0 are excluded).
+    <= 0 are excluded).  ``keys`` are extra grouping columns (e.g. a run id)
+    kept in the output.
     """
+    group = [label, *keys]
     err = F.coalesce(error, F.lit(False)) if error is not None else F.col("status") != F.lit("ok")
     x = df.withColumn("_err", err)
-    lat = latency_profile(x, latency, by=label, approx=approx)
+    lat = latency_profile(x, latency, by=group, approx=approx)
     agg = [F.count(F.lit(1)).alias("n_requests"), F.count_if(F.col("_err")).alias("n_errors"),
            F.min(ts).alias("_t0"), F.max(ts).alias("_t1")]
     if y_true and y_pred:
         agg += [F.count_if(F.col(y_true) == F.col(y_pred)).alias("_correct"),
                 F.count(F.col(y_true)).alias("_n_truth")]
-    base = x.groupBy(label).agg(*agg).join(lat, label)
+    base = x.groupBy(*group).agg(*agg).join(lat, group)
     wall = _seconds_between(F.col("_t0"), F.col("_t1"))
     n = F.col("n_requests")
     acc = (F.col("_correct") / F.greatest(F.lit(1), F.col("_n_truth"))) if y_true and y_pred \
@@ -164,7 +168,7 @@ def run_metrics(df: DataFrame, label: str = "label", latency: str = "latency_ms"
         if rounded and digits is not None:
             c = F.bround(c, digits)
         out.append(c.alias(name))
-    return base.select(*out)
+    return base.select(*out, *keys)
 
 
 def rolling_latency(df: DataFrame, n: int = spec.ROLLING_WINDOW, by=None,
@@ -185,9 +189,9 @@ def rolling_latency(df: DataFrame, n: int = spec.ROLLING_WINDOW, by=None,
     aggs = {
         "window_n": F.count(F.lit(1)),
         "error_count": F.sum("_err"),
-        "avg_latency": F.coalesce(F.avg("_valid"), F.lit(0.0)),
-        "p95_latency": F.coalesce(F.percentile(F.col("_valid"), F.lit(0.95)), F.lit(0.0)),
-        "p99_latency": F.coalesce(F.percentile(F.col("_valid"), F.lit(0.99)), F.lit(0.0)),
+        "_avg": F.avg("_valid"),
+        "_p95": F.percentile(F.col("_valid"), F.lit(0.95)),
+        "_p99": F.percentile(F.col("_valid"), F.lit(0.99)),
     }
     r = rolling_window(x, n, keys, list(order), aggs, chunk_rows=chunk_rows,
                        rows_per_part=rows_per_part)
@@ -201,7 +205,9 @@ def rolling_latency(df: DataFrame, n: int = spec.ROLLING_WINDOW, by=None,
         (F.col("window_n") - F.col("error_count")).alias("success_count"),
         F.col("error_count").cast("bigint").alias("error_count"),
         ((F.col("window_n") - F.col("error_count")) / F.col("window_n")).alias("success_rate"),
-        "avg_latency", "p95_latency", "p99_latency")
+        F.coalesce(F.col("_avg"), F.lit(0.0)).alias("avg_latency"),
+        F.coalesce(F.col("_p95"), F.lit(0.0)).alias("p95_latency"),
+        F.coalesce(F.col("_p99"), F.lit(0.0)).alias("p99_latency"))
 
 
 def tail_summary(df: DataFrame, n: int = spec.ROLLING_WINDOW, by=None,
@@ -265,7 +271,8 @@ def compare_runs(runs: DataFrame, base_label: str, other_label: str,
     diff = F.col("_d.abs_diff")
     eps = F.when(F.col("metric") == "accuracy", F.lit(spec.ACCURACY_EQUIVALENCE)).otherwise(F.lit(0.0))
     lower = F.col("metric").isin(LOWER_IS_BETTER)
-    verdict = (F.when(F.abs(F.col("other_value") - F.col("base_value")) <= eps, F.lit("equivalent"))
+    verdict = (F.when(F.col("base_value").isNull() | F.col("other_value").isNull(), F.lit(None))
+               .when(F.abs(F.col("other_value") - F.col("base_value")) <= eps, F.lit("equivalent"))
                .when(lower == (F.col("other_value") < F.col("base_value")), F.lit("better"))
                .otherwise(F.lit("worse")))
     is_time = F.col("metric") == "total_execution_time_sec"

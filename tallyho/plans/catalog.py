@@ -355,3 +355,378 @@ ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 500""")
 def q_sample_n(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return select.sample_n(o, 500, key="o_orderkey", seed=spec.SEED)
+
+
+# --- profiling --------------------------------------------------------------------------
+
+LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                    "l_extendedprice", "l_discount", "l_tax"]
+STUDENT_NUMERIC = [c for c in CLEAN_COLUMNS if c not in ("row_ix", "split", "age_raw")
+                   and c not in spec.DOMAINS and c not in ("gender", "race")]
+
+
+def _iqr_sql(ctes: str | None, table: str, cols: list[str], by: str | None) -> str:
+    g = f"{by}, " if by else ""
+    gb = f"GROUP BY {by}" if by else ""
+    join_on = f"USING ({by})" if by else "ON true"
+    parts = []
+    for c in cols:
+        parts.append(f"""SELECT {g}'{c}' AS column, round(q1, 6) AS q1, round(q3, 6) AS q3,
+  round(q1 - 1.5 * (q3 - q1), 6) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 6) AS upper_bound,
+  count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS n_outliers,
+  round(count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count(*) * 100.0, 6)
+    AS pct_outliers
+FROM {table} JOIN (SELECT {g}quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {table} {gb}) qs
+  {join_on} GROUP BY {g}q1, q3""")
+    body = "SELECT * FROM (" + "\nUNION ALL\n".join(parts) + ") WHERE n_outliers > 0"
+    return _with(ctes, body) if ctes else body
+
+
+@register("iqr_outliers", _iqr_sql(None, "lineitem", LINEITEM_NUMERIC, None))
+def q_iqr_outliers(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    return round_doubles(profile.iqr_outliers(li, LINEITEM_NUMERIC))
+
+
+@register("iqr_outliers_students", _iqr_sql(_labelled_ctes(), "labelled", STUDENT_NUMERIC, "split"))
+def q_iqr_outliers_students(spark, sf_dir):
+    return round_doubles(profile.iqr_outliers(labelled(spark, sf_dir), by="split"))
+
+
+def _threshold_sql() -> str:
+    parts = []
+    for v, t in spec.THRESHOLDS.items():
+        parts.append(f"""SELECT '{v}' AS variable, CAST({float(t)} AS DOUBLE) AS threshold, round(avg({v}), 6) AS mean,
+  round(median({v}), 6) AS median, round(stddev_samp({v}), 6) AS std, round(min({v}), 6) AS min,
+  round(max({v}), 6) AS max, count(*) FILTER (WHERE {v} >= {t}) AS n_above,
+  count(*) FILTER (WHERE {v} < {t}) AS n_below,
+  round(count(*) FILTER (WHERE {v} >= {t}) * 100.0 / count(*), 6) AS pct_above,
+  round(count(*) FILTER (WHERE {v} < {t}) * 100.0 / count(*), 6) AS pct_below FROM a""")
+    return _with(_labelled_ctes() + ",\na AS (SELECT *, (test_math + test_reading + test_science) / 3.0 "
+                 "AS avg_test_score FROM labelled)", "\nUNION ALL\n".join(parts))
+
+
+@register("threshold_profile", _threshold_sql())
+def q_threshold_profile(spark, sf_dir):
+    return round_doubles(profile.threshold_profile(labelled(spark, sf_dir)))
+
+
+@register("class_profile", _with(_labelled_ctes() + ",\na AS (SELECT *, (test_math + test_reading + "
+                                 "test_science) / 3.0 AS avg_test_score FROM labelled)", """
+SELECT pass_fail, count(*) AS n_rows, round(avg(gpa), 6) AS gpa_mean, round(median(gpa), 6) AS gpa_median,
+  round(avg(avg_test_score), 6) AS avg_test_score_mean, round(median(avg_test_score), 6) AS avg_test_score_median
+FROM a GROUP BY pass_fail"""))
+def q_class_profile(spark, sf_dir):
+    return round_doubles(profile.class_profile(labelled(spark, sf_dir)))
+
+
+@register("dataset_report", _with(_labelled_ctes(), f"""
+SELECT count(*) AS total_rows, CAST({len(CLEAN_COLUMNS) + 1} AS BIGINT) AS total_columns,
+  count(*) FILTER (WHERE pass_fail = 1) AS pass_count, count(*) FILTER (WHERE pass_fail = 0) AS fail_count,
+  round(count(*) FILTER (WHERE pass_fail = 1) * 100.0 / count(*), 6) AS pass_percentage,
+  round(count(*) FILTER (WHERE pass_fail = 0) * 100.0 / count(*), 6) AS fail_percentage FROM labelled"""))
+def q_dataset_report(spark, sf_dir):
+    return round_doubles(profile.dataset_report(labelled(spark, sf_dir)))
+
+
+@register("region_rate", _with(_labelled_ctes() + """,
+a AS (SELECT *, (test_math + test_reading + test_science) / 3.0 >= 73 AND attendance_rate >= 0.85 AS region
+      FROM labelled)""", """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE region) AS n_region,
+  count(*) FILTER (WHERE region AND pass_fail = 1) AS n_region_pass,
+  round(count(*) FILTER (WHERE region) * 100.0 / count(*), 6) AS pct_region,
+  round(count(*) FILTER (WHERE region AND pass_fail = 1) * 100.0 / NULLIF(count(*) FILTER (WHERE region), 0), 6)
+    AS pct_region_pass FROM a"""))
+def q_region_rate(spark, sf_dir):
+    return round_doubles(profile.region_rate(labelled(spark, sf_dir)))
+
+
+def _hist_sql(ctes: str | None, table: str, col: str, by: str | None, density: bool) -> str:
+    g = f"{by}, " if by else ""
+    gb = f"GROUP BY {by}" if by else ""
+    on = f"b.{by} = st.{by} AND " if by else ""
+    dens = (", round(COALESCE(c, 0) / (n * ((hi - lo) / 50.0)), 6) AS density" if density else "")
+    frag = f"""s0 AS (SELECT {g}min({col}) AS lo0, max({col}) AS hi0, count(*) AS n FROM {table}
+       WHERE {col} IS NOT NULL {gb}),
+st AS (SELECT {g}n, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+       CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM s0),
+b AS (SELECT {"t." + by + ", " if by else ""}CAST(least(floor((CAST({col} AS DOUBLE) - lo) * 50.0 / (hi - lo)), 49) AS INTEGER) AS bin,
+       count(*) AS c FROM {table} t JOIN st ON {"t." + by + " = st." + by if by else "true"}
+       WHERE {col} IS NOT NULL GROUP BY ALL),
+gr AS (SELECT st.*, CAST(i AS INTEGER) AS bin FROM st, range(0, 50) r(i))"""
+    body = f"""SELECT {"gr." + by + ", " if by else ""}gr.bin, round(lo + gr.bin * ((hi - lo) / 50.0), 6) AS bin_lo,
+  round(lo + (gr.bin + 1) * ((hi - lo) / 50.0), 6) AS bin_hi, CAST(COALESCE(c, 0) AS BIGINT) AS count{dens}
+FROM gr LEFT JOIN b ON {on.replace("st.", "gr.")}b.bin = gr.bin"""
+    return _with((ctes + ",\n" if ctes else "") + frag, body)
+
+
+@register("histogram", _hist_sql(None, "orders", "o_totalprice", None, False))
+def q_histogram(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    return round_doubles(profile.histogram(o, "o_totalprice", 50))
+
+
+@register("histogram_density", _hist_sql(_labelled_ctes(), "labelled", "gpa", "pass_fail", True))
+def q_histogram_density(spark, sf_dir):
+    return round_doubles(profile.histogram(labelled(spark, sf_dir), "gpa", 50, by="pass_fail", density=True))
+
+
+@register("kde", _with(_labelled_ctes() + """,
+base AS (SELECT pass_fail AS g, gpa AS v FROM labelled WHERE gpa IS NOT NULL),
+st AS (SELECT g, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM base GROUP BY g),
+tot AS (SELECT count(*) AS total FROM base),
+st2 AS (SELECT st.*, total, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st, tot),
+grid AS (SELECT g, n, total, bw, CAST(i AS INTEGER) AS grid_ix,
+         (lo - 3.0 * bw) + i * ((hi - lo + 6.0 * bw) / 199.0) AS x FROM st2, range(0, 200) r(i) WHERE bw > 0),
+vals AS (SELECT g, v, count(*) AS w FROM base GROUP BY g, v),
+s AS (SELECT grid.g, grid_ix, sum(w * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) AS s
+      FROM grid JOIN vals ON grid.g = vals.g GROUP BY grid.g, grid_ix)""", """
+SELECT grid.g AS pass_fail, grid.grid_ix, round(x, 6) AS x,
+  round(COALESCE(s.s, 0.0) / (CAST(total AS DOUBLE) * bw * sqrt(2 * pi())), 6) AS density
+FROM grid LEFT JOIN s ON grid.g = s.g AND grid.grid_ix = s.grid_ix"""))
+def q_kde(spark, sf_dir):
+    return round_doubles(profile.kde(labelled(spark, sf_dir), "gpa", by=spec.TARGET))
+
+
+# --- model metrics on labels ----------------------------------------------------------------
+
+def _labels_pred(spark, sf_dir):
+    lab = read_table(spark, sf_dir, "labels")
+    return lab.select("doc_id", F.col("quality").alias("y_true"), (1 - F.col("toxic")).alias("y_pred"))
+
+
+_METRIC_SELECT = """tn, fp, fn, tp, tn + fp + fn + tp AS n,
+  round(COALESCE((tp + tn) / NULLIF(tn + fp + fn + tp, 0), 0.0), 6) AS accuracy,
+  round(COALESCE(tp / NULLIF(tp + fp, 0), 0.0), 6) AS precision,
+  round(COALESCE(tp / NULLIF(tp + fn, 0), 0.0), 6) AS recall,
+  round(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0), 6) AS f1,
+  round(COALESCE((tp + fn) / NULLIF(tn + fp + fn + tp, 0), 0.0), 6) AS actual_positive_rate,
+  round(COALESCE((tp + fp) / NULLIF(tn + fp + fn + tp, 0), 0.0), 6) AS predicted_positive_rate"""
+_CELLS = """count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn, count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp,
+  count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn, count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp"""
+
+
+@register("binary_metrics", f"""
+WITH p AS (SELECT quality AS y_true, 1 - toxic AS y_pred FROM labels),
+c AS (SELECT {_CELLS} FROM p)
+SELECT {_METRIC_SELECT} FROM c""")
+def q_binary_metrics(spark, sf_dir):
+    return round_doubles(metrics.binary_metrics(_labels_pred(spark, sf_dir)))
+
+
+@register("class_weights", """
+SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) FILTER (WHERE quality = 0) AS n_neg,
+  round(CASE WHEN count(*) FILTER (WHERE quality = 1) = 0 THEN 1.0
+        ELSE count(*) FILTER (WHERE quality = 0) / count(*) FILTER (WHERE quality = 1) END, 6) AS imbalance_ratio,
+  round(count(*) / NULLIF(2.0 * count(*) FILTER (WHERE quality = 1), 0), 6) AS weight_pos,
+  round(count(*) / NULLIF(2.0 * count(*) FILTER (WHERE quality = 0), 0), 6) AS weight_neg FROM labels""")
+def q_class_weights(spark, sf_dir):
+    return round_doubles(metrics.class_weights(read_table(spark, sf_dir, "labels"), y="quality"))
+
+
+# Candidate "models" derived from the labels table, in training order.
+CANDIDATES = [("not_toxic", "1 - toxic"), ("always_pass", "1"), ("always_fail", "0"), ("toxic", "toxic")]
+
+
+@register("select_best", "WITH p AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, {i} AS train_order, quality AS y_true, CAST({e} AS INTEGER) AS y_pred FROM labels"
+    for i, (m, e) in enumerate(CANDIDATES)) + f"""),
+c AS (SELECT model, train_order, {_CELLS} FROM p GROUP BY model, train_order),
+f AS (SELECT model, train_order, COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0) AS f1 FROM c)
+SELECT model AS best_model, round(f1, 6) AS best_f1 FROM f ORDER BY f1 DESC, train_order LIMIT 1""")
+def q_select_best(spark, sf_dir):
+    lab = read_table(spark, sf_dir, "labels")
+    preds = lab.select(F.col("quality").alias("y_true"), *[
+        F.expr(e).cast("int").alias(m) for m, e in CANDIDATES])
+    long = preds.unpivot(["y_true"], [m for m, _ in CANDIDATES], "model", "y_pred")
+    order = F.create_map(*[x for i, (m, _) in enumerate(CANDIDATES) for x in (F.lit(m), F.lit(i))])
+    long = long.withColumn("train_order", order[F.col("model")])
+    scored = metrics.binary_metrics(long, by=["model", "train_order"])
+    return round_doubles(metrics.select_best(scored))
+
+
+@register("align_predictions", f"""
+WITH p AS (SELECT d.lang, l.quality AS y_true, 1 - l.toxic AS y_pred FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+c AS (SELECT lang, {_CELLS} FROM p GROUP BY lang)
+SELECT lang, {_METRIC_SELECT} FROM c""")
+def q_align_predictions(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    pairs = metrics.align_predictions(docs, _labels_pred(spark, sf_dir), "doc_id")
+    return round_doubles(metrics.binary_metrics(pairs, by="lang"))
+
+
+# --- service metrics on events -------------------------------------------------------------
+
+ERROR_SQL = "event_type = 'error'"
+
+
+def _events(spark, sf_dir):
+    return read_table(spark, sf_dir, "events")
+
+
+def _is_error():
+    return F.col("event_type") == F.lit("error")
+
+
+_LAT = "CASE WHEN value > 0 THEN value END"
+
+
+@register("latency_profile", f"""
+SELECT event_type, count({_LAT}) AS n_valid, round(COALESCE(avg({_LAT}), 0.0), 6) AS avg_latency_ms,
+  round(COALESCE(quantile_cont({_LAT}, 0.5), 0.0), 6) AS median_latency_ms,
+  round(COALESCE(min({_LAT}), 0.0), 6) AS min_latency_ms, round(COALESCE(max({_LAT}), 0.0), 6) AS max_latency_ms,
+  round(COALESCE(quantile_cont({_LAT}, 0.5), 0.0), 6) AS p50_latency_ms,
+  round(COALESCE(quantile_cont({_LAT}, 0.95), 0.0), 6) AS p95_latency_ms,
+  round(COALESCE(quantile_cont({_LAT}, 0.99), 0.0), 6) AS p99_latency_ms
+FROM events GROUP BY event_type""")
+def q_latency_profile(spark, sf_dir):
+    return round_doubles(metrics.latency_profile(_events(spark, sf_dir), "value", by="event_type"))
+
+
+def _run_metrics_sql(extra: str = "") -> str:
+    g = f", {extra}" if extra else ""
+    wall = "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6"
+    return f"""SELECT event_type AS label, strftime(max(ts), '%Y%m%d_%H%M%S') AS timestamp,
+  count(*) AS n_requests, count(*) FILTER (WHERE {ERROR_SQL}) AS n_errors,
+  round_even(count(*) FILTER (WHERE {ERROR_SQL}) / count(*), 4) AS error_rate,
+  round_even({wall}, 3) AS total_execution_time_sec,
+  round_even({wall} * 1000.0, 2) AS total_execution_time_ms,
+  round_even(COALESCE(min({_LAT}), 0.0), 3) AS min_latency_ms,
+  round_even(COALESCE(avg({_LAT}), 0.0), 3) AS avg_latency_ms,
+  round_even(COALESCE(quantile_cont({_LAT}, 0.5), 0.0), 3) AS median_latency_ms,
+  round_even(COALESCE(quantile_cont({_LAT}, 0.5), 0.0), 3) AS p50_latency_ms,
+  round_even(COALESCE(quantile_cont({_LAT}, 0.95), 0.0), 3) AS p95_latency_ms,
+  round_even(COALESCE(quantile_cont({_LAT}, 0.99), 0.0), 3) AS p99_latency_ms,
+  round_even(COALESCE(max({_LAT}), 0.0), 3) AS max_latency_ms,
+  round_even(CASE WHEN {wall} > 0 THEN count({_LAT}) / ({wall}) ELSE 0.0 END, 2) AS throughput_req_per_sec,
+  CAST(NULL AS DOUBLE) AS accuracy,
+  round_even((count(*) - count(*) FILTER (WHERE {ERROR_SQL})) / count(*), 4) AS success_rate,
+  round_even((count(*) - count(*) FILTER (WHERE {ERROR_SQL})) / count(*) * 100.0, 2) AS reliability_percent{g}
+FROM events GROUP BY event_type{g}"""
+
+
+@register("run_metrics", _run_metrics_sql())
+def q_run_metrics(spark, sf_dir):
+    return metrics.run_metrics(_events(spark, sf_dir), label="event_type", latency="value", ts="ts",
+                               error=_is_error())
+
+
+def runs_table(spark, sf_dir) -> DataFrame:
+    """Benchmark records per (event_type, day) run, derived from the events log."""
+    e = _events(spark, sf_dir).withColumn("run_day", F.to_date("ts"))
+    r = metrics.run_metrics(e, label="event_type", latency="value", ts="ts", error=_is_error(),
+                            keys=["run_day"])
+    return r.drop("run_day")
+
+
+_RUNS_SQL = ("runs AS (" + _run_metrics_sql("CAST(ts AS DATE)").replace(
+    ", CAST(ts AS DATE)\nFROM", "\nFROM") + ")")
+
+
+@register("latest_run", f"""WITH {_RUNS_SQL}
+SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY label ORDER BY timestamp DESC) = 1""")
+def q_latest_run(spark, sf_dir):
+    return metrics.latest_run(runs_table(spark, sf_dir))
+
+
+def _compare_sql(base: str, other: str) -> str:
+    ms = metrics.COMPARED_METRICS
+    unp = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in ms)
+    points = ", ".join(f"'{m}'" for m in spec.POINT_METRICS)
+    lower = ", ".join(f"'{m}'" for m in metrics.LOWER_IS_BETTER)
+    return f"""WITH {_RUNS_SQL},
+latest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY label ORDER BY timestamp DESC) = 1),
+w AS (SELECT label, {unp} FROM latest WHERE label IN ('{base}', '{other}')),
+l AS (UNPIVOT INCLUDE NULLS w ON {", ".join(ms)} INTO NAME metric VALUE value),
+j AS (SELECT b.metric, b.value AS base_value, o.value AS other_value FROM
+      (SELECT * FROM l WHERE label = '{base}') b FULL JOIN (SELECT * FROM l WHERE label = '{other}') o
+      ON b.metric = o.metric),
+d AS (SELECT *, CASE WHEN base_value = 0 THEN 0.0 ELSE other_value - base_value END AS abs_diff,
+      CASE WHEN base_value = 0 THEN 0.0 WHEN metric IN ({points}) THEN other_value - base_value
+           ELSE (other_value - base_value) / base_value * 100.0 END AS pct_diff FROM j)
+SELECT metric, base_value, other_value, round(abs_diff, 6) AS abs_diff, round(pct_diff, 6) AS pct_diff,
+  base_value = 0 AS base_zero,
+  CASE WHEN base_value IS NULL OR other_value IS NULL THEN NULL
+       WHEN abs(other_value - base_value) <= CASE WHEN metric = 'accuracy' THEN 0.001 ELSE 0.0 END THEN 'equivalent'
+       WHEN (metric IN ({lower})) = (other_value < base_value) THEN 'better' ELSE 'worse' END AS verdict
+FROM d"""
+
+
+@register("compare_runs", _compare_sql("click", "view"))
+def q_compare_runs(spark, sf_dir):
+    c = metrics.compare_runs(runs_table(spark, sf_dir), "click", "view")
+    return round_doubles(c.drop("display").withColumn("abs_diff", F.round("abs_diff", 6))
+                         .withColumn("pct_diff", F.round("pct_diff", 6)), 12)
+
+
+@register("rolling_latency", """
+WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN 0.0 ELSE value END AS lat FROM events),
+w AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS request_count,
+        count(*) OVER win AS window_n,
+        CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER win AS BIGINT) AS error_count,
+        avg(CASE WHEN lat > 0 THEN lat END) OVER win AS a,
+        quantile_cont(CASE WHEN lat > 0 THEN lat END, 0.95) OVER win AS p95,
+        quantile_cont(CASE WHEN lat > 0 THEN lat END, 0.99) OVER win AS p99,
+        min(ts) OVER () AS t0
+      FROM e WINDOW win AS (ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
+SELECT event_id, ts, user_id, event_type, value, props, request_count,
+  round((epoch_us(ts) - epoch_us(t0)) / 1e6, 6) AS uptime_sec, window_n,
+  window_n - error_count AS success_count, error_count,
+  round((window_n - error_count) / window_n, 6) AS success_rate,
+  round(COALESCE(a, 0.0), 6) AS avg_latency, round(COALESCE(p95, 0.0), 6) AS p95_latency,
+  round(COALESCE(p99, 0.0), 6) AS p99_latency FROM w""")
+def q_rolling_latency(spark, sf_dir):
+    r = metrics.rolling_latency(_events(spark, sf_dir), n=100, by=None, order=["ts", "event_id"],
+                                latency="value", error=_is_error(), chunk_rows=1_000,
+                                rows_per_part=2_000)
+    computed = ["uptime_sec", "success_rate", "avg_latency", "p95_latency", "p99_latency"]
+    return r.select(*[F.round(c, 6).alias(c) if c in computed else F.col(c) for c in r.columns])
+
+
+@register("tail_summary", """
+WITH t AS (SELECT *, event_type = 'error' AS err FROM events ORDER BY ts DESC, event_id DESC LIMIT 100),
+v AS (SELECT *, CASE WHEN NOT err AND value > 0 THEN value END AS lat FROM t)
+SELECT count(*) AS n_window, count(*) FILTER (WHERE NOT err) AS n_success, count(*) FILTER (WHERE err) AS n_errors,
+  round(COALESCE(avg(lat), 0.0), 6) AS avg_latency, round(COALESCE(quantile_cont(lat, 0.5), 0.0), 6) AS p50_latency,
+  round(COALESCE(quantile_cont(lat, 0.95), 0.0), 6) AS p95_latency,
+  round(COALESCE(quantile_cont(lat, 0.99), 0.0), 6) AS p99_latency,
+  round(COALESCE(min(lat), 0.0), 6) AS min_latency, round(COALESCE(max(lat), 0.0), 6) AS max_latency,
+  round(count(*) FILTER (WHERE NOT err) / count(*), 6) AS success_rate FROM v""")
+def q_tail_summary(spark, sf_dir):
+    return round_doubles(metrics.tail_summary(_events(spark, sf_dir), n=100, order=["ts", "event_id"],
+                                              latency="value", error=_is_error(), rows_per_part=2_000))
+
+
+# --- attributions on embeddings ---------------------------------------------------------------
+
+EMB_SLOTS = 64
+EMB_PER_BASE = 8
+EMB_BASES = [f"e{b}" for b in range(EMB_SLOTS // EMB_PER_BASE)]
+
+
+@register("top_factors", """
+WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM embeddings),
+m AS (SELECT vec_id, (i - 1) // 8 AS b, avg(CAST(v AS DOUBLE)) AS impact FROM u GROUP BY vec_id, b),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(impact) DESC, b) AS rk FROM m)
+SELECT vec_id, CAST(rk AS INTEGER) AS rank, 'e' || CAST(b AS VARCHAR) AS feature, round(impact, 6) AS impact,
+  CASE WHEN impact >= 0 THEN 'positive' ELSE 'negative' END AS direction,
+  CASE WHEN impact >= 0 THEN 'Increases pass probability' ELSE 'Decreases pass probability' END AS description
+FROM r WHERE rk <= 3""")
+def q_top_factors(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    slot_base = [i // EMB_PER_BASE for i in range(EMB_SLOTS)]
+    x = explain.rollup_attributions(emb, "embedding", slot_base, EMB_BASES)
+    x = explain.top_factors(x, k=spec.TOP_FACTORS)
+    return round_doubles(explain.explode_factors(x, ["vec_id"]))
+
+
+@register("rollup_attributions", """
+WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM embeddings)
+SELECT vec_id, 'e' || CAST((i - 1) // 8 AS VARCHAR) AS feature, round(avg(CAST(v AS DOUBLE)), 6) AS impact
+FROM u GROUP BY vec_id, (i - 1) // 8""")
+def q_rollup_attributions(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    slot_base = [i // EMB_PER_BASE for i in range(EMB_SLOTS)]
+    x = explain.rollup_attributions(emb, "embedding", slot_base, EMB_BASES)
+    x = x.select("vec_id", F.explode("attributions").alias("a"))
+    return x.select("vec_id", "a.feature", F.round("a.impact", 6).alias("impact"))
