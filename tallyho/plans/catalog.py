@@ -637,7 +637,7 @@ def _compare_sql(base: str, other: str) -> str:
     return f"""WITH {_RUNS_SQL},
 latest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY label ORDER BY timestamp DESC) = 1),
 w AS (SELECT label, {unp} FROM latest WHERE label IN ('{base}', '{other}')),
-l AS (UNPIVOT INCLUDE NULLS w ON {", ".join(ms)} INTO NAME metric VALUE value),
+l AS (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR metric IN ({", ".join(ms)}))),
 j AS (SELECT b.metric, b.value AS base_value, o.value AS other_value FROM
       (SELECT * FROM l WHERE label = '{base}') b FULL JOIN (SELECT * FROM l WHERE label = '{other}') o
       ON b.metric = o.metric),
