@@ -730,3 +730,143 @@ def q_rollup_attributions(spark, sf_dir):
     x = explain.rollup_attributions(emb, "embedding", slot_base, EMB_BASES)
     x = x.select("vec_id", F.explode("attributions").alias("a"))
     return x.select("vec_id", "a.feature", F.round("a.impact", 6).alias("impact"))
+
+
+# --- contract, conditions, payloads, prompts, completions --------------------------------------
+
+def _requests(spark, sf_dir) -> DataFrame:
+    """Request rows from the raw student view: age as sent (text), GPA as ``actual_gpa``."""
+    s = students(spark, sf_dir)
+    return s.select("row_ix", F.col("age_raw").alias("age"), *[c for c in spec.CONTRACT_FIELDS if c != "age"],
+                    F.col("gpa").alias("actual_gpa"))
+
+
+def _contract_sql() -> str:
+    checks = []
+    for f, (typ, lo, hi) in {**spec.CONTRACT_FIELDS, **spec.OPTIONAL_CONTRACT_FIELDS}.items():
+        src = {"age": "age_raw", "actual_gpa": "gpa"}.get(f, f)
+        required = f in spec.CONTRACT_FIELDS
+        if required:
+            checks.append(f"CASE WHEN {src} IS NULL THEN '{f}:missing' END")
+        if typ in ("int", "float"):
+            num = f"TRY_CAST(trim({src}) AS DOUBLE)" if f == "age" else f"CAST({src} AS DOUBLE)"
+            if f == "age":
+                checks.append(f"CASE WHEN {src} IS NOT NULL AND {num} IS NULL THEN '{f}:type' END")
+                checks.append(f"CASE WHEN {num} IS NOT NULL AND {num} <> floor({num}) THEN '{f}:type' END")
+            if lo is not None:
+                checks.append(f"CASE WHEN {num} < {lo} THEN '{f}:below' END")
+            if hi is not None:
+                checks.append(f"CASE WHEN {num} > {hi} THEN '{f}:above' END")
+    lst = f"list_filter([{', '.join(checks)}], lambda x: x IS NOT NULL)"
+    return _with(_students_cte() + f",\nv AS (SELECT row_ix, {lst} AS vs FROM students)",
+                 "SELECT row_ix, array_to_string(vs, ',') AS violations, CAST(len(vs) AS INTEGER) AS n_violations, "
+                 "len(vs) = 0 AS is_valid FROM v")
+
+
+@register("validate_contract", _contract_sql())
+def q_validate_contract(spark, sf_dir):
+    from tallyho.operators.contract import validate_contract
+    v = validate_contract(_requests(spark, sf_dir))
+    return v.select("row_ix", F.array_join("violations", ",").alias("violations"),
+                    F.size("violations").alias("n_violations"), "is_valid")
+
+
+@register("failed_conditions", _with(_labelled_ctes() + """,
+c AS (SELECT row_ix, pass_fail, COALESCE(attendance_rate < 0.85, false) AS a, COALESCE(study_hours < 2.0, false) AS t,
+      COALESCE(attendance_rate < 0.80 OR study_hours < 1.5, false) AS g FROM labelled)""", """
+SELECT row_ix, CASE WHEN pass_fail = 0 THEN g END AS fc_gpa,
+  CASE WHEN pass_fail = 0 THEN t OR NOT (a OR t OR g) END AS fc_test_score,
+  CASE WHEN pass_fail = 0 THEN a OR NOT (a OR t OR g) END AS fc_attendance FROM c"""))
+def q_failed_conditions(spark, sf_dir):
+    x = label.failed_conditions(labelled(spark, sf_dir), label_col=spec.TARGET)
+    m = F.col("failed_conditions")
+    return x.select("row_ix", m["gpa"].alias("fc_gpa"), m["test_score"].alias("fc_test_score"),
+                    m["attendance"].alias("fc_attendance"))
+
+
+_PAYLOAD_COLS = [c for c in CLEAN_COLUMNS if c not in
+                 ["row_ix", *spec.LEAKAGE_COLUMNS, *spec.PROTECTED_COLUMNS, spec.TARGET]]
+
+
+@register("to_payload_json", _with(_cleaned_ctes(), "SELECT row_ix, CAST(to_json({" + ", ".join(
+    f"'{c}': {c}" for c in _PAYLOAD_COLS) + "}) AS VARCHAR) AS payload FROM cleaned"))
+def q_to_payload_json(spark, sf_dir):
+    return select.to_payload_json(cleaned(spark, sf_dir))
+
+
+def _prompt_sql() -> str:
+    from tallyho.operators.prompts import java_format
+
+    def sq(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def prof(note: str) -> str:
+        fmt, names = java_format(spec.PROFILE_BLOCK)
+        vals = {
+            "age": "COALESCE(CAST(age AS VARCHAR), 'N/A')", "grade": "COALESCE(CAST(grade AS VARCHAR), 'N/A')",
+            "attendance_pct": "printf('%.1f', COALESCE(attendance_rate, 0.0) * 100.0)",
+            "attendance_note": sq(note), "study_hours": "printf('%.1f', COALESCE(study_hours, 0.0))",
+            "free_time": "COALESCE(CAST(free_time AS VARCHAR), 'N/A')",
+            "go_out": "COALESCE(CAST(go_out AS VARCHAR), 'N/A')",
+            "ses_quartile": "COALESCE(CAST(ses_quartile AS VARCHAR), 'N/A')",
+        }
+        for c in ("extracurricular", "part_time_job", "parent_support", "internet_access"):
+            vals[c] = f"CASE WHEN {c} = 1 THEN 'Yes' ELSE 'No' END"
+        for c in ("parental_education", "school_type", "locale"):
+            vals[c] = f"COALESCE({c}, 'N/A')"
+        return f"printf({sq(fmt)}, {', '.join(vals[n] for n in names)})"
+
+    ct = spec.CONDITION_TEXTS
+    items = (f"list_filter([CASE WHEN g THEN {sq(ct['gpa'])} END, CASE WHEN t OR NOT (a OR t OR g) THEN "
+             f"{sq(ct['test_score'])} END, CASE WHEN a OR NOT (a OR t OR g) THEN {sq(ct['attendance'])} END], "
+             "lambda x: x IS NOT NULL)")
+    cond = (f"CASE WHEN len({items}) = 0 THEN {sq(spec.NO_CONDITION_TEXT)} ELSE "
+            f"{sq(spec.CONDITION_HEADER)} || array_to_string({items}, chr(10) || '- ') END")
+    fmt_r, names_r = java_format(spec.AT_RISK_TEMPLATE)
+    fmt_g, names_g = java_format(spec.GOOD_STANDING_TEMPLATE)
+    risk_vals = {"profile": prof(spec.AT_RISK_ATTENDANCE_NOTE), "conditions": cond, "factors": "''"}
+    good_vals = {"profile": prof(spec.GOOD_STANDING_ATTENDANCE_NOTE), "factors": "''"}
+    risk = f"printf({sq(fmt_r)}, {', '.join(risk_vals[n] for n in names_r)})"
+    good = f"printf({sq(fmt_g)}, {', '.join(good_vals[n] for n in names_g)})"
+    return _with(_labelled_ctes() + """,
+c AS (SELECT *, COALESCE(attendance_rate < 0.85, false) AS a, COALESCE(study_hours < 2.0, false) AS t,
+      COALESCE(attendance_rate < 0.80 OR study_hours < 1.5, false) AS g FROM labelled)""", f"""
+SELECT row_ix, CASE WHEN pass_fail = 0 THEN 'at_risk' ELSE 'good_standing' END AS route,
+  CASE WHEN pass_fail = 0 THEN {sq(spec.AT_RISK_SYSTEM)} ELSE {sq(spec.GOOD_STANDING_SYSTEM)} END AS system_prompt,
+  CASE WHEN pass_fail = 0 THEN {risk} ELSE {good} END AS prompt,
+  CASE WHEN pass_fail = 0 THEN {spec.AT_RISK_MAX_TOKENS} ELSE {spec.GOOD_STANDING_MAX_TOKENS} END AS max_tokens,
+  CAST({spec.TEMPERATURE} AS DOUBLE) AS temperature FROM c""")
+
+
+@register("build_prompts", _prompt_sql())
+def q_build_prompts(spark, sf_dir):
+    from tallyho.operators.prompts import build_prompts
+    return build_prompts(labelled(spark, sf_dir), label_col=spec.TARGET)
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+@register("parse_completions", f"""
+WITH t AS (SELECT conv_id, turn, {_strip_sql('text')} AS content FROM conversations WHERE role = 'assistant'),
+i AS (SELECT *, CASE WHEN content LIKE '%```json%' THEN {_strip_sql("split_part(split_part(content, '```json', 2), '```', 1)")}
+                     WHEN content LIKE '%```%' THEN {_strip_sql("split_part(content, '```', 2)")}
+                     ELSE content END AS inner_text FROM t),
+s AS (SELECT *, CASE WHEN length(content) = 0 THEN 'fallback_error'
+                     WHEN NOT json_valid(inner_text) THEN 'fallback_invalid_json'
+                     WHEN json_type(inner_text, '$.recommendations') IS DISTINCT FROM 'ARRAY' THEN 'fallback_error'
+                     ELSE 'ok' END AS status FROM i)
+SELECT conv_id, turn, status,
+  CASE status WHEN 'fallback_invalid_json' THEN 'Focus on consistent attendance and dedicated study time.'
+              WHEN 'fallback_error' THEN 'Seek support from academic advisors and teachers.'
+              ELSE COALESCE(json_extract_string(inner_text, '$.summary'), 'Focus on improving the areas identified above.')
+  END AS summary,
+  CASE WHEN status = 'ok' THEN CAST(json_array_length(inner_text, '$.recommendations') AS INTEGER) ELSE 1 END
+    AS n_recommendations
+FROM s""")
+def q_parse_completions(spark, sf_dir):
+    from tallyho.operators.prompts import parse_completions
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    p = parse_completions(conv.select("conv_id", "turn", F.col("text").alias("completion")))
+    return p.select("conv_id", "turn", "status", "summary", F.size("recommendations").alias("n_recommendations"))

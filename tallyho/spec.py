@@ -170,3 +170,110 @@ ATTRIBUTION = T.StructType([
     T.StructField("direction", T.StringType()),
     T.StructField("description", T.StringType()),
 ])
+
+# --- FIXED VALUES: prompt templates ----------------------------------------------
+# Placeholders in braces are filled per row; every other character is literal.
+
+AT_RISK_SYSTEM = """You are an expert academic advisor helping at-risk students improve their academic performance.
+Your role is to analyze student profiles and provide personalized, actionable recommendations.
+
+Guidelines:
+1. Be encouraging and supportive - focus on what students CAN do
+2. Provide specific, actionable steps (not vague advice)
+3. Prioritize recommendations (most impactful first)
+4. Consider the student's context (age, grade, resources available)
+5. Be realistic about timelines
+6. Focus on areas where the student is struggling
+
+Always structure your response as a JSON object with this format:
+{
+    "recommendations": [
+        {
+            "priority": 1,
+            "category": "Attendance|TestScore|GPA|General",
+            "action": "Specific actionable step",
+            "reason": "Why this helps",
+            "timeline": "Expected timeline for improvement"
+        }
+    ],
+    "summary": "Brief encouraging summary"
+}
+
+Provide 3-5 recommendations, prioritized by impact."""
+
+GOOD_STANDING_SYSTEM = """You are an expert academic advisor helping successful students maintain and excel in their academic performance.
+Your role is to analyze student profiles and provide personalized, encouraging guidance for continued success.
+
+Guidelines:
+1. Be positive and celebratory - acknowledge their current success
+2. Provide specific, actionable steps for maintaining excellence and growth
+3. Focus on prevention - help them avoid common pitfalls
+4. Suggest opportunities for further growth and excellence
+5. Consider their context (age, grade, resources available)
+6. Keep recommendations concise and encouraging
+
+Always structure your response as a JSON object with this format:
+{
+    "recommendations": [
+        {
+            "priority": 1,
+            "category": "Maintenance|Growth|Prevention|General",
+            "action": "Specific actionable step",
+            "reason": "Why this helps maintain/excel",
+            "timeline": "When to implement this"
+        }
+    ],
+    "summary": "Brief encouraging summary celebrating their success"
+}
+
+Provide 2-4 concise recommendations focused on maintenance and growth."""
+
+PROFILE_BLOCK = """Student Profile:
+- Age: {age}, Grade: {grade}
+- Attendance Rate: {attendance_pct}% ({attendance_note})
+- Study Hours per day: {study_hours} hours
+- Extracurricular Activities: {extracurricular}
+- Part-time Job: {part_time_job}
+- Parent Support: {parent_support}
+- Internet Access: {internet_access}
+- Free Time Level: {free_time}/5
+- Social Activity Level: {go_out}/5
+- Parental Education: {parental_education}
+- School Type: {school_type}
+- Location: {locale}
+- Socioeconomic Status: Quartile {ses_quartile}/4"""
+
+AT_RISK_TEMPLATE = """Analyze this at-risk student's profile and provide personalized guidance:
+
+{profile}
+
+{conditions}
+{factors}
+
+Provide personalized recommendations that:
+1. Address the specific areas where the student is struggling
+2. Are realistic given their circumstances
+3. Include actionable steps they can take immediately
+4. Consider their available resources (internet, parent support, etc.)
+
+Return your response as a valid JSON object following the format specified in the system prompt."""
+
+GOOD_STANDING_TEMPLATE = """Analyze this successful student's profile and provide personalized encouragement and growth guidance:
+
+{profile}
+
+{factors}
+
+This student is currently in good academic standing (GPA >= 2.0 and Average Test Score >= 73).
+
+Provide personalized guidance that:
+1. Celebrates their current success and strengths
+2. Offers specific tips to maintain their excellent performance
+3. Suggests opportunities for further growth and excellence
+4. Warns about common pitfalls that successful students might face
+5. Is encouraging and motivating
+
+Return your response as a valid JSON object following the format specified in the system prompt."""
+
+AT_RISK_ATTENDANCE_NOTE = "Target: 85%"
+GOOD_STANDING_ATTENDANCE_NOTE = "Excellent: above 85%"
