@@ -87,7 +87,7 @@ def with_part(df: DataFrame, keys: Sequence[str], order_cols: Sequence[Column],
 
 def with_sequence(df: DataFrame, by, order: Sequence[str | Column], seq_col: str = "_seq",
                   count_col: str | None = None, rows_per_part: int = ROWS_PER_PART,
-                  num_parts: int | None = None) -> DataFrame:
+                  num_parts: int | None = None, cut_lineage: bool = False) -> DataFrame:
     """Add a 0-based dense ordinal ``seq_col`` per ``by`` group ordered by ``order``.
 
     ``order`` must be a total order (end with a unique key).  Rows are cut into
@@ -95,8 +95,13 @@ def with_sequence(df: DataFrame, by, order: Sequence[str | Column], seq_col: str
     split across many parts); the ordinal inside a part is a window over that
     part only, and a tiny table of per-(group, part) counts gives each part's
     starting offset.  With ``count_col`` the group size is added as well.
+    ``cut_lineage=True`` first checkpoints the input to the shared folder so an
+    expensive upstream plan runs once instead of once per pass (count, sample,
+    numbering).
     """
     keys = _by(by)
+    if cut_lineage:
+        df = materialize(df)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     x = with_part(df, keys, order_cols, rows_per_part, num_parts)
     counts = x.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -116,10 +121,12 @@ def with_sequence(df: DataFrame, by, order: Sequence[str | Column], seq_col: str
 
 
 def head_rows(df: DataFrame, limits: int | dict[str, int], by="split",
-              order: Sequence[str] = ("row_ix",), rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+              order: Sequence[str] = ("row_ix",), rows_per_part: int = ROWS_PER_PART,
+              cut_lineage: bool = False) -> DataFrame:
     """First N rows of each group in ``order`` (L1/L5); N may differ per group value."""
     keys = _by(by)
-    seq = with_sequence(df, keys, list(order), "_seq", rows_per_part=rows_per_part)
+    seq = with_sequence(df, keys, list(order), "_seq", rows_per_part=rows_per_part,
+                        cut_lineage=cut_lineage)
     if isinstance(limits, dict):
         if len(keys) != 1:
             raise ValueError("per-group limits need exactly one group column")
@@ -133,17 +140,17 @@ def head_rows(df: DataFrame, limits: int | dict[str, int], by="split",
 
 
 def tail_rows(df: DataFrame, n: int, by=None, order: Sequence[str] = ("row_ix",),
-              rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+              rows_per_part: int = ROWS_PER_PART, cut_lineage: bool = False) -> DataFrame:
     """Last ``n`` rows of each group in ``order``."""
     keys = _by(by)
     seq = with_sequence(df, keys, list(order), "_seq", count_col="_n",
-                        rows_per_part=rows_per_part)
+                        rows_per_part=rows_per_part, cut_lineage=cut_lineage)
     return seq.where(F.col("_seq") >= F.col("_n") - F.lit(int(n))).drop("_seq", "_n")
 
 
 def fill_forward(df: DataFrame, columns: Sequence[str] | None = None, by=None,
                  order: Sequence[str] = ("row_ix",), chunk_rows: int = 1_000_000,
-                 rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+                 rows_per_part: int = ROWS_PER_PART, cut_lineage: bool = False) -> DataFrame:
     """Replace each NULL by the last earlier non-NULL value in row order.
 
     Two phases: rows are cut into chunks of ``chunk_rows`` consecutive ordinals;
@@ -154,7 +161,8 @@ def fill_forward(df: DataFrame, columns: Sequence[str] | None = None, by=None,
     keys = _by(by)
     skip = set(keys) | set(order)
     cols = [c for c in (columns or df.columns) if c not in skip]
-    seq = with_sequence(df, keys, list(order), "_seq", rows_per_part=rows_per_part)
+    seq = with_sequence(df, keys, list(order), "_seq", rows_per_part=rows_per_part,
+                        cut_lineage=cut_lineage)
     seq = seq.withColumn("_chunk", F.floor(F.col("_seq") / F.lit(int(chunk_rows))))
     inner = (Window.partitionBy(*keys, "_chunk").orderBy("_seq")
              .rowsBetween(Window.unboundedPreceding, 0))

@@ -50,6 +50,35 @@ def column_modes(df: DataFrame, exprs: dict[str, Column], by=None,
     return wide.select(*keys, *[F.col(n).alias(n + suffix) for n in names])
 
 
+def mixed_modes(df: DataFrame, numeric: dict[str, Column], text: dict[str, Column], by=None) -> DataFrame:
+    """Modes of numeric and text expressions in one aggregation pass.
+
+    Values are unpivoted as ``struct(num, txt)`` (one side NULL), so a single
+    partial-aggregated count and one ``min_by`` serve both kinds: numeric ties
+    go to the smallest number, text ties to the smallest string.  Output: one
+    row per group with ``<name>_mode`` columns of the input types.
+    """
+    keys = _by(by)
+    packed = {n: F.struct(e.cast("double").alias("num"), F.lit(None).cast("string").alias("txt"))
+              for n, e in numeric.items()}
+    packed.update({n: F.struct(F.lit(None).cast("double").alias("num"), e.cast("string").alias("txt"))
+                   for n, e in text.items()})
+    names = list(packed)
+    long = df.select(*keys, *[e.alias(n) for n, e in packed.items()]).unpivot(
+        keys, names, "_column", "_value")
+    counts = (long.where(F.col("_value.num").isNotNull() | F.col("_value.txt").isNotNull())
+              .groupBy(*keys, "_column", "_value").agg(F.count(F.lit(1)).alias("_n")))
+    best = counts.groupBy(*keys, "_column").agg(
+        F.min_by("_value", F.struct((-F.col("_n")).alias("n"), F.col("_value").alias("v"))).alias("_mode"))
+    wide = best.groupBy(*keys).pivot("_column", names).agg(F.first("_mode"))
+    if not keys:
+        wide = df.sparkSession.range(1).select(
+            *[F.lit(None).cast(long.schema["_value"].dataType).alias(n) for n in names]
+        ).unionByName(wide).groupBy().agg(*[F.max(n).alias(n) for n in names])
+    return wide.select(*keys, *[F.col(f"`{n}`.num").alias(n + "_mode") for n in numeric],
+                       *[F.col(f"`{n}`.txt").alias(n + "_mode") for n in text])
+
+
 def column_aggs(df: DataFrame, aggs: dict[str, Column], by=None) -> DataFrame:
     """One aggregate row per group: ``{name: agg_expr}`` in a single pass."""
     keys = _by(by)

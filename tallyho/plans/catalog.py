@@ -40,11 +40,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 chain on the student view, per split: types -> ranges -> categories -> drop."""
-    s = students(spark, sf_dir)
-    s = clean.coerce_types(s, by="split")
-    s = clean.clip_ranges(s)
-    s = clean.repair_domain(s, by="split")
-    return clean.drop_missing(s)
+    return clean.clean_split(students(spark, sf_dir), by="split")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +231,7 @@ def q_fill_forward(spark, sf_dir):
 
 def clean_fill_forward(s: DataFrame) -> DataFrame:
     return ordered.fill_forward(s, FILL_COLUMNS, by="split", order=["row_ix"], chunk_rows=997,
-                                rows_per_part=2_000)
+                                rows_per_part=5_000)
 
 
 NUM_FILL = ["ses_quartile", "attendance_rate", "gpa", "test_science"]
@@ -329,7 +325,7 @@ SELECT row_ix, split FROM (SELECT row_ix, split, row_number() OVER (PARTITION BY
 FROM cleaned) WHERE rn <= CASE split WHEN 'train' THEN 10000 WHEN 'validation' THEN 1000 ELSE 3000 END"""))
 def q_head_rows(spark, sf_dir):
     x = ordered.head_rows(cleaned(spark, sf_dir), SMALL_HEAD_LIMITS, by="split", order=["row_ix"],
-                          rows_per_part=2_000)
+                          rows_per_part=5_000, cut_lineage=True)
     return x.select("row_ix", "split")
 
 
@@ -678,7 +674,7 @@ SELECT event_id, ts, user_id, event_type, value, props, request_count,
 def q_rolling_latency(spark, sf_dir):
     r = metrics.rolling_latency(_events(spark, sf_dir), n=100, by=None, order=["ts", "event_id"],
                                 latency="value", error=_is_error(), chunk_rows=1_000,
-                                rows_per_part=2_000)
+                                rows_per_part=5_000)
     computed = ["uptime_sec", "success_rate", "avg_latency", "p95_latency", "p99_latency"]
     return r.select(*[F.round(c, 6).alias(c) if c in computed else F.col(c) for c in r.columns])
 
@@ -694,7 +690,7 @@ SELECT count(*) AS n_window, count(*) FILTER (WHERE NOT err) AS n_success, count
   round(count(*) FILTER (WHERE NOT err) / count(*), 6) AS success_rate FROM v""")
 def q_tail_summary(spark, sf_dir):
     return round_doubles(metrics.tail_summary(_events(spark, sf_dir), n=100, order=["ts", "event_id"],
-                                              latency="value", error=_is_error(), rows_per_part=2_000))
+                                              latency="value", error=_is_error(), rows_per_part=5_000))
 
 
 # --- attributions on embeddings ---------------------------------------------------------------
@@ -870,3 +866,59 @@ def q_parse_completions(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     p = parse_completions(conv.select("conv_id", "turn", F.col("text").alias("completion")))
     return p.select("conv_id", "turn", "status", "summary", F.size("recommendations").alias("n_recommendations"))
+
+
+# --- supervised learning (no SQL twin: row-count checks only) -------------------------------------
+
+def _splits(spark, sf_dir):
+    """Labelled train / validation / test, checkpointed once: iterative fits then
+    read the cut lineage instead of re-running the cleaning chain per pass."""
+    from tallyho.session import materialize
+    lab = materialize(labelled(spark, sf_dir))
+    return [lab.where(F.col("split") == s) for s in ("train", "validation", "test")]
+
+
+def fit_logistic_model(spark, sf_dir):
+    from pyspark.ml import Pipeline
+
+    from tallyho.operators.features import build_preprocessor
+    from tallyho.operators.metrics import add_class_weight
+    from tallyho.operators.models import logistic
+    train, _, test = _splits(spark, sf_dir)
+    train = add_class_weight(train, spec.TARGET, "balanced")
+    n = train.count()
+    model = Pipeline(stages=[*build_preprocessor(train), logistic(n)]).fit(train)
+    return model, train, test
+
+
+@register("score_logistic")
+def q_score_logistic(spark, sf_dir):
+    from tallyho.operators.models import score
+    model, _, test = fit_logistic_model(spark, sf_dir)
+    return score(model, test).select("row_ix", spec.TARGET, "pass_prob", "prediction")
+
+
+@register("train_suite")
+def q_train_suite(spark, sf_dir):
+    from tallyho.operators.models import train_suite
+    train, val, test = _splits(spark, sf_dir)
+    return train_suite(train, val, test, small=True).table
+
+
+@register("score_explain")
+def q_score_explain(spark, sf_dir):
+    """Q4 as a batch: contract -> score -> failed conditions -> attributions -> prompts."""
+    from tallyho.operators.contract import validate_contract
+    from tallyho.operators.models import explain, score
+    from tallyho.operators.prompts import build_prompts
+    model, train, test = fit_logistic_model(spark, sf_dir)
+    checked = validate_contract(test).where(F.col("is_valid"))
+    scored = score(model, checked).drop("features")
+    scored = label.failed_conditions(scored, label_col="prediction")
+    explained = explain(model, scored.drop(*[c for c in scored.columns if c.endswith(("__idx", "__ohe"))
+                                             or c.startswith("_num_")]), train)
+    prompts = build_prompts(explained, label_col="prediction", factors_col="top_factors",
+                            conditions_col="failed_conditions",
+                            keep=("row_ix", "pass_prob", "prediction", "failed_conditions"))
+    factors = explained.select("row_ix", F.to_json("top_factors").alias("top_factors"))
+    return prompts.join(factors, "row_ix").withColumn("failed_conditions", F.to_json("failed_conditions"))
