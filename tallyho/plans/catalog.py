@@ -922,3 +922,60 @@ def q_score_explain(spark, sf_dir):
                             keep=("row_ix", "pass_prob", "prediction", "failed_conditions"))
     factors = explained.select("row_ix", F.to_json("top_factors").alias("top_factors"))
     return prompts.join(factors, "row_ix").withColumn("failed_conditions", F.to_json("failed_conditions"))
+
+
+# --- streaming ----------------------------------------------------------------------------------
+
+def run_stream_to_table(spark, stream_df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Drive a streaming plan to completion (``availableNow``) into a parquet
+    table under the shared checkpoint folder and read it back."""
+    import uuid
+
+    from tallyho.session import scratch_path
+    base = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+    q = (stream_df.writeStream.format("parquet").outputMode(mode)
+         .option("checkpointLocation", base + "/_checkpoint").option("path", base + "/data")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(base + "/data")
+
+
+@register("stream_rolling_latency", ORACLE["rolling_latency"])
+def q_stream_rolling_latency(spark, sf_dir):
+    from tallyho.sources.tables import table_path
+    from tallyho.streaming.rolling import stream_rolling_latency
+    schema = spark.read.parquet(table_path(sf_dir, "events")).schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    out = stream_rolling_latency(stream, n=100, key=None, error=F.col("event_type") == F.lit("error"))
+    r = run_stream_to_table(spark, out, "k1")
+    computed = ["uptime_sec", "success_rate", "avg_latency", "p95_latency", "p99_latency"]
+    return r.select(*[F.round(c, 6).alias(c) if c in computed else F.col(c) for c in r.columns])
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    """K2: requests streamed from ``orders`` through the student view, contract
+    check, scoring by a batch-trained model, accepted and rejected sinks."""
+    import uuid
+
+    from tallyho.session import scratch_path
+    from tallyho.sources.tables import STUDENTS_SQL, table_path
+    from tallyho.streaming.scoring import stream_score
+    model, _, _ = fit_logistic_model(spark, sf_dir)
+    schema = spark.read.parquet(table_path(sf_dir, "orders")).schema
+    view = f"orders_stream_{uuid.uuid4().hex[:8]}"
+    (spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+     .createOrReplaceTempView(view))
+    req = spark.sql(STUDENTS_SQL.format(orders=view)).select(
+        "row_ix", F.col("age_raw").alias("age"), *[c for c in spec.CONTRACT_FIELDS if c != "age"])
+    base = scratch_path(spark, f"k2-{uuid.uuid4().hex[:8]}")
+    q = stream_score(model, req, base + "/accepted", base + "/rejected", base + "/_checkpoint")
+    q.awaitTermination()
+    ok = spark.read.parquet(base + "/accepted").select(
+        "row_ix", F.lit("accepted").alias("status"), "prediction", "pass_prob",
+        F.lit(0).alias("n_violations"))
+    bad = spark.read.parquet(base + "/rejected").select(
+        "row_ix", F.lit("rejected").alias("status"), F.lit(None).cast("int").alias("prediction"),
+        F.lit(None).cast("double").alias("pass_prob"), F.size("violations").alias("n_violations"))
+    return ok.unionByName(bad)
