@@ -277,3 +277,25 @@ Return your response as a valid JSON object following the format specified in th
 
 AT_RISK_ATTENDANCE_NOTE = "Target: 85%"
 GOOD_STANDING_ATTENDANCE_NOTE = "Excellent: above 85%"
+
+# --- FIXED VALUES: raw CSV names and missing-value spellings ------------------------
+
+# Raw CSV header -> our column name.
+RAW_COLUMN_NAMES = {
+    "Age": "age", "Grade": "grade", "Gender": "gender", "Race": "race",
+    "SES_Quartile": "ses_quartile", "ParentalEducation": "parental_education",
+    "SchoolType": "school_type", "Locale": "locale", "AttendanceRate": "attendance_rate",
+    "StudyHours": "study_hours", "InternetAccess": "internet_access",
+    "Extracurricular": "extracurricular", "PartTimeJob": "part_time_job",
+    "ParentSupport": "parent_support", "Romantic": "romantic", "FreeTime": "free_time",
+    "GoOut": "go_out", "GPA": "gpa", "TestScore_Math": "test_math",
+    "TestScore_Reading": "test_reading", "TestScore_Science": "test_science",
+}
+# Double-typed raw columns (others are integers handled by type repair, or text).
+RAW_DOUBLE_COLUMNS = ["attendance_rate", "study_hours", "gpa", "test_math", "test_reading",
+                      "test_science"]
+# Text spellings read as missing by the default CSV reader being matched [public API].
+MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
+                  "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
+                  "nan", "null"]
+SPLITS = ["train", "validation", "test"]
