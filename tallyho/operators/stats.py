@@ -24,59 +24,70 @@ def _by(by: str | Sequence[str] | None) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+def _value_counts(df: DataFrame, exprs: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Count per (group, column, value) for same-typed expressions, NULLs skipped.
+
+    Unpivot is an Expand (no shuffle); the count has a map-side partial
+    aggregation, so a value held by a third of all rows collapses to one row
+    per task before the shuffle.
+    """
+    names = list(exprs)
+    long = df.select(*keys, *[e.alias(n) for n, e in exprs.items()]).unpivot(
+        keys, names, "_column", "_value")
+    return (long.where(F.col("_value").isNotNull())
+            .groupBy(*keys, "_column", "_value").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _pick_modes(counts: DataFrame, names: list[str], keys: list[str], suffix: str,
+                value_type) -> DataFrame:
+    """One aggregate over the (small) count table: for every column the value
+    with the highest count, ties to the smallest value (``min_by`` skips rows
+    whose ordering is NULL, i.e. rows of other columns)."""
+    aggs = []
+    for n in names:
+        mine = F.col("_column") == F.lit(n)
+        order = F.when(mine, F.struct((-F.col("_n")).alias("n"), F.col("_value").alias("v")))
+        aggs.append(F.min_by(F.when(mine, F.col("_value")), order).cast(value_type).alias(n + suffix))
+    if keys:
+        return counts.groupBy(*keys).agg(*aggs)
+    # A global aggregate always yields one row (NULL modes for an empty input).
+    return counts.groupBy().agg(*aggs)
+
+
 def column_modes(df: DataFrame, exprs: dict[str, Column], by=None,
                  suffix: str = "") -> DataFrame:
     """Most frequent non-null value of each expression; ties go to the smallest value.
 
-    ``exprs`` maps output name -> expression; all expressions must share one type.
-    Plan: unpivot (Expand, no shuffle) -> count per (group, column, value) with
-    map-side partial aggregation (a hot value collapses to one row per task)
-    -> ``min_by(value, (-count, value))`` per (group, column) -> pivot to one row.
+    ``exprs`` maps output name -> expression; all expressions must share one
+    type.  Two aggregations: counts per (group, column, value), then one
+    ``min_by`` per column over the small count table.
     """
     keys = _by(by)
     names = list(exprs)
-    long = df.select(*keys, *[e.alias(n) for n, e in exprs.items()]).unpivot(
-        keys, names, "_column", "_value")
-    counts = (long.where(F.col("_value").isNotNull())
-              .groupBy(*keys, "_column", "_value").agg(F.count(F.lit(1)).alias("_n")))
-    best = counts.groupBy(*keys, "_column").agg(
-        F.min_by("_value", F.struct((-F.col("_n")).alias("n"), F.col("_value").alias("v"))).alias("_mode"))
-    wide = best.groupBy(*keys).pivot("_column", names).agg(F.first("_mode"))
-    if not keys:
-        # A group with no non-null value at all still needs its (NULL) row.
-        wide = df.sparkSession.range(1).select(
-            *[F.lit(None).cast(long.schema["_value"].dataType).alias(n) for n in names]
-        ).unionByName(wide).groupBy().agg(*[F.max(n).alias(n) for n in names])
-    return wide.select(*keys, *[F.col(n).alias(n + suffix) for n in names])
+    counts = _value_counts(df, exprs, keys)
+    return _pick_modes(counts, names, keys, suffix, counts.schema["_value"].dataType)
 
 
 def mixed_modes(df: DataFrame, numeric: dict[str, Column], text: dict[str, Column], by=None) -> DataFrame:
-    """Modes of numeric and text expressions in one aggregation pass.
+    """Modes of numeric (as DOUBLE) and text expressions in one job.
 
-    Values are unpivoted as ``struct(num, txt)`` (one side NULL), so a single
-    partial-aggregated count and one ``min_by`` serve both kinds: numeric ties
-    go to the smallest number, text ties to the smallest string.  Output: one
-    row per group with ``<name>_mode`` columns of the input types.
+    Each kind is counted on its native type (cheaper to hash than a packed
+    value); the two small count tables are combined with a join on the group
+    keys (one row per group each).  Output: one row per group with
+    ``<name>_mode`` columns.
     """
     keys = _by(by)
-    packed = {n: F.struct(e.cast("double").alias("num"), F.lit(None).cast("string").alias("txt"))
-              for n, e in numeric.items()}
-    packed.update({n: F.struct(F.lit(None).cast("double").alias("num"), e.cast("string").alias("txt"))
-                   for n, e in text.items()})
-    names = list(packed)
-    long = df.select(*keys, *[e.alias(n) for n, e in packed.items()]).unpivot(
-        keys, names, "_column", "_value")
-    counts = (long.where(F.col("_value.num").isNotNull() | F.col("_value.txt").isNotNull())
-              .groupBy(*keys, "_column", "_value").agg(F.count(F.lit(1)).alias("_n")))
-    best = counts.groupBy(*keys, "_column").agg(
-        F.min_by("_value", F.struct((-F.col("_n")).alias("n"), F.col("_value").alias("v"))).alias("_mode"))
-    wide = best.groupBy(*keys).pivot("_column", names).agg(F.first("_mode"))
-    if not keys:
-        wide = df.sparkSession.range(1).select(
-            *[F.lit(None).cast(long.schema["_value"].dataType).alias(n) for n in names]
-        ).unionByName(wide).groupBy().agg(*[F.max(n).alias(n) for n in names])
-    return wide.select(*keys, *[F.col(f"`{n}`.num").alias(n + "_mode") for n in numeric],
-                       *[F.col(f"`{n}`.txt").alias(n + "_mode") for n in text])
+    parts = []
+    if numeric:
+        c = _value_counts(df, {n: e.cast("double") for n, e in numeric.items()}, keys)
+        parts.append(_pick_modes(c, list(numeric), keys, "_mode", "double"))
+    if text:
+        c = _value_counts(df, {n: e.cast("string") for n, e in text.items()}, keys)
+        parts.append(_pick_modes(c, list(text), keys, "_mode", "string"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, keys, "full") if keys else out.crossJoin(p)
+    return out
 
 
 def column_aggs(df: DataFrame, aggs: dict[str, Column], by=None) -> DataFrame:
