@@ -175,10 +175,7 @@ def fill_forward(df: DataFrame, columns: Sequence[str] | None = None, by=None,
     carry = lasts.select(*keys, "_chunk",
                          *[F.last(F.col(c), ignorenulls=True).over(before).alias("_carry_" + c)
                            for c in cols])
-    carry = materialize(carry)
-    if carry.count() <= MAX_BROADCAST_STAT_ROWS:
-        carry = F.broadcast(carry)
-    out = local.join(carry, [*keys, "_chunk"], "left")
+    out = join_small(local, carry, [*keys, "_chunk"], "left")
     out = out.select(*[F.coalesce(F.col(c), F.col("_carry_" + c)).alias(c) if c in cols
                        else F.col(c) for c in df.columns])
     return out

@@ -96,17 +96,24 @@ def column_aggs(df: DataFrame, aggs: dict[str, Column], by=None) -> DataFrame:
     return df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
 
 
+# Statistic tables up to this many rows are fetched once and broadcast from the
+# driver (exactly what a broadcast exchange does); larger ones stay distributed.
+MAX_LOCAL_STAT_ROWS = 10_000
+
+
 def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a table expected to be small; broadcast it only after proving its size.
 
-    The small side is materialised to the shared checkpoint folder (cutting its
-    lineage), counted, and broadcast when it has at most
-    ``MAX_BROADCAST_STAT_ROWS`` rows; otherwise a regular shuffle join is used.
+    One job fetches at most ``MAX_LOCAL_STAT_ROWS + 1`` rows.  Within the cap
+    the rows become a driver-held relation that is broadcast (it also survives
+    executor loss without recomputation).  Beyond the cap the table is
+    checkpointed to the shared folder and joined by a regular shuffle join.
     """
-    small = materialize(small)
-    if small.count() <= MAX_BROADCAST_STAT_ROWS:
-        return df.join(F.broadcast(small), list(on), how)
-    return df.join(small, list(on), how)
+    rows = small.limit(MAX_LOCAL_STAT_ROWS + 1).collect()
+    if len(rows) <= MAX_LOCAL_STAT_ROWS:
+        local = df.sparkSession.createDataFrame(rows, small.schema)
+        return df.join(F.broadcast(local), list(on), how)
+    return df.join(materialize(small), list(on), how)
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, by=None) -> DataFrame:
