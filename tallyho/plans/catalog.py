@@ -979,3 +979,18 @@ def q_stream_score(spark, sf_dir):
         "row_ix", F.lit("rejected").alias("status"), F.lit(None).cast("int").alias("prediction"),
         F.lit(None).cast("double").alias("pass_prob"), F.size("violations").alias("n_violations"))
     return ok.unionByName(bad)
+
+
+@register("explain_trees")
+def q_explain_trees(spark, sf_dir):
+    """M12 for a boosted-tree model: top-3 path attributions per held-out row."""
+    from pyspark.ml import Pipeline
+
+    from tallyho.operators.features import build_preprocessor
+    from tallyho.operators.models import gbt
+    from tallyho.operators.tree_explain import explain_trees
+    train, val, test = _splits(spark, sf_dir)
+    model = Pipeline(stages=[*build_preprocessor(train), gbt(20, 5)]).fit(train)
+    x = explain_trees(model, test, ["row_ix"])
+    from tallyho.operators.explain import explode_factors
+    return explode_factors(x, ["row_ix"])

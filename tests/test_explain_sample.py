@@ -46,3 +46,32 @@ def test_linear_contributions_additive(spark):
     base = clf.intercept + sum(w * m for w, m in zip(clf.coefficients.toArray(), means))
     for r in out.collect():
         assert r.s + base == pytest.approx(r.margin, abs=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["gbt", "forest"])
+def test_tree_path_contributions_additive(spark, kind):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    from tests.conftest import SF001
+    from tallyho import spec
+    from tallyho.operators.features import build_preprocessor
+    from tallyho.operators.metrics import add_class_weight
+    from tallyho.operators.models import forest, gbt
+    from tallyho.operators.tree_explain import explain_trees, tree_contributions
+    from tallyho.plans.catalog import labelled
+    lab = labelled(spark, SF001)
+    train = add_class_weight(lab.where(F.col("split") == "train"), spec.TARGET, "balanced")
+    est = gbt(5, 3) if kind == "gbt" else forest(num_trees=5, max_depth=4)
+    model = Pipeline(stages=[*build_preprocessor(train), est]).fit(train)
+    test = lab.where(F.col("split") != "train")
+    c = tree_contributions(model, test, ["row_ix"])
+    out_col = vector_to_array("rawPrediction")[1] if kind == "gbt" else vector_to_array("probability")[1]
+    truth = model.transform(test).select("row_ix", out_col.alias("y"))
+    j = truth.join(c.select("row_ix", "bias", F.aggregate("contributions", F.lit(0.0), lambda a, b: a + b)
+                            .alias("s")), "row_ix").collect()
+    assert len(j) == test.count()
+    for r in j:
+        assert r.bias + r.s == pytest.approx(r.y, abs=1e-9)
+    tf = explain_trees(model, test, ["row_ix"]).first().top_factors
+    assert 1 <= len(tf) <= 3
