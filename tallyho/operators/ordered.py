@@ -4,15 +4,10 @@ Anything defined "in row order" (forward fill, first N rows, the last N rows,
 sliding windows over the last N observations) needs a dense ordinal per group.
 A plain ``row_number().over(Window.partitionBy(g).orderBy(o))`` puts a whole
 group into one task; here a group may hold a third of all rows, so ordinals are
-built from deterministic range parts instead:
-
-1. A bounded sample of keys (20 per part, sorted by Spark) gives part
-   boundaries; each row's part id is a pure function of its key (balanced
-   CASE tree), so re-evaluation after a lost executor gives the same parts.
-2. ``row_number`` over ``(group, part)`` numbers rows inside a part (bounded
-   size, even for one huge group).
-3. A tiny table (one row per (group, part)) gives each part's start offset by
-   a running sum; it is joined back (size-checked broadcast).
+built from a range partitioning instead (see ``with_sequence``): one range
+shuffle, a sort inside partitions, stored (partition, position) pairs and a
+tiny per-partition offset table.  Operators that need neighbours (forward
+fill, sliding windows) then work in bounded chunks of consecutive ordinals.
 """
 
 from __future__ import annotations
@@ -22,111 +17,67 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyho.operators.stats import MAX_BROADCAST_STAT_ROWS, _by, join_small
+from tallyho.operators.stats import _by, join_small
 from tallyho.session import materialize
 
 
-ROWS_PER_PART = 1_000_000
-SAMPLE_PER_PART = 20
-MAX_PARTS = 4096
+ROWS_PER_PART = None          # None: use spark.sql.shuffle.partitions parts
+MAX_OFFSET_ROWS = 2_000_000   # (group, part) offset rows broadcast after a size check
 
 
-def _key_struct(cols: Sequence[Column]) -> Column:
-    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
-
-
-def _boundary_expr(key: Column, bounds: list, types: list) -> Column:
-    """Balanced CASE tree: index of the first boundary >= key (0..len(bounds))."""
-    lits = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))])
-            for b in bounds]
-
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= lits[mid], build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return build(0, len(lits))
-
-
-def with_part(df: DataFrame, keys: Sequence[str], order_cols: Sequence[Column],
-              rows_per_part: int = ROWS_PER_PART, num_parts: int | None = None,
-              part_col: str = "_part") -> DataFrame:
-    """Assign each row a deterministic range-part id over the key (group, order).
-
-    Boundaries come from a bounded sample (``SAMPLE_PER_PART`` keys per part,
-    the same scheme Spark's range partitioner uses), sorted by Spark; the part
-    id is then a pure function of the row, so every later re-evaluation (task
-    retry, lost executor, second use of the plan) assigns the same part.
-    """
-    all_cols = [F.col(k) for k in keys] + list(order_cols)
-    key = _key_struct(all_cols)
-    if num_parts is None:
-        n = df.count()
-        num_parts = max(1, min(MAX_PARTS, -(-n // max(1, rows_per_part))))
-    else:
-        n = None
-    if num_parts <= 1:
-        return df.withColumn(part_col, F.lit(0))
-    if n is None:
-        n = df.count()
-    frac = min(1.0, SAMPLE_PER_PART * num_parts / max(1, n))
-    sample = (df.select(key.alias("_k")).sample(False, frac, seed=17)
-              .orderBy("_k").collect())
-    picked = []
-    if sample:
-        step = len(sample) / num_parts
-        picked = [tuple(sample[min(len(sample) - 1, int(step * (i + 1)))]["_k"])
-                  for i in range(num_parts - 1)]
-        picked = [b for i, b in enumerate(picked) if i == 0 or b != picked[i - 1]]
-    types = [f.dataType for f in df.select(key.alias("_k")).schema["_k"].dataType.fields]
-    if not picked:
-        return df.withColumn(part_col, F.lit(0))
-    return df.withColumn(part_col, _boundary_expr(key, picked, types))
+def _parts_for(df: DataFrame, rows_per_part: int | None, num_parts: int | None) -> int:
+    if num_parts:
+        return int(num_parts)
+    if rows_per_part:
+        return max(1, -(-df.count() // int(rows_per_part)))
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def with_sequence(df: DataFrame, by, order: Sequence[str | Column], seq_col: str = "_seq",
-                  count_col: str | None = None, rows_per_part: int = ROWS_PER_PART,
-                  num_parts: int | None = None, cut_lineage: bool = False) -> DataFrame:
+                  count_col: str | None = None, rows_per_part: int | None = ROWS_PER_PART,
+                  num_parts: int | None = None) -> DataFrame:
     """Add a 0-based dense ordinal ``seq_col`` per ``by`` group ordered by ``order``.
 
-    ``order`` must be a total order (end with a unique key).  Rows are cut into
-    deterministic range parts of about ``rows_per_part`` rows (a hot group is
-    split across many parts); the ordinal inside a part is a window over that
-    part only, and a tiny table of per-(group, part) counts gives each part's
-    starting offset.  With ``count_col`` the group size is added as well.
-    ``cut_lineage=True`` first checkpoints the input to the shared folder so an
-    expensive upstream plan runs once instead of once per pass (count, sample,
-    numbering).
+    ``order`` must be a total order (end with a unique key).  One range
+    shuffle on (group, order) -- Spark's range partitioner samples a bounded
+    number of keys, so even one huge group is cut across many partitions -- and
+    a sort inside each partition; each row records its partition id and
+    position (``monotonically_increasing_id``) and this table is written once
+    to the shared folder, so retries and later passes read fixed values.  A
+    small table of per-(group, partition) counts gives every partition's start
+    offset (running sum), joined back by a size-checked broadcast.  No window
+    ever runs over the rows themselves.  With ``count_col`` the group size is
+    added as well.  The number of partitions is ``spark.sql.shuffle.partitions``
+    unless ``num_parts`` or ``rows_per_part`` says otherwise.
     """
     keys = _by(by)
-    if cut_lineage:
-        df = materialize(df)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    x = with_part(df, keys, order_cols, rows_per_part, num_parts)
-    counts = x.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    n_parts = _parts_for(df, rows_per_part, num_parts)
+    x = (df.repartitionByRange(n_parts, *[F.col(k) for k in keys], *order_cols)
+         .sortWithinPartitions(*[F.col(k) for k in keys], *order_cols)
+         .withColumn("_part", F.spark_partition_id())
+         .withColumn("_pos", F.monotonically_increasing_id()))
+    x = materialize(x)
+    parts = x.groupBy(*keys, "_part").agg(F.min("_pos").alias("_first"),
+                                          F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*keys).orderBy("_part")
-    offsets = counts.select(
-        *keys, "_part",
+    offsets = parts.select(
+        *keys, "_part", "_first",
         F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
         *([F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding,
                                             Window.unboundedFollowing)).alias(count_col)]
           if count_col else []))
-    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order_cols)) - 1
-    numbered = x.withColumn("_local", local)
-    out = join_small(numbered, offsets, [*keys, "_part"])
-    out = out.withColumn(seq_col, (F.col("_local") + F.col("_off")).cast("bigint"))
-    return out.drop("_part", "_local", "_off")
+    out = join_small(x, offsets, [*keys, "_part"], max_rows=MAX_OFFSET_ROWS)
+    out = out.withColumn(seq_col, (F.col("_pos") - F.col("_first") + F.col("_off")).cast("bigint"))
+    return out.drop("_part", "_pos", "_first", "_off")
 
 
 def head_rows(df: DataFrame, limits: int | dict[str, int], by="split",
-              order: Sequence[str] = ("row_ix",), rows_per_part: int = ROWS_PER_PART,
-              cut_lineage: bool = False) -> DataFrame:
+              order: Sequence[str] = ("row_ix",), rows_per_part: int | None = ROWS_PER_PART) -> DataFrame:
     """First N rows of each group in ``order`` (L1/L5); N may differ per group value."""
     keys = _by(by)
-    seq = with_sequence(df, keys, list(order), "_seq", rows_per_part=rows_per_part,
-                        cut_lineage=cut_lineage)
+    seq = with_sequence(df, keys, list(order), "_seq", rows_per_part=rows_per_part)
     if isinstance(limits, dict):
         if len(keys) != 1:
             raise ValueError("per-group limits need exactly one group column")
@@ -140,17 +91,17 @@ def head_rows(df: DataFrame, limits: int | dict[str, int], by="split",
 
 
 def tail_rows(df: DataFrame, n: int, by=None, order: Sequence[str] = ("row_ix",),
-              rows_per_part: int = ROWS_PER_PART, cut_lineage: bool = False) -> DataFrame:
+              rows_per_part: int | None = ROWS_PER_PART) -> DataFrame:
     """Last ``n`` rows of each group in ``order``."""
     keys = _by(by)
     seq = with_sequence(df, keys, list(order), "_seq", count_col="_n",
-                        rows_per_part=rows_per_part, cut_lineage=cut_lineage)
+                        rows_per_part=rows_per_part)
     return seq.where(F.col("_seq") >= F.col("_n") - F.lit(int(n))).drop("_seq", "_n")
 
 
 def fill_forward(df: DataFrame, columns: Sequence[str] | None = None, by=None,
                  order: Sequence[str] = ("row_ix",), chunk_rows: int = 1_000_000,
-                 rows_per_part: int = ROWS_PER_PART, cut_lineage: bool = False) -> DataFrame:
+                 rows_per_part: int | None = ROWS_PER_PART) -> DataFrame:
     """Replace each NULL by the last earlier non-NULL value in row order.
 
     Two phases: rows are cut into chunks of ``chunk_rows`` consecutive ordinals;
@@ -161,8 +112,7 @@ def fill_forward(df: DataFrame, columns: Sequence[str] | None = None, by=None,
     keys = _by(by)
     skip = set(keys) | set(order)
     cols = [c for c in (columns or df.columns) if c not in skip]
-    seq = with_sequence(df, keys, list(order), "_seq", rows_per_part=rows_per_part,
-                        cut_lineage=cut_lineage)
+    seq = with_sequence(df, keys, list(order), "_seq", rows_per_part=rows_per_part)
     seq = seq.withColumn("_chunk", F.floor(F.col("_seq") / F.lit(int(chunk_rows))))
     inner = (Window.partitionBy(*keys, "_chunk").orderBy("_seq")
              .rowsBetween(Window.unboundedPreceding, 0))
@@ -182,7 +132,7 @@ def fill_forward(df: DataFrame, columns: Sequence[str] | None = None, by=None,
 
 
 def rolling_window(df: DataFrame, n: int, by, order: Sequence[str], aggs: dict[str, Column],
-                   chunk_rows: int = 100_000, rows_per_part: int = ROWS_PER_PART,
+                   chunk_rows: int = 100_000, rows_per_part: int | None = ROWS_PER_PART,
                    extra_running: bool = False) -> DataFrame:
     """Evaluate window aggregates over the last ``n`` rows (inclusive) per group.
 

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from tallyho.session import materialize
 
-# Above this many stat rows the join back is a shuffle join instead of a broadcast.
-MAX_BROADCAST_STAT_ROWS = 200_000
 
 
 def _by(by: str | Sequence[str] | None) -> list[str]:
@@ -101,16 +99,17 @@ def column_aggs(df: DataFrame, aggs: dict[str, Column], by=None) -> DataFrame:
 MAX_LOCAL_STAT_ROWS = 10_000
 
 
-def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
+               max_rows: int = MAX_LOCAL_STAT_ROWS) -> DataFrame:
     """Join a table expected to be small; broadcast it only after proving its size.
 
-    One job fetches at most ``MAX_LOCAL_STAT_ROWS + 1`` rows.  Within the cap
+    One job fetches at most ``max_rows + 1`` rows.  Within the cap
     the rows become a driver-held relation that is broadcast (it also survives
     executor loss without recomputation).  Beyond the cap the table is
     checkpointed to the shared folder and joined by a regular shuffle join.
     """
-    rows = small.limit(MAX_LOCAL_STAT_ROWS + 1).collect()
-    if len(rows) <= MAX_LOCAL_STAT_ROWS:
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
         local = df.sparkSession.createDataFrame(rows, small.schema)
         return df.join(F.broadcast(local), list(on), how)
     return df.join(materialize(small), list(on), how)

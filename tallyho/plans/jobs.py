@@ -29,7 +29,7 @@ def prepare(spark: SparkSession, input_dir: str, output_dir: str,
     cleaned = files.scan_split(spark, input_dir)
     order = "row_ix" if "row_ix" in cleaned.columns else "_row"
     limited = ordered.head_rows(cleaned, head_limits or spec.HEAD_LIMITS, by="split",
-                                order=[order], cut_lineage=True)
+                                order=[order])
     if order == "row_ix":
         limited = limited.drop("_row")
     labelled = materialize(label.label_rule(limited))
