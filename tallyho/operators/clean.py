@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyho import spec
+from tallyho.operators.quantiles import median_of
 from tallyho.operators.stats import _by, attach_stats, column_aggs, column_modes, mixed_modes
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -170,10 +171,16 @@ def fill_median(df: DataFrame, columns=None, by=None, exclude=("row_ix",),
                 approx: bool = False) -> DataFrame:
     """Fill NULLs of numeric columns by the exact median (mid-point of two).
 
-    ``approx=True`` uses ``percentile_approx`` (bounded memory per group).
+    Medians come from ``quantiles.median_of`` (exact without a single-task
+    merge); ``approx=True`` uses ``percentile_approx``.
     """
-    agg = (lambda c: F.percentile_approx(c, 0.5, 10000).cast("double")) if approx else F.median
-    return _fill_with(df, agg, columns, by, exclude)
+    keys = _by(by)
+    cols = list(columns) if columns else _numeric_columns(df, list(exclude) + keys)
+    stats = median_of(df, {c: _q(c) for c in cols}, keys, approx, suffix="_fill")
+    joined = attach_stats(df, stats, keys)
+    out = [F.coalesce(_q(n).cast("double"), _q(n + "_fill")).alias(n) if n in cols else _q(n)
+           for n in df.columns]
+    return joined.select(*out)
 
 
 def with_stats(df: DataFrame, stats: DataFrame, by=None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallyho import spec
 from tallyho.functions.scalar import fmt_comparison, fmt_duration, pct_diff, run_stamp
 from tallyho.operators.ordered import rolling_window, tail_rows
-from tallyho.operators.stats import _by, attach_stats, column_aggs
+from tallyho.operators.quantiles import quantiles
+from tallyho.operators.stats import _by, attach_stats, column_aggs, join_groups
 
 
 def _div0(num: Column, den: Column) -> Column:
@@ -89,26 +90,25 @@ def latency_profile(df: DataFrame, latency: str = "latency_ms", by=None,
                     approx: bool = False) -> DataFrame:
     """Latency summary over positive latencies only; all 0.0 when none.
 
-    Percentiles interpolate linearly at ``(n-1) p``.
+    Percentiles interpolate linearly at ``(n-1) p`` and come from
+    ``quantiles`` (exact without a single-task merge) unless ``approx``.
     """
     keys = _by(by)
     v = F.when(F.col(latency) > 0, F.col(latency).cast("double"))
-
-    def pct(p):
-        if approx:
-            return F.percentile_approx(v, p, 10000).cast("double")
-        return F.percentile(v, F.lit(p))
-
     z = F.lit(0.0)
-    return df.groupBy(*keys).agg(
+    base = df.groupBy(*keys).agg(
         F.count(v).alias("n_valid"),
         F.coalesce(F.avg(v), z).alias("avg_latency_ms"),
-        F.coalesce(pct(0.5), z).alias("median_latency_ms"),
         F.coalesce(F.min(v), z).alias("min_latency_ms"),
-        F.coalesce(F.max(v), z).alias("max_latency_ms"),
-        F.coalesce(pct(0.5), z).alias("p50_latency_ms"),
-        F.coalesce(pct(0.95), z).alias("p95_latency_ms"),
-        F.coalesce(pct(0.99), z).alias("p99_latency_ms"))
+        F.coalesce(F.max(v), z).alias("max_latency_ms"))
+    pct = quantiles(df, {"lat": v}, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, keys, approx)
+    out = join_groups(base, pct, keys)
+    return out.select(*keys, "n_valid", "avg_latency_ms",
+                      F.coalesce(F.col("lat__p50"), z).alias("median_latency_ms"),
+                      "min_latency_ms", "max_latency_ms",
+                      F.coalesce(F.col("lat__p50"), z).alias("p50_latency_ms"),
+                      F.coalesce(F.col("lat__p95"), z).alias("p95_latency_ms"),
+                      F.coalesce(F.col("lat__p99"), z).alias("p99_latency_ms"))
 
 
 def _seconds_between(a: Column, b: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tallyho import spec
 from tallyho.operators.clean import NUMERIC_TYPES, _q
 from tallyho.operators.label import avg_score
-from tallyho.operators.stats import _by, attach_stats, column_aggs, join_small
+from tallyho.operators.quantiles import median_of, quantiles
+from tallyho.operators.stats import _by, attach_stats, column_aggs, join_groups, join_small
 
 
 def _rate(num, den):
@@ -65,22 +66,17 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, by=None,
     Q1/Q3 by linear interpolation, fences ``Q -/+ 1.5 IQR``, strictly outside is
     an outlier; the percentage uses all rows (missing included); only columns
     with at least one outlier.  Two passes: one aggregate for every quartile,
-    then one aggregate of every outlier count; rows are not changed.
+    then one aggregate of every outlier count; rows are not changed.  The
+    quartiles come from ``quantiles`` (exact, no single-task merge) unless
+    ``approx``.
     """
     keys = _by(by)
     cols = list(columns) if columns else numeric_columns(df, list(exclude) + keys)
-
-    def quart(c):
-        v = _q(c).cast("double")
-        if approx:
-            return F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.75)), 10000).cast("array<double>")
-        return F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-
-    qs = column_aggs(df, {"_q_" + c: quart(c) for c in cols}, keys)
+    qs = quantiles(df, {c: _q(c) for c in cols}, {"q1": 0.25, "q3": 0.75}, keys, approx)
     x = attach_stats(df, qs, keys)
 
     def fences(c):
-        q1, q3 = F.col("_q_" + c)[0], F.col("_q_" + c)[1]
+        q1, q3 = _q(f"{c}__q1"), _q(f"{c}__q3")
         iqr = q3 - q1
         return q1, q3, q1 - F.lit(1.5) * iqr, q3 + F.lit(1.5) * iqr
 
@@ -112,15 +108,19 @@ def threshold_profile(df: DataFrame, thresholds: dict | None = None, by=None,
     for v in present:
         c = _q(v).cast("double")
         t = F.lit(float(th[v]))
-        med = F.percentile_approx(c, 0.5, 10000).cast("double") if approx else F.median(c)
-        aggs[v] = F.struct(t.alias("threshold"), F.avg(c).alias("mean"), med.alias("median"),
+        aggs[v] = F.struct(t.alias("threshold"), F.avg(c).alias("mean"),
                            F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
                            F.max(c).alias("max"), F.count_if(c >= t).alias("n_above"),
                            F.count_if(c < t).alias("n_below"))
     wide = column_aggs(x, aggs, keys)
+    meds = median_of(x, {v: _q(v) for v in present}, keys, approx, suffix="__median")
+    wide = join_groups(wide, meds, keys)
+    wide = wide.select(*keys, "_n", *[_q(v).withField("median", _q(v + "__median")).alias(v)
+                                      for v in present])
     long = wide.unpivot([*keys, "_n"], present, "variable", "_r")
     n = F.col("_n").cast("double")
-    return long.select(*keys, "variable", "_r.*",
+    fields = ["threshold", "mean", "median", "std", "min", "max", "n_above", "n_below"]
+    return long.select(*keys, "variable", *[F.col("_r." + f).alias(f) for f in fields],
                        (F.try_divide(F.col("_r.n_above") * F.lit(100.0), n)).alias("pct_above"),
                        (F.try_divide(F.col("_r.n_below") * F.lit(100.0), n)).alias("pct_below"))
 
@@ -129,12 +129,11 @@ def class_profile(df: DataFrame, columns: Sequence[str] = ("gpa", spec.AVG_SCORE
                   label: str = spec.TARGET, approx: bool = False) -> DataFrame:
     """Mean and median of each column per class."""
     x = avg_score(df) if spec.AVG_SCORE in columns and spec.AVG_SCORE not in df.columns else df
-    aggs = []
-    for c in columns:
-        v = _q(c).cast("double")
-        med = F.percentile_approx(v, 0.5, 10000).cast("double") if approx else F.median(v)
-        aggs += [F.avg(v).alias(f"{c}_mean"), med.alias(f"{c}_median")]
-    return x.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+    means = x.groupBy(label).agg(F.count(F.lit(1)).alias("n_rows"),
+                                 *[F.avg(_q(c).cast("double")).alias(f"{c}_mean") for c in columns])
+    meds = median_of(x, {c: _q(c) for c in columns}, label, approx, suffix="_median")
+    out = join_groups(means, meds, [label])
+    return out.select(label, "n_rows", *[n for c in columns for n in (f"{c}_mean", f"{c}_median")])
 
 
 def dataset_report(df: DataFrame, label: str = spec.TARGET, by=None) -> DataFrame:
@@ -200,6 +199,11 @@ def histogram(df: DataFrame, column: str, bins: int = spec.HIST_BINS, by=None,
     return out.select(*cols)
 
 
+# Beyond |z| = 39 the Gaussian kernel exp(-z^2/2) underflows to exactly 0.0 in
+# double precision, so a value only needs the grid points within 39 bandwidths.
+KDE_REACH = 39.0
+
+
 def kde(df: DataFrame, column: str, by: str | None = spec.TARGET, gridsize: int = spec.KDE_GRIDSIZE,
         cut: float = spec.KDE_CUT, common_norm: bool = True) -> DataFrame:
     """Gaussian kernel density per group on a regular grid.
@@ -207,35 +211,39 @@ def kde(df: DataFrame, column: str, by: str | None = spec.TARGET, gridsize: int
     Scott bandwidth ``std * n^(-1/5)`` (sample std), grid from ``min - cut*bw``
     to ``max + cut*bw`` with ``gridsize`` points; with ``common_norm`` densities
     are scaled by the group's share of all rows.  Exact: rows are first reduced
-    to distinct (group, value, weight) by a partial-aggregated count, then each
-    value meets the (bounded) grid of its group through a broadcast join and
-    the kernel sums are aggregated per grid point without materialising the
-    value x grid product.
+    to distinct (group, value, weight) by a partial-aggregated count; each
+    value then generates the grid indices it can reach (``explode`` of a
+    bounded ``sequence``, at most ``gridsize``; beyond ``KDE_REACH`` bandwidths
+    the kernel is exactly 0.0) and the kernel sums are partially aggregated per
+    (group, grid index).  No join between values and the grid.
     """
     keys = _by(by)
     v = _q(column).cast("double")
     base = df.where(v.isNotNull()).select(*keys, v.alias("_v"))
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"),
                                     F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    total = base.groupBy().agg(F.count(F.lit(1)).alias("_total"))
-    stats = attach_stats(stats, total, None) if keys else stats.withColumn("_total", F.col("_n"))
+    # Total over the (small) per-group table: one row per group.
+    stats = stats.withColumn("_total", F.sum("_n").over(Window.partitionBy()))
     bw = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     stats = stats.withColumn("_bw", bw).where((F.col("_bw") > 0) & F.col("_bw").isNotNull())
-    step = (F.col("_hi") - F.col("_lo") + F.lit(2 * cut) * F.col("_bw")) / F.lit(float(gridsize - 1))
-    grid = stats.select(*keys, "_n", "_total", "_bw",
-                        F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_ix"),
-                        (F.col("_lo") - F.lit(cut) * F.col("_bw")).alias("_g0"), step.alias("_step"))
-    grid = grid.withColumn("x", F.col("_g0") + F.col("grid_ix") * F.col("_step")).drop("_g0", "_step")
+    stats = stats.select(*keys, "_n", "_total", "_bw",
+                         (F.col("_lo") - F.lit(cut) * F.col("_bw")).alias("_g0"),
+                         ((F.col("_hi") - F.col("_lo") + F.lit(2 * cut) * F.col("_bw"))
+                          / F.lit(float(gridsize - 1))).alias("_step"))
     values = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    if keys:
-        pairs = join_small(values, grid, keys)
-    else:
-        # gridsize rows: a proven bound.
-        pairs = values.crossJoin(F.broadcast(grid))
-    z = (F.col("x") - F.col("_v")) / F.col("_bw")
-    kern = F.col("_w") * F.exp(F.lit(-0.5) * z * z)
-    sums = pairs.groupBy(*keys, "grid_ix").agg(F.sum(kern).alias("_s"))
-    out = grid.join(sums, [*keys, "grid_ix"], "left")
+    values = attach_stats(values, stats, keys).where(F.col("_bw").isNotNull())
+    reach = F.lit(KDE_REACH) * F.col("_bw")
+    first = F.greatest(F.ceil((F.col("_v") - reach - F.col("_g0")) / F.col("_step")), F.lit(0))
+    last = F.least(F.floor((F.col("_v") + reach - F.col("_g0")) / F.col("_step")), F.lit(gridsize - 1))
+    pts = values.select(*keys, "_v", "_w", "_bw", "_g0", "_step",
+                        F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("grid_ix"))
+    x = F.col("_g0") + F.col("grid_ix") * F.col("_step")
+    z = (x - F.col("_v")) / F.col("_bw")
+    sums = pts.groupBy(*keys, "grid_ix").agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z)).alias("_s"))
+    grid = stats.select(*keys, "_n", "_total", "_bw", "_g0", "_step",
+                        F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_ix"))
+    grid = grid.withColumn("x", F.col("_g0") + F.col("grid_ix") * F.col("_step"))
+    out = join_groups(grid, sums, [*keys, "grid_ix"])
     norm = F.col("_total") if common_norm else F.col("_n")
     dens = F.coalesce(F.col("_s"), F.lit(0.0)) / (
         norm.cast("double") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi)))

@@ -11,11 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyho.session import materialize
 
 
-
 def _by(by: str | Sequence[str] | None) -> list[str]:
     if by is None:
         return []
@@ -84,7 +84,7 @@ def mixed_modes(df: DataFrame, numeric: dict[str, Column], text: dict[str, Colum
         parts.append(_pick_modes(c, list(text), keys, "_mode", "string"))
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, keys, "full") if keys else out.crossJoin(p)
+        out = join_groups(out, p, keys, "full")
     return out
 
 
@@ -115,13 +115,57 @@ def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     return df.join(materialize(small), list(on), how)
 
 
+def _literal(value, data_type: T.DataType) -> Column:
+    """A literal column of ``data_type`` holding a fetched Python value."""
+    if value is None:
+        return F.lit(None).cast(data_type)
+    if isinstance(data_type, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in data_type.fields])
+    if isinstance(data_type, T.ArrayType):
+        return F.array(*[_literal(v, data_type.elementType) for v in value]).cast(data_type)
+    if isinstance(data_type, T.MapType):
+        return F.create_map(*[c for k, v in value.items() for c in (
+            _literal(k, data_type.keyType), _literal(v, data_type.valueType))]).cast(data_type)
+    return F.lit(value).cast(data_type)
+
+
+def one_row_values(stats: DataFrame) -> dict[str, Column]:
+    """Fetch a one-row statistic table (a global aggregate) as literal columns.
+
+    At most two rows are fetched to prove the bound; the values then enter
+    the plan as constants (folded by Catalyst, no join at all).
+    """
+    rows = stats.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected a one-row statistic table, got {len(rows)} rows")
+    return {f.name: _literal(rows[0][f.name], f.dataType) for f in stats.schema.fields}
+
+
 def attach_stats(df: DataFrame, stats: DataFrame, by=None) -> DataFrame:
     """Join per-group statistics back onto the rows.
 
-    With no ``by`` the statistics are one row: a broadcast nested-loop join of
-    a single row.  With ``by`` the size-checked ``join_small`` is used.
+    With no ``by`` the statistics are one row and are attached as literal
+    columns.  With ``by`` the size-checked ``join_small`` is used.
     """
     keys = _by(by)
     if not keys:
-        return df.crossJoin(F.broadcast(stats))
+        return df.withColumns(one_row_values(stats))
     return join_small(df, stats, keys, "left")
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Combine two per-group statistic tables (one row per group each).
+
+    Group keys match NULL to NULL.  With no keys both tables are one row and
+    the right one is attached as literals.
+    """
+    keys = list(keys)
+    if not keys:
+        return left.withColumns(one_row_values(right))
+    r = right.select(*[F.col(k).alias("_rk_" + k) for k in keys],
+                     *[F.col(c) for c in right.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col("_rk_" + k)) for k in keys]
+    out = left.join(r, cond, how)
+    if how == "full":
+        out = out.withColumns({k: F.coalesce(F.col(k), F.col("_rk_" + k)) for k in keys})
+    return out.drop(*["_rk_" + k for k in keys])

@@ -13,6 +13,7 @@ from tallyho.operators import clean, explain as _explain, label, metrics, ordere
 from tallyho.operators.contract import validate_contract
 from tallyho.operators.models import explain as explain_rows, model_card, score, train_suite
 from tallyho.operators.prompts import build_prompts
+from tallyho.operators.stats import join_groups
 from tallyho.session import materialize
 from tallyho.sources import files
 
@@ -73,10 +74,10 @@ def profile_report(spark: SparkSession, processed_dir: str, output_dir: str, spl
         out[f"{v}_histogram"] = profile.histogram(df, v)
     tp = out["threshold_profile"].select(F.struct("*").alias("s")).agg(
         F.collect_list("s").alias("variables"))   # three rows: bounded
-    report = out["dataset_report"].crossJoin(tp).crossJoin(F.broadcast(
-        spark.range(1).select(F.lit(spec.GPA_THRESHOLD).alias("gpa_threshold"),
-                              F.lit(spec.AVG_SCORE_THRESHOLD).alias("avg_test_score_threshold"),
-                              F.lit(spec.ATTENDANCE_THRESHOLD).alias("attendance_rate_threshold"))))
+    report = join_groups(out["dataset_report"], tp, []).withColumns({
+        "gpa_threshold": F.lit(spec.GPA_THRESHOLD),
+        "avg_test_score_threshold": F.lit(spec.AVG_SCORE_THRESHOLD),
+        "attendance_rate_threshold": F.lit(spec.ATTENDANCE_THRESHOLD)})
     files.write_json_report(report, f"{output_dir}/summary_report")
     return out
 
