@@ -29,6 +29,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyho.operators.stats import _by
 from tallyho.session import materialize
@@ -46,11 +47,12 @@ def _with_octave_key(df: DataFrame, v: str, out: str) -> DataFrame:
     (one ``log2`` and one ``pow`` per value; Catalyst keeps the stages apart
     rather than repeat non-cheap expressions)."""
     a = F.abs(F.col(v))
-    x = df.withColumn("_e0", F.least(F.greatest(F.floor(F.log2(a)), F.lit(-1074)), F.lit(1023)))
-    x = x.withColumn("_p0", F.pow(F.lit(2.0), F.col("_e0")))
+    e0 = F.least(F.greatest(F.floor(F.log2(a)), F.lit(-1074)), F.lit(1023))
+    x = df.withColumns({"_e0": e0, "_p0": F.pow(F.lit(2.0), e0.cast("double"))})
     low, high = F.col("_p0") > a, F.col("_p0") * 2.0 <= a
-    x = x.withColumn("_e", F.when(low, F.col("_e0") - 1).when(high, F.col("_e0") + 1).otherwise(F.col("_e0"))) \
-         .withColumn("_p", F.when(low, F.col("_p0") * 0.5).when(high, F.col("_p0") * 2.0).otherwise(F.col("_p0")))
+    x = x.withColumns({
+        "_e": F.when(low, F.col("_e0") - 1).when(high, F.col("_e0") + 1).otherwise(F.col("_e0")),
+        "_p": F.when(low, F.col("_p0") * 0.5).when(high, F.col("_p0") * 2.0).otherwise(F.col("_p0"))})
     m = F.least(F.greatest(F.floor((a / F.col("_p") - 1.0) * 16.0), F.lit(0)), F.lit(15))
     mag = F.when(F.isnan(a) | (a == F.lit(float("inf"))), F.lit(1 + 2200 * 16)) \
         .otherwise(F.lit(1) + (F.col("_e") + 1100) * 16 + m)
@@ -127,10 +129,7 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: dict[str, float],
         passes += 1
         if passes > MAX_PASSES:
             raise RuntimeError("quantile refinement did not converge")
-        open_ = state.table.where(F.col("_lo") < F.col("_hi"))
-        tgt = _fix(open_.groupBy(*part, "_n", "_lo", "_hi", "_below")
-                   .agg(F.collect_set("_rank").alias("_ranks"))
-                   .withColumn("_tid", F.monotonically_increasing_id()), count_open=False)
+        tgt = _targets(state, part)
         t = F.broadcast(tgt.table) if tgt.local else tgt.table
         cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"t.{k}")) for k in part] + [
             F.col("l._v") >= F.col("t._lo"), F.col("l._v") <= F.col("t._hi")]
@@ -168,8 +167,29 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: dict[str, float],
 
 
 class _State:
-    def __init__(self, table: DataFrame, local: bool, unresolved: int):
-        self.table, self.local, self.unresolved = table, local, unresolved
+    def __init__(self, table: DataFrame, local: bool, unresolved: int, rows=None):
+        self.table, self.local, self.unresolved, self.rows = table, local, unresolved, rows
+
+
+def _targets(state: _State, part: list[str]) -> _State:
+    """One target per still-open bucket (several ranks may share a bucket),
+    numbered by ``_tid``.  When the state is already a fetched (bounded)
+    relation the targets are formed from its rows without another job."""
+    schema = state.table.schema
+    if state.local:
+        buckets: dict[tuple, set] = {}
+        for r in state.rows:
+            if r["_lo"] < r["_hi"]:
+                key = (*[r[c] for c in part], r["_n"], r["_lo"], r["_hi"], r["_below"])
+                buckets.setdefault(key, set()).add(r["_rank"])
+        fields = [schema[c] for c in [*part, "_n", "_lo", "_hi", "_below"]] + [
+            T.StructField("_ranks", T.ArrayType(T.LongType())), T.StructField("_tid", T.LongType())]
+        data = [(*k, sorted(v), i) for i, (k, v) in enumerate(buckets.items())]
+        return _State(state.table.sparkSession.createDataFrame(data, T.StructType(fields)), True, 0)
+    open_ = state.table.where(F.col("_lo") < F.col("_hi"))
+    return _fix(open_.groupBy(*part, "_n", "_lo", "_hi", "_below")
+                .agg(F.collect_set("_rank").alias("_ranks"))
+                .withColumn("_tid", F.monotonically_increasing_id()), count_open=False)
 
 
 def _fix(df: DataFrame, count_open: bool = True) -> _State:
@@ -180,7 +200,7 @@ def _fix(df: DataFrame, count_open: bool = True) -> _State:
     if len(rows) <= MAX_LOCAL_TARGETS:
         table = df.sparkSession.createDataFrame(rows, df.schema)
         unresolved = sum(1 for r in rows if r["_lo"] < r["_hi"]) if count_open else 0
-        return _State(table, True, unresolved)
+        return _State(table, True, unresolved, rows)
     table = materialize(df)
     unresolved = table.where(F.col("_lo") < F.col("_hi")).limit(1).count() if count_open else 0
     return _State(table, False, unresolved)
