@@ -22,7 +22,7 @@ from tallyho.session import materialize
 
 
 ROWS_PER_PART = None          # None: use spark.sql.shuffle.partitions parts
-MAX_OFFSET_ROWS = 2_000_000   # (group, part) offset rows broadcast after a size check
+MAX_OFFSET_ROWS = 10_000      # (group, part) offset rows broadcast after a size check; beyond: shuffle join
 
 
 def _parts_for(df: DataFrame, rows_per_part: int | None, num_parts: int | None) -> int:

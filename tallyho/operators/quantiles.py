@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,13 +61,6 @@ def _with_octave_key(df: DataFrame, v: str, out: str) -> DataFrame:
     return x.withColumn(out, key).drop("_e0", "_p0", "_e", "_p")
 
 
-def _long_values(df: DataFrame, exprs: dict[str, Column], keys: list[str]) -> DataFrame:
-    names = list(exprs)
-    wide = df.select(*[F.col(k) for k in keys], *[e.cast("double").alias(n) for n, e in exprs.items()])
-    return (wide.unpivot(keys, names, "_column", "_v")
-            .where(F.col("_v").isNotNull()))
-
-
 def _ranks(n: Column, probs: Sequence[float]) -> Column:
     """Array of the 0-based ranks needed for all probabilities (floor and ceil of (n-1)p)."""
     rs = []
@@ -110,40 +104,48 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: dict[str, float],
                 .alias(f"{n}__{lb}") for n, e in exprs.items() for lb in labels]
         return df.groupBy(*keys).agg(*aggs)
 
-    long = _long_values(df, exprs, keys)
-    part = [*keys, "_column"]
-    ps = [float(probs[lb]) for lb in labels]
-
-    # Pass 1: octave buckets per (group, column).
-    hist = _with_octave_key(long, "_v", "_b").groupBy(*part, "_b").agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    hist = (hist.withColumn("_n", F.sum("_c").over(Window.partitionBy(*part)))
-            .withColumn("_want", _ranks(F.col("_n"), ps)))
-    found = _locate(hist, part, "_b", "_want", F.lit(0).cast("long"))
-    state = _fix(found.select(*part, "_n", "_rank", "_lo", "_hi", F.col("_start").alias("_below")))
-    done = [state.table.where(F.col("_lo") == F.col("_hi"))]
-
-    # Refinement passes over the still-open buckets only.
-    passes = 0
-    while state.unresolved > 0:
-        passes += 1
-        if passes > MAX_PASSES:
-            raise RuntimeError("quantile refinement did not converge")
-        tgt = _targets(state, part)
-        t = F.broadcast(tgt.table) if tgt.local else tgt.table
-        cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"t.{k}")) for k in part] + [
-            F.col("l._v") >= F.col("t._lo"), F.col("l._v") <= F.col("t._hi")]
-        rows = long.alias("l").join(t.alias("t"), cond, "inner")
-        width = F.col("t._hi") - F.col("t._lo")
-        sb = F.least(F.floor((F.col("l._v") - F.col("t._lo")) / width * F.lit(float(SUB_BUCKETS))),
-                     F.lit(SUB_BUCKETS - 1)).cast("long")
-        sub = rows.groupBy(F.col("t._tid").alias("_tid"), sb.alias("_sb")).agg(
-            F.count(F.lit(1)).alias("_c"), F.min("l._v").alias("_lo"), F.max("l._v").alias("_hi"))
-        info = tgt.table.select("_tid", *part, "_n", "_ranks", F.col("_below").alias("_base"))
-        sub = sub.join(F.broadcast(info) if tgt.local else info, "_tid")
-        found = _locate(sub, ["_tid"], "_sb", "_ranks", F.col("_base"))
+    # The projected input is kept for the passes (spilling to disk as needed;
+    # lost blocks are recomputed from lineage).  The result never refers to
+    # it -- every state table is fetched or written -- so it is released here.
+    wide = df.select(*[F.col(k) for k in keys], *[e.cast("double").alias(n) for n, e in exprs.items()])
+    wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        long = (wide.unpivot(keys, list(exprs), "_column", "_v").where(F.col("_v").isNotNull()))
+        part = [*keys, "_column"]
+        ps = [float(probs[lb]) for lb in labels]
+
+        # Pass 1: octave buckets per (group, column).
+        hist = _with_octave_key(long, "_v", "_b").groupBy(*part, "_b").agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        hist = (hist.withColumn("_n", F.sum("_c").over(Window.partitionBy(*part)))
+                .withColumn("_want", _ranks(F.col("_n"), ps)))
+        found = _locate(hist, part, "_b", "_want", F.lit(0).cast("long"))
         state = _fix(found.select(*part, "_n", "_rank", "_lo", "_hi", F.col("_start").alias("_below")))
-        done.append(state.table.where(F.col("_lo") == F.col("_hi")))
+        done = [state.table.where(F.col("_lo") == F.col("_hi"))]
+
+        # Refinement passes over the still-open buckets only.
+        passes = 0
+        while state.unresolved > 0:
+            passes += 1
+            if passes > MAX_PASSES:
+                raise RuntimeError("quantile refinement did not converge")
+            tgt = _targets(state, part)
+            t = F.broadcast(tgt.table) if tgt.local else tgt.table
+            cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"t.{k}")) for k in part] + [
+                F.col("l._v") >= F.col("t._lo"), F.col("l._v") <= F.col("t._hi")]
+            rows = long.alias("l").join(t.alias("t"), cond, "inner")
+            width = F.col("t._hi") - F.col("t._lo")
+            sb = F.least(F.floor((F.col("l._v") - F.col("t._lo")) / width * F.lit(float(SUB_BUCKETS))),
+                         F.lit(SUB_BUCKETS - 1)).cast("long")
+            sub = rows.groupBy(F.col("t._tid").alias("_tid"), sb.alias("_sb")).agg(
+                F.count(F.lit(1)).alias("_c"), F.min("l._v").alias("_lo"), F.max("l._v").alias("_hi"))
+            info = tgt.table.select("_tid", *part, "_n", "_ranks", F.col("_below").alias("_base"))
+            sub = sub.join(F.broadcast(info) if tgt.local else info, "_tid")
+            found = _locate(sub, ["_tid"], "_sb", "_ranks", F.col("_base"))
+            state = _fix(found.select(*part, "_n", "_rank", "_lo", "_hi", F.col("_start").alias("_below")))
+            done.append(state.table.where(F.col("_lo") == F.col("_hi")))
+    finally:
+        wide.unpersist()
 
     vals = done[0]
     for d in done[1:]:
