@@ -389,6 +389,15 @@ def q_iqr_outliers_students(spark, sf_dir):
     return round_doubles(profile.iqr_outliers(labelled(spark, sf_dir), by="split"))
 
 
+EVENT_NUMERIC = ["value", "user_id"]
+
+
+@register("iqr_outliers_events", _iqr_sql(None, "events", EVENT_NUMERIC, "event_type"))
+def q_iqr_outliers_events(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    return round_doubles(profile.iqr_outliers(ev, EVENT_NUMERIC, by="event_type"))
+
+
 def _threshold_sql() -> str:
     parts = []
     for v, t in spec.THRESHOLDS.items():
