@@ -877,6 +877,47 @@ def q_parse_completions(spark, sf_dir):
     return p.select("conv_id", "turn", "status", "summary", F.size("recommendations").alias("n_recommendations"))
 
 
+def _sql_text(v) -> str:
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _explode_recs_sql() -> str:
+    parse = ORACLE["parse_completions"]
+    ctes = parse[:parse.index("SELECT conv_id, turn, status,")].rstrip()
+    has_keys = " AND ".join(f"json_exists(x, '$.{k}')" for k in spec.RECOMMENDATION_KEYS)
+    fallback = []
+    for status, fb in (("fallback_invalid_json", spec.FALLBACK_INVALID_JSON),
+                       ("fallback_error", spec.FALLBACK_OTHER)):
+        fallback.append(f"""SELECT conv_id, turn, status, 1 AS position, CAST({fb['priority']} AS BIGINT) AS priority,
+  {_sql_text(fb['category'])} AS category, {_sql_text(fb['action'])} AS action, {_sql_text(fb['reason'])} AS reason,
+  {_sql_text(fb['timeline'])} AS timeline FROM s WHERE status = '{status}'""")
+    return f"""{ctes},
+ok AS (SELECT conv_id, turn, status,
+  list_filter(CAST(json_extract(inner_text, '$.recommendations') AS JSON[]), lambda x: {has_keys}) AS recs
+  FROM s WHERE status = 'ok'),
+okx AS (SELECT conv_id, turn, status, generate_subscripts(recs, 1) AS position, unnest(recs) AS r FROM ok),
+recs AS (
+SELECT conv_id, turn, status, CAST(position AS INTEGER) AS position,
+  TRY_CAST(json_extract(r, '$.priority') AS BIGINT) AS priority, json_extract_string(r, '$.category') AS category,
+  json_extract_string(r, '$.action') AS action, json_extract_string(r, '$.reason') AS reason,
+  json_extract_string(r, '$.timeline') AS timeline FROM okx
+UNION ALL
+{chr(10).join(["UNION ALL" + chr(10) + f if i else f for i, f in enumerate(fallback)])})
+SELECT *, CAST((CASE WHEN priority IS NULL OR priority < 1 OR priority > 5 THEN 1 ELSE 0 END)
+  + (category IS NULL)::INT + (action IS NULL)::INT + (reason IS NULL)::INT + (timeline IS NULL)::INT AS INTEGER)
+  AS n_violations FROM recs"""
+
+
+@register("explode_recommendations", _explode_recs_sql())
+def q_explode_recommendations(spark, sf_dir):
+    from tallyho.operators.prompts import explode_recommendations, parse_completions
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    p = parse_completions(conv.select("conv_id", "turn", F.col("text").alias("completion")))
+    x = explode_recommendations(p, ["conv_id", "turn"])
+    return x.select("conv_id", "turn", "status", F.col("position").cast("int").alias("position"),
+                    *spec.RECOMMENDATION_KEYS, F.size("violations").cast("int").alias("n_violations"))
+
+
 # --- supervised learning (no SQL twin: row-count checks only) -------------------------------------
 
 def _splits(spark, sf_dir):

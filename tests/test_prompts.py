@@ -59,3 +59,30 @@ def test_build_prompts_routes(spark):
     assert spec.CONDITION_HEADER + spec.CONDITION_TEXTS["test_score"] in out[1].prompt
     assert out[2].route == "good_standing" and out[2].max_tokens == 600
     assert "(Excellent: above 85%)" in out[2].prompt and out[2].system_prompt == spec.GOOD_STANDING_SYSTEM
+
+
+def test_explode_recommendations_query_matches_duckdb(spark, tmp_path):
+    """The registered T7 query and its DuckDB twin on completions that parse."""
+    import duckdb
+    import pandas as pd
+
+    from __spark_entry__ import oracle_sql, queries
+
+    ok = ('```json\n{"recommendations": [{"priority": 2, "category": "Study", "action": "a", '
+          '"reason": "r", "timeline": "t"}, {"priority": 9, "category": "X", "action": "b", '
+          '"reason": "r2", "timeline": "t2"}, {"category": "no priority"}], "summary": "S"}\n```')
+    bare = '{"recommendations": [{"priority": 1, "category": "C", "action": "x", "reason": null, "timeline": "now"}]}'
+    rows = [(1, 1, "assistant", ok), (2, 1, "assistant", bare), (3, 1, "assistant", "not json"),
+            (4, 1, "assistant", '{"summary": "no list"}'), (5, 1, "assistant", "   "), (6, 0, "user", ok)]
+    pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).to_parquet(tmp_path / "conversations.parquet")
+    got = queries()["explode_recommendations"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet')")
+    want = con.execute(oracle_sql()["explode_recommendations"]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    key = ["conv_id", "turn", "position"]
+    g = got[cols].sort_values(key).reset_index(drop=True)
+    w = want[cols].sort_values(key).reset_index(drop=True)
+    assert len(g) == 6   # 2 kept items + 1 bare item + 3 fallbacks
+    assert g.astype(str).values.tolist() == w.astype(str).values.tolist()
