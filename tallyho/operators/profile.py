@@ -13,7 +13,7 @@ from tallyho import spec
 from tallyho.operators.clean import NUMERIC_TYPES, _q
 from tallyho.operators.label import avg_score
 from tallyho.operators.quantiles import median_of, quantiles
-from tallyho.operators.stats import _by, attach_stats, column_aggs, join_groups, join_small
+from tallyho.operators.stats import _by, attach_fixed, attach_stats, column_aggs, fix_small, join_groups
 
 
 def _rate(num, den):
@@ -182,7 +182,9 @@ def histogram(df: DataFrame, column: str, bins: int = spec.HIST_BINS, by=None,
     stats = stats.select(*keys, "_n",
                          F.when(same, F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("_lo"),
                          F.when(same, F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("_hi"))
-    x = attach_stats(df.where(v.isNotNull()).select(*keys, v.alias("_v")), stats, keys)
+    # Fixed once: both the rows and the (groups x bins) grid use the same small table.
+    stats, local = fix_small(stats)
+    x = attach_fixed(df.where(v.isNotNull()).select(*keys, v.alias("_v")), stats, local, keys, "left")
     raw = F.floor((F.col("_v") - F.col("_lo")) * F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))
     b = F.least(raw, F.lit(bins - 1)).cast("int")
     counts = x.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -231,7 +233,9 @@ def kde(df: DataFrame, column: str, by: str | None = spec.TARGET, gridsize: int
                          ((F.col("_hi") - F.col("_lo") + F.lit(2 * cut) * F.col("_bw"))
                           / F.lit(float(gridsize - 1))).alias("_step"))
     values = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    values = attach_stats(values, stats, keys).where(F.col("_bw").isNotNull())
+    # Fixed once (one row per group): the values and the grid both read it.
+    stats, local = fix_small(stats)
+    values = attach_fixed(values, stats, local, keys)
     reach = F.lit(KDE_REACH) * F.col("_bw")
     first = F.greatest(F.ceil((F.col("_v") - reach - F.col("_g0")) / F.col("_step")), F.lit(0))
     last = F.least(F.floor((F.col("_v") + reach - F.col("_g0")) / F.col("_step")), F.lit(gridsize - 1))

@@ -108,11 +108,37 @@ def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     executor loss without recomputation).  Beyond the cap the table is
     checkpointed to the shared folder and joined by a regular shuffle join.
     """
+    fixed, local = fix_small(small, max_rows)
+    return df.join(F.broadcast(fixed) if local else fixed, list(on), how)
+
+
+def fix_small(small: DataFrame, max_rows: int = MAX_LOCAL_STAT_ROWS) -> tuple[DataFrame, bool]:
+    """Compute a table expected to be small exactly once.
+
+    Returns ``(table, local)``: a driver-held relation when it has at most
+    ``max_rows`` rows (one job fetches at most ``max_rows + 1``), else the table
+    written to the shared folder.  Either way later uses (both sides of a
+    plan, retries) read fixed values instead of re-running the upstream plan.
+    """
     rows = small.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
-        local = df.sparkSession.createDataFrame(rows, small.schema)
-        return df.join(F.broadcast(local), list(on), how)
-    return df.join(materialize(small), list(on), how)
+        return small.sparkSession.createDataFrame(rows, small.schema), True
+    return materialize(small), False
+
+
+def attach_fixed(df: DataFrame, fixed: DataFrame, local: bool, keys: Sequence[str],
+                 how: str = "inner") -> DataFrame:
+    """Join a table fixed by ``fix_small``; with no keys it has at most one row
+    and is attached as literals (no row at all: ``how='inner'`` keeps nothing)."""
+    keys = list(keys)
+    if keys:
+        return df.join(F.broadcast(fixed) if local else fixed, keys, how)
+    if fixed.limit(1).count() == 0:
+        empty = df.where(F.lit(False))
+        return empty.withColumns({f.name: F.lit(None).cast(f.dataType) for f in fixed.schema.fields}) \
+            if how == "inner" else df.withColumns({f.name: F.lit(None).cast(f.dataType)
+                                                   for f in fixed.schema.fields})
+    return df.withColumns(one_row_values(fixed))
 
 
 def _literal(value, data_type: T.DataType) -> Column:
