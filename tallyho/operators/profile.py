@@ -6,14 +6,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyho import spec
 from tallyho.operators.clean import NUMERIC_TYPES, _q
 from tallyho.operators.label import avg_score
 from tallyho.operators.quantiles import median_of, quantiles
-from tallyho.operators.stats import _by, attach_fixed, attach_stats, column_aggs, fix_small, join_groups
+from tallyho.operators.stats import (_by, attach_fixed, attach_stats, column_aggs, fix_small, join_groups,
+                                     one_row_values)
 
 
 def _rate(num, den):
@@ -224,8 +225,10 @@ def kde(df: DataFrame, column: str, by: str | None = spec.TARGET, gridsize: int
     base = df.where(v.isNotNull()).select(*keys, v.alias("_v"))
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"),
                                     F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    # Total over the (small) per-group table: one row per group.
-    stats = stats.withColumn("_total", F.sum("_n").over(Window.partitionBy()))
+    # One row per group, computed once: the values and the grid both read it,
+    # and the total over all groups is a one-row aggregate of it.
+    stats, local = fix_small(stats)
+    stats = stats.withColumns(one_row_values(stats.agg(F.sum("_n").alias("_total"))))
     bw = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     stats = stats.withColumn("_bw", bw).where((F.col("_bw") > 0) & F.col("_bw").isNotNull())
     stats = stats.select(*keys, "_n", "_total", "_bw",
@@ -233,8 +236,6 @@ def kde(df: DataFrame, column: str, by: str | None = spec.TARGET, gridsize: int
                          ((F.col("_hi") - F.col("_lo") + F.lit(2 * cut) * F.col("_bw"))
                           / F.lit(float(gridsize - 1))).alias("_step"))
     values = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    # Fixed once (one row per group): the values and the grid both read it.
-    stats, local = fix_small(stats)
     values = attach_fixed(values, stats, local, keys)
     reach = F.lit(KDE_REACH) * F.col("_bw")
     first = F.greatest(F.ceil((F.col("_v") - reach - F.col("_g0")) / F.col("_step")), F.lit(0))
