@@ -76,12 +76,14 @@ def _row_groups(files: list[str]) -> int | None:
     try:
         import pyarrow.parquet as pq
 
+        from urllib.parse import unquote, urlparse
+
         total = 0
         for f in files:
-            path = f[len("file://"):] if f.startswith("file://") else f
-            if "://" in path:
+            uri = urlparse(f)
+            if uri.scheme not in ("", "file"):
                 return None
-            total += pq.ParquetFile(path).metadata.num_row_groups
+            total += pq.ParquetFile(unquote(uri.path)).metadata.num_row_groups
         return total
     except Exception:  # noqa: BLE001 - unreadable footer: leave the scan as it is
         return None

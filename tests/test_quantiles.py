@@ -94,3 +94,12 @@ def test_kde_matches_brute_force(spark):
             x, d = got[(cls, j)]
             assert x == pytest.approx(grid[j], rel=1e-9, abs=1e-9)
             assert d == pytest.approx(dens[j], rel=1e-9, abs=1e-15)
+
+
+def test_written_state_path_matches_percentile(spark, monkeypatch):
+    """Beyond the local cap the bucket states are written to the shared folder
+    and joined without a broadcast; results must not change."""
+    import tallyho.operators.quantiles as Q
+    monkeypatch.setattr(Q, "MAX_LOCAL_TARGETS", 3)
+    ev = spark.read.parquet(f"{SF01}/events.parquet")
+    _assert_same(ev, {"value": F.col("value"), "uid": F.col("user_id")}, "event_type")
