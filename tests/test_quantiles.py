@@ -121,3 +121,17 @@ def test_spread_only_under_split_inputs(spark, tmp_path):
     many = spark.read.parquet(str(tmp_path / "many.parquet"))
     assert spread_small_input(many) is many
     assert one.count() == 4000
+
+
+def test_approx_path_is_close_to_exact(spark):
+    li = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    exprs = {"p": F.col("l_extendedprice")}
+    exact = quantiles(li, exprs, {"q1": 0.25, "q3": 0.75}).first()
+    approx = quantiles(li, exprs, {"q1": 0.25, "q3": 0.75}, approx=True).first()
+    # percentile_approx(accuracy=10000): rank error at most n / 10000.
+    ranks = li.select(F.count_if(F.col("l_extendedprice") <= approx["p__q1"]).alias("r1"),
+                      F.count_if(F.col("l_extendedprice") <= approx["p__q3"]).alias("r3"),
+                      F.count("*").alias("n")).first()
+    assert abs(ranks.r1 - 0.25 * ranks.n) <= ranks.n / 10000 + 1
+    assert abs(ranks.r3 - 0.75 * ranks.n) <= ranks.n / 10000 + 1
+    assert exact["p__q1"] < exact["p__q3"]
