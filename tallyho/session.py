@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -42,8 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting (or a directory already set on the context) is always
-    used when present.  Only when nothing is set (local tests) do we create a
-    private scratch folder.
+    used when present.  Only a ``local`` master without any setting (tests) gets
+    a private scratch folder; on a cluster a machine-local folder would lose
+    rows, so an unset folder raises there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,12 +54,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tallyho-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df):
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path under the shared checkpoint folder for materialised tables."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write the DataFrame as a parquet table under the shared
     checkpoint folder (``spark.checkpoint.dir``) and read it back.
 
@@ -64,15 +75,50 @@ def materialize(df):
     plan twice unless cached); later passes and task retries read the written
     table instead of re-running upstream stages.  Never a local checkpoint.
     """
-    import uuid
+    return _write_table(df)[0]
+
 
+def _write_table(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, f"tables/{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for materialised tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a written table through the file system that holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Written intermediate tables of one job, deleted when the job is done.
+
+    ``with Scratch(spark) as scratch: t = scratch.table(df)`` writes ``df`` under
+    the shared checkpoint folder.  Leaving the block deletes the tables, so a
+    result that is returned lazily must not read them (use ``materialize``).
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        for _, path in self.paths:
+            delete_path(self.spark, path)
+        self.paths = []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        written = _write_table(df)
+        self.paths.append(written)
+        return written[0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for t in tables:
+            for entry in [e for e in self.paths if e[0] is t]:
+                delete_path(self.spark, entry[1])
+                self.paths.remove(entry)
