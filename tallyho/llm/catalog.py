@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyho.llm import line_dedup, mixing
+from tallyho.llm import line_dedup, mixing, packing, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,30 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(pages, "host", "text").select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document."""
+    names = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
+    return sharding.place(_read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], names)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    import public_tokenizers
+    packed = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a model that has not seen the held-out fifth."""
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").where(part != 0).select("doc_id", "quality")
+    model = quality.train(docs, labels)
+    held = F.coalesce(part == 0, F.lit(False)).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(_read(spark, sf_dir, "documents")).select(
@@ -28,6 +52,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_sharding": op4_sharding,
+    "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
 }
 
