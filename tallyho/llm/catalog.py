@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyho.llm import line_dedup, mixing, packing, quality, sharding
+from tallyho.llm import jaccard_join, line_dedup, mixing, packing, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], names)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by Jaccard similarity of word 3-grams of 0.9 or more."""
+    return jaccard_join.jaccard_groups(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     import public_tokenizers
@@ -53,6 +59,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_sharding": op4_sharding,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
