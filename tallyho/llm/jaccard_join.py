@@ -9,12 +9,12 @@ sets share one.  Signatures only propose pairs; every link is checked exactly on
 the whole sets.
 
 Sets that are equal collapse to their smallest id first.  A signature's members are not
-paired with each other: all are compared with one leader (later rounds: up to
-``LEADERS``), and members that the leader links leave.  Jaccard distance is a metric, so
-a leaver x can link a stayer y only if d(y, leader) <= d(x, leader) + 1 - num / den; those pairs,
-if not connected already, are checked before x goes.  What stays meets new leaders, until
-no signature holds two components.  No link between different sets is lost and
-no group is expanded into all pairs.
+paired with each other.  All are compared with the signature's smallest id (a star), and
+what that links becomes one component.  Only signatures that still hold two components
+are looked at again, in cells of bounded size: parity sketches bound the symmetric
+difference from below, and a cell hands on a spanning forest of the pairs between
+components that the bound allows, then, once those are checked, the pairs that are
+still allowed between components.  No link between different sets is lost.
 
 Defined results
 * Every input row is returned once; rows that repeat an id belong to one component.
@@ -43,7 +43,10 @@ WIDTH = 3
 NUM, DEN = 90, 100
 #: Ratio of a size band's ends.
 BAND = 1.4
-LEADERS = 16
+#: Members of a signature in one cell's side.
+CELL_ROWS = 512
+#: Bits of a parity sketch for each element that may differ.
+SKETCH_BITS = 16
 _PART = np.uint64(0xA0761D6478BD642F)
 _CELL = np.uint64(0xE7037ED1A0B428DB)
 
@@ -122,24 +125,69 @@ def describe(df: DataFrame, doc_id: str, text: str, width: int, num: int, den: i
     return rows.mapInArrow(run, "doc_id bigint, n bigint, fa bigint, fb bigint, keys array<bigint>")
 
 
-def contents(df: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(id, set) of the rows with a wanted id: sorted 64-bit shingle hashes as binary."""
+def sketch(elements: np.ndarray, num: int, den: int) -> bytes:
+    """Parity of the number of elements in each of 2^m buckets.
+
+    Two sketches differ in at most as many bits as their sets differ in elements.  A
+    longer sketch folds to a shorter one by the exclusive or of its halves.
+    """
+    differ = (den - num) * 2 * len(elements) // (den + num)
+    bits = 1 << max(8, (SKETCH_BITS * differ).bit_length())
+    bucket = (mix64(elements ^ _CELL ^ _PART) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(raw: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to the shortest."""
+    width = min(map(len, raw))
+    out = np.empty((len(raw), width // 8), np.uint64)
+    for i, x in enumerate(raw):
+        v = np.frombuffer(x, np.uint64)
+        while len(v) > width // 8:
+            v = v[:len(v) // 2] ^ v[len(v) // 2:]
+        out[i] = v
+    return out
+
+
+def contents(df: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """(id, n, set, sketch) of the rows with a wanted id; the set is sorted 64-bit shingle hashes as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            sets = distinct(*shingles(words_of(batch.column(1)), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), binaries(*sets).cast(pa.binary())], names=["id", "set"])
+            sets, first = distinct(*shingles(words_of(batch.column(1)), width))
+            marks = [sketch(sets[a:b], num, den) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(first)), binaries(sets, first).cast(pa.binary()),
+                 pa.array(marks, pa.binary())], names=["id", "n", "set", "sketch"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.join(wanted, "id").mapInArrow(run, "id bigint, set binary")
+    return rows.join(wanted, "id").mapInArrow(run, "id bigint, n bigint, set binary, sketch binary")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches and sizes allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            apart = [int(np.bitwise_count(np.bitwise_xor(*_folded([x, y]))).sum()) for x, y in zip(left, right, strict=True)]
+            keep = pa.array(np.array(apart, np.int64) * (den + num) <= (den - num) * n)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    one = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    near_size = F.greatest("na", "nb") * num <= F.least("na", "nb") * den
+    return (pairs.join(one, "a").join(two, "b").where(near_size).select("a", "b", "na", "nb", "sa", "sb")
+            .mapInArrow(run, "a bigint, b bigint"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, distance, near) of pairs (a, b), exact on the whole sets; ids with several texts take their nearest."""
+    """(u, v) of the pairs (a, b) that are linked, exact on the whole sets; any text of a repeated id counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inter, union = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            near = np.zeros(batch.num_rows, bool)
             left, right = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 a, b = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
@@ -147,60 +195,127 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                     a, b = b, a
                 at = np.searchsorted(b, a)
                 at[at == len(b)] = 0
-                inter[i] = np.count_nonzero(b[at] == a) if len(b) else 0
-                union[i] = len(a) + len(b) - inter[i]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(1 - inter / np.maximum(1, union)),
-                pa.array((den * inter >= num * union) & (inter > 0))], names=["a", "b", "distance", "near"])
+                inter = np.count_nonzero(b[at] == a) if len(b) else 0
+                near[i] = inter > 0 and den * inter >= num * (len(a) + len(b) - inter)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["u", "v"])
 
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     two = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     return (pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
-            .mapInArrow(run, "a bigint, b bigint, distance double, near boolean")
-            .groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("near").alias("near")))
+            .mapInArrow(run, "u bigint, v bigint").distinct())
 
 
-def _with_component(rows: DataFrame, ident: str, comp: DataFrame, out: str) -> DataFrame:
-    named = comp.select(F.col("id").alias(ident), F.col("component").alias(out))
-    return rows.join(named, ident, "left").withColumn(out, F.coalesce(out, ident))
+def allowed_pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, raw: list[bytes], num: int, den: int,
+                  forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of a cell that lie in different components and that sizes and sketches allow.
+
+    ``side`` is 0 or 1: rows of side 0 meet those of side 1, or each other when all are 0.
+    With ``forest`` only a spanning forest over the components, nearest pairs first.
+    """
+    one = np.flatnonzero(side == 0)
+    two = np.flatnonzero(side == 1) if side.any() else one
+    if not len(one) or not len(two):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = _folded(raw)
+    apart = np.zeros((len(one), len(two)), np.int32)
+    for w in range(words.shape[1]):
+        apart += np.bitwise_count(words[one, w][:, None] ^ words[two, w][None, :])
+    na, nb = n[one][:, None], n[two][None, :]
+    ok = ((comp[one][:, None] != comp[two][None, :]) & (apart * (den + num) <= (den - num) * (na + nb))
+          & (np.maximum(na, nb) * num <= np.minimum(na, nb) * den))
+    i, j = np.nonzero(ok)
+    if not forest:
+        if two is one:
+            i, j = i[i < j], j[i < j]
+        return one[i], two[j]
+    order = np.argsort(apart[i, j], kind="stable")
+    a, b = one[i[order]], two[j[order]]
+    _, label = np.unique(comp, return_inverse=True)
+    chosen: list[np.ndarray] = []
+    while len(a):  # each component takes its nearest pair, components merge, until no pair lies between two
+        picks = np.unique(np.concatenate([np.unique(label[x], return_index=True)[1] for x in (a, b)]))
+        chosen.append(np.stack([a[picks], b[picks]]))
+        for x, y in chosen[-1].T:
+            label[label == label[x]] = label[y]
+        cross = label[a] != label[b]
+        a, b = a[cross], b[cross]
+    both = np.concatenate(chosen, axis=1) if chosen else np.zeros((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """(a, b) from (key, id, c, n, sketch) rows of signatures with several components.
+
+    A signature with many members is split into blocks by a hash of the id, and each pair of
+    blocks is a cell; the rows of a cell stand together after a sort by cell.
+    """
+    count = members.groupBy("key").agg(F.count("*").alias("rows")).select(
+        "key", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = (members.join(count, "key").withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+            .withColumn("side", (F.col("own") > F.col("lo")).cast("int")))
+    rows = (rows.select("key", "lo", "hi", "side", "id", "c", "n", "sketch").repartition("key", "lo", "hi")
+            .sortWithinPartitions("key", "lo", "hi"))
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        key = np.stack([table.column(i).to_numpy() for i in range(3)], axis=1)
+        edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+        side, ident, comp, n = (table.column(i).to_numpy() for i in range(3, 7))
+        raw = table.column(7).to_pylist()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in zip(edge, np.append(edge[1:], len(key)), strict=True):
+            if comp[a:b].min() < comp[a:b].max():
+                x, y = allowed_pairs(side[a:b], comp[a:b], n[a:b], raw[a:b], num, den, forest)
+                found.append((ident[a + x], ident[a + y]))
+        flat = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(*flat)), pa.array(np.minimum(*flat))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # a cell may reach into the next batch
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cut = np.flatnonzero((key != key[-1]).any(axis=1))
+            last = int(cut[-1]) + 1 if len(cut) else 0
+            if held and last == 0 and [held[-1].column(i)[-1].as_py() for i in range(3)] == key[0].tolist():
+                held.append(batch)
+                continue
+            if last == 0:
+                yield pairs(pa.Table.from_batches(held)) if held else pairs(pa.Table.from_batches([batch.slice(0, 0)]))
+                held = [batch]
+                continue
+            yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = [batch.slice(last)]
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
 
 
 def link(active: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(id, component) of linked ids from the memberships (key, id) of shared signatures."""
-    spark = active.sparkSession
-    slack = 1 - num / den + 1e-9
-    links, comp = None, spark.createDataFrame([], "id long, component long")
-    leaders = 1
-    while not active.isEmpty():
-        lead = (active.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("slot"))
-                .agg(F.min("id").alias("leader")).drop("slot"))
-        star = scratch.table(active.join(lead, "key").where("id <> leader"))
-        found = scratch.table(verified(star.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), sets, num, den))
-        near = found.where("near").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        measured = scratch.table(star.join(found.select(F.col("a").alias("id"), F.col("b").alias("leader"), "distance", "near"),
-                                           ["id", "leader"]))
-        gone = measured.where("near").groupBy("key", "id").agg(F.min_by("leader", "distance").alias("leader"),
-                                                              F.min("distance").alias("dx"))
-        gone = scratch.table(gone)
-        left = gone.select("key", "id").unionByName(lead.select("key", F.col("leader").alias("id")))
-        stay = scratch.table(active.join(left, ["key", "id"], "left_anti"))
-        links = near if links is None else links.unionByName(near)
-        if stay.isEmpty():
-            comp = components(links, scratch)
+    marks = sets.select("id", "n", "sketch")
+    lead = active.groupBy("key").agg(F.min("id").alias("b"))
+    star = active.select("key", F.col("id").alias("a")).join(lead, "key").where("a <> b").select("a", "b").distinct()
+    links = scratch.table(verified(possible(star, marks, num, den), sets, num, den))
+    comp = components(links, scratch)
+    for forest in (True, False):
+        placed = scratch.table(_with_component(active, comp))
+        several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        members = scratch.table(placed.join(several, "key").join(marks, "id").select("key", "id", "c", "n", "sketch"))
+        if members.isEmpty():
             break
-        comp = components(links, scratch)
-        far = stay.join(measured, ["key", "id"]).select("key", "leader", F.col("id").alias("y"), F.col("distance").alias("dy"))
-        ring = (gone.select("key", "leader", F.col("id").alias("x"), "dx").join(far, ["key", "leader"])
-                .where(F.col("dy") <= F.col("dx") + slack).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        ring = _with_component(_with_component(ring, "a", comp, "ca"), "b", comp, "cb").where("ca <> cb").select("a", "b")
-        ring = scratch.table(verified(ring, sets, num, den).where("near").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if not ring.isEmpty():
-            links = links.unionByName(ring)
+        more = scratch.table(verified(scratch.table(cell_pairs(members, num, den, forest)), sets, num, den))
+        if not more.isEmpty():
+            links = links.unionByName(more)
             comp = components(links, scratch)
-        stay = _with_component(stay, "id", comp, "c")
-        open_keys = stay.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        active = scratch.table(stay.join(open_keys, "key").select("key", "id"))
-        leaders = LEADERS
     return comp
 
 
@@ -216,7 +331,7 @@ def jaccard_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         every = shared_keys(usable.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")))
         reps = every.join(members.distinct(), F.col("id") == F.col("doc_id")).select("key", F.col("rep").alias("id"))
         active = scratch.table(shared_keys(reps.distinct()))
-        full = contents(df, active.select("id").distinct(), doc_id, text, width)
+        full = contents(df, active.select("id").distinct(), doc_id, text, width, num, den)
         if not usable.groupBy("doc_id").count().where("count > 1").isEmpty():
             full = full.distinct()
         comp = link(active, scratch.table(full), num, den, scratch)
