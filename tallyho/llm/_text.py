@@ -2,7 +2,7 @@
 
 Words are the runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased.
 They are held as 64-bit hashes: a polynomial over the bytes modulo 2^64, finished
-by a bit mixer.  Texts are cut into slices of a few megabytes, so the arrays stay
+by a bit mixer.  Texts are cut into slices of half a megabyte, so the arrays stay
 small whatever a batch holds; one document is never cut.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes over which one prefix sum of the word hash runs.
 SPAN_BYTES = 1 << 20
 
@@ -98,7 +98,8 @@ class Words:
         return np.repeat(np.arange(self.docs), self.per_doc)
 
 
-def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of byte spans in ascending order; ``lower`` folds A-Z."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -114,8 +115,8 @@ def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix64(out)
 
 
-def words_of(column: pa.Array, lower: bool = True) -> Words:
-    """Words of a text column; ``lower`` folds A-Z before hashing."""
+def words_of(column: pa.Array, hashed: bool = True) -> Words:
+    """Words of a text column; without ``hashed`` only their places are found."""
     data, offsets = text_bytes(column)
     word = ~_BLANK[data]
     if len(data):
@@ -128,7 +129,8 @@ def words_of(column: pa.Array, lower: bool = True) -> Words:
         starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
     else:
         starts = ends = np.zeros(0, np.int64)
-    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), _hash_words(data, starts, ends, lower))
+    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets),
+                 hash_words(data, starts, ends) if hashed else np.zeros(0, np.uint64))
 
 
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -7,7 +7,8 @@ documents form one stream in which neighbours are alike; the stream is cut every
 padded.
 
 Only (key, id, number of tokens) is range-sorted; the ids stay in their written table
-and get their place in the stream by a join on the row number.
+and get their place in the stream by a join on the row number.  The pieces are cut from
+that table when the result is read, so their ids are not written a second time.
 
 Defined results
 * Every input row is a document, also repeated rows; each has at least the end id.
@@ -21,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyho.llm._hilbert import hilbert_index
-from tallyho.llm._text import binaries, mix64, slices, words_of
+from tallyho.llm._text import Words, binaries, hash_words, mix64, slices, words_of
 from tallyho.session import Scratch, materialize
 
 LENGTH = 2048
@@ -39,58 +41,120 @@ END_ID = 1
 BUCKETS, DIMS, BITS = 1024, 3, 16
 SEED = 11
 #: Distinct words whose ids a Python worker keeps; beyond that it starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_500_000
+#: Words that are handed to the tokenizer at once.
+LEARN_WORDS = 20_000
 #: Documents whose hashed vectors are held at once.
 VECTOR_DOCS = 1024
 #: Bytes of ids after which a task hands on its pieces.
 FLUSH_BYTES = 4 << 20
+_LETTER = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 PIECES = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, "
           "offset bigint")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in kept]
+    return {**{b: chr(b) for b in kept}, **{b: chr(256 + i) for i, b in enumerate(other)}}
+
+
 class WordIds:
-    """Token ids of words.  White space separates the tokenizer's pieces, so ids of a text are those of its words."""
+    """Token ids of words.
+
+    White space separates the tokenizer's pieces, so the ids of a text are those of its
+    words; marks behind a letter or digit are a piece of their own.  Ids are kept by the
+    hash of the lower-cased span (the tokenizer lower-cases); words with "<" may hold a
+    special token, so they are neither cut nor folded.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, words, where: np.ndarray, keys: np.ndarray) -> None:
-        raw = words.data.tobytes() if len(where) > 2000 else None
-        cut = (lambda a, b: raw[a:b]) if raw is not None else (lambda a, b: words.data[a:b].tobytes())
-        texts = [cut(a, b).decode("utf-8", "replace") for a, b in zip(words.starts[where], words.ends[where], strict=True)]
-        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _ids(self, raw: list[bytes]) -> list[list[int]]:
+        """Ids of spans.  A span of letters is one piece, which goes to the model as it is; others go through the tokenizer."""
+        out: list[list[int]] = []
+        rest: list[int] = []
+        texts = [x.decode("utf-8", "replace") for x in raw]
+        one = self.tokenizer.model.tokenize
+        for i, text in enumerate(texts):
+            small = text.lower()
+            if small.isascii():
+                plain = small.isalpha()
+            else:
+                small = unicodedata.normalize("NFC", text).lower()
+                plain = small.isalpha() and max(map(ord, small)) < 0x250
+                small = "".join(map(self.letters.__getitem__, small.encode()))
+            if plain:
+                out.append([t.id for t in one(small)])
+            else:
+                out.append([])
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
+        flats, counts = [self.flat], []
+        for lo in range(0, len(keys), LEARN_WORDS):
+            cut = slice(lo, lo + LEARN_WORDS)
+            ids = self._ids([data[a:b].tobytes() for a, b in zip(starts[cut], ends[cut], strict=True)])
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flats.append(np.fromiter((i for x in ids for i in x), np.uint32, int(counts[-1].sum())))
+        n = np.concatenate(counts)
         at = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, np.fromiter((x for e in ids for x in e), np.uint32, int(n.sum()))])
+        self.flat = np.concatenate(flats)
         place = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.n = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.at, at), (self.n, n)))
 
+    def _spans(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, document, may hold a special token) of words cut before their last marks."""
+        data, starts, ends = words.data, words.starts, words.ends
+        opened = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(data == ord("<"), out=opened[1:])
+        odd = opened[ends] > opened[starts]
+        mark = _MARK[data]
+        other = np.concatenate([[-1], np.maximum.accumulate(np.where(mark, -1, np.arange(len(data))))])
+        last = np.maximum(other[ends], starts)  # the last byte that is no mark
+        before = data[np.maximum(last - 1, 0)]
+        letter = _LETTER[data[last]] | ((last > starts) & (before == 0xC3) & ~np.isin(data[last], [0x97, 0xB7]))
+        tail = np.flatnonzero((last + 1 < ends) & letter & ~mark[last] & ~odd)
+        at = np.insert(starts, tail + 1, last[tail] + 1)
+        to = np.insert(ends, tail, last[tail] + 1)
+        return at, to, np.insert(words.doc_of_word(), tail, words.doc_of_word()[tail]), np.insert(odd, tail, False)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first) with the end id after each text."""
-        words = words_of(column, lower=False)
-        unique, where, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        words = words_of(column, hashed=False)
+        starts, ends, doc, odd = self._spans(words)
+        hashes = hash_words(words.data, starts, ends)
+        odd = np.flatnonzero(odd)
+        hashes[odd] = mix64(hash_words(words.data, starts[odd], ends[odd], lower=False))
+        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > KNOWN_WORDS:
             self.clear()
         place = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
         new = self.keys[place] != unique if len(self.keys) else np.ones(len(unique), bool)
         if new.any():
-            self._learn(words, where[new], unique[new])
-        row = np.searchsorted(self.keys, unique)[inverse]
-        n, at = self.n[row], self.at[row]
-        ends = np.cumsum(n)
-        words_end = np.concatenate([[0], ends])[words.first]
-        first = words_end + np.arange(words.docs + 1)
+            self._learn(words.data, starts[where[new]], ends[where[new]], unique[new])
+        row = np.searchsorted(self.keys, unique)
+        n, at = self.n[row][inverse], self.at[row][inverse]
+        begin = np.concatenate([[0], np.cumsum(n)])
+        first = begin[np.searchsorted(doc, np.arange(words.docs + 1))] + np.arange(words.docs + 1)
         out = np.full(first[-1], END_ID, np.uint32)
         body = np.ones(len(out), bool)
         body[first[1:] - 1] = False
-        out[body] = self.flat[np.repeat(at - (ends - n), n) + np.arange(int(n.sum()))]
+        out[body] = self.flat[np.repeat(at - begin[:-1], n) + np.arange(begin[-1])]
         return out, first
 
 
@@ -108,12 +172,13 @@ def curve_keys(ids: np.ndarray, first: np.ndarray, buckets: int = BUCKETS, dims:
                seed: int = SEED) -> np.ndarray:
     """Hilbert keys of documents given as flat ids."""
     plane = np.random.default_rng(seed).standard_normal((buckets, dims))
+    bucket = (mix64(np.arange(int(ids.max(initial=0)) + 1, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64)
     keys = []
     for lo in range(0, len(first) - 1, VECTOR_DOCS):
         hi = min(lo + VECTOR_DOCS, len(first) - 1)
         own = ids[first[lo]:first[hi]]
         doc = np.repeat(np.arange(hi - lo), np.diff(first[lo:hi + 1]))
-        cell = doc * buckets + (mix64(own.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        cell = doc * buckets + bucket[own]
         vector = np.sqrt(np.bincount(cell, minlength=(hi - lo) * buckets).reshape(hi - lo, buckets))
         norm = np.sqrt((vector * vector).sum(axis=1, keepdims=True))
         point = (vector / np.maximum(norm, 1e-12)) @ plane
@@ -156,7 +221,7 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
                 binaries(small, first).cast(pa.binary())], names=["doc_id", "key", "n", "width", "ids"])
 
     with Scratch(spark) as scratch:
-        encoded = scratch.table(
+        encoded = materialize(
             df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
             .mapInArrow(encode, "doc_id bigint, key bigint, n bigint, width int, ids binary")
             .withColumn("row", F.monotonically_increasing_id()))
@@ -167,7 +232,7 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
         before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
         base = totals.select("part", before.alias("base"))  # one row a partition
         inside = F.sum("n").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-        placed = scratch.table(ranged.withColumn("to", inside).join(F.broadcast(base), "part")
+        placed = materialize(ranged.withColumn("to", inside).join(F.broadcast(base), "part")
                                .select("row", (F.col("base") + F.col("to") - F.col("n")).alias("at")))
         total = ranged.agg(F.sum("n")).first()[0] or 0
         cuts = np.array(tail_cuts(total, length), np.int64)
@@ -192,4 +257,4 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
             if rows:
                 yield pieces(rows)
 
-        return materialize(encoded.join(placed, "row").select("doc_id", "at", "width", "ids").mapInArrow(cut, PIECES))
+        return encoded.join(placed, "row").select("doc_id", "at", "width", "ids").mapInArrow(cut, PIECES)

@@ -226,7 +226,7 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            x = features(words_of(batch.column(0), lower=True))
+            x = features(words_of(batch.column(0)))
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T.copy())],
                                              names=["label", *FEATURES])
 
