@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyho.llm import jaccard_join, line_dedup, mixing, packing, quality, sharding
+from tallyho.llm import hash_forest, jaccard_join, line_dedup, mixing, packing, pivot_index, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with cosine 0.95 or more."""
+    return pivot_index.near_duplicates(_read(spark, sf_dir, "embeddings")).select(
+        "vec_id", "n_links", "component_id", "kept")
+
+
+def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return hash_forest.search(vectors, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
 LLM_QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_sharding": op4_sharding,
@@ -63,6 +75,8 @@ LLM_QUERIES = {
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op9_pivot_index": op9_pivot_index,
+    "op10_hash_forest": op10_hash_forest,
 }
 
 _HIDDEN_SQL = "html"

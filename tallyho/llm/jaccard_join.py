@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyho.llm._cells import whole_groups
 from tallyho.llm._components import components
 from tallyho.llm._shared import shared_keys
 from tallyho.llm._text import binaries, distinct, mix64, shingles, slices, words_of
@@ -259,38 +260,19 @@ def cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFram
     rows = (rows.select("key", "lo", "hi", "side", "id", "c", "n", "sketch").repartition("key", "lo", "hi")
             .sortWithinPartitions("key", "lo", "hi"))
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        key = np.stack([table.column(i).to_numpy() for i in range(3)], axis=1)
-        edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-        side, ident, comp, n = (table.column(i).to_numpy() for i in range(3, 7))
-        raw = table.column(7).to_pylist()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in zip(edge, np.append(edge[1:], len(key)), strict=True):
-            if comp[a:b].min() < comp[a:b].max():
-                x, y = allowed_pairs(side[a:b], comp[a:b], n[a:b], raw[a:b], num, den, forest)
-                found.append((ident[a + x], ident[a + y]))
-        flat = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(*flat)), pa.array(np.minimum(*flat))], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:  # a cell may reach into the next batch
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            cut = np.flatnonzero((key != key[-1]).any(axis=1))
-            last = int(cut[-1]) + 1 if len(cut) else 0
-            if held and last == 0 and [held[-1].column(i)[-1].as_py() for i in range(3)] == key[0].tolist():
-                held.append(batch)
-                continue
-            if last == 0:
-                yield pairs(pa.Table.from_batches(held)) if held else pairs(pa.Table.from_batches([batch.slice(0, 0)]))
-                held = [batch]
-                continue
-            yield pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
-            held = [batch.slice(last)]
-        if held:
-            yield pairs(pa.Table.from_batches(held))
+        for table, edges in whole_groups(batches, 3):
+            side, ident, comp, n = (table.column(i).to_numpy() for i in range(3, 7))
+            raw = table.column(7).to_pylist()
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if comp[a:b].min() < comp[a:b].max():
+                    x, y = allowed_pairs(side[a:b], comp[a:b], n[a:b], raw[a:b], num, den, forest)
+                    found.append((ident[a + x], ident[a + y]))
+            if found:
+                one, two = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
