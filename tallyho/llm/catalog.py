@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyho.llm import hash_forest, jaccard_join, line_dedup, mixing, packing, pivot_index, quality, sharding
+from tallyho.llm import hash_forest, jaccard_join, line_dedup, mixing, packing, pivot_index, quality, sharding, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents share."""
+    return substring_dedup.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate lines leave the visible text of every page, judged within its host."""
     pages = _read(spark, sf_dir, "pages").select(
@@ -69,6 +74,7 @@ def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op4_sharding": op4_sharding,
     "op5_jaccard_join": op5_jaccard_join,
