@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyho.llm import hash_forest, jaccard_join, line_dedup, mixing, packing, pivot_index, quality, sharding, substring_dedup
+from tallyho.llm import hash_forest, jaccard_join, line_dedup, mixing, packing, pitman_yor, pivot_index, quality, sharding, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(pages, "host", "text").select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text, learnt from four fifths of the documents."""
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    return pitman_yor.score(_read(spark, sf_dir, "documents"), F.coalesce(train, F.lit(True)))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document."""
     names = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
@@ -76,6 +82,7 @@ def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_pitman_yor": op3_pitman_yor,
     "op4_sharding": op4_sharding,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,

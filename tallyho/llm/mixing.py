@@ -96,16 +96,17 @@ def apportion(df: DataFrame, part: list[str], key: list[str], share: str, seats:
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
-        total: float = TOTAL, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS,
-        seed: int = SEED) -> DataFrame:
-    """Return (doc_id, source, size, source_size, target, taken, spans) for every row of ``df``.
+        total: float = TOTAL, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS, seed: int = SEED,
+        carry: tuple[str, ...] = ()) -> DataFrame:
+    """Return (doc_id, source, size, source_size, target, taken, spans) and the columns ``carry`` for every row of ``df``.
 
     ``spans`` lists [from, to) word ranges of the document that the mix takes, repeats
     listed again.  Only ids, sources and sizes are shuffled; the hot source is dealt
     over its shards, whose streams are the only ordered windows.
     """
     names = {doc_id: "doc_id", source: "source"}
-    base = materialize(df.select(*[F.col(k).alias(v) for k, v in names.items()], word_count(F.col(text)).alias("size")))
+    base = materialize(df.select(*[F.col(k).alias(v) for k, v in names.items()], *carry,
+                                 word_count(F.col(text)).alias("size")))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = materialize(source_targets(sizes, weights, total, max_repeat)
                           .withColumn("src", F.xxhash64("source", F.col("source").isNull()))
@@ -147,4 +148,27 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
                      lambda x: x["to"] > x["from"])
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["to"] - x["from"])
     return flow.withColumn("spans", spans).select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "spans")
+        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "spans", *carry)
+
+
+def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+                    **options) -> DataFrame:
+    """The mix itself: one row of ``df``, with the words taken as its text, for each span.
+
+    A document taken whole keeps its text as it is; in one taken in part words are
+    separated by single blanks.  Rows are told apart by id, text hash and a running
+    number, so repeated rows and null ids are dealt with one by one.
+    """
+    marked = df.withColumn("__mx_hash", F.xxhash64(text))
+    dealt = mix(marked, doc_id, text, source, carry=("__mx_hash",), **options)
+    nth = F.row_number().over(W.partitionBy("__mx_id", "__mx_hash").orderBy("__mx_size"))
+    dealt = (dealt.select(F.col("doc_id").alias("__mx_id"), "__mx_hash", F.col("size").alias("__mx_size"), "spans")
+             .withColumn("__mx_nth", nth))
+    left = marked.withColumn("__mx_id", F.col(doc_id)).withColumn("__mx_size", F.lit(0)).withColumn("__mx_nth", nth)
+    same = [left[c].eqNullSafe(dealt[c]) for c in ("__mx_id", "__mx_hash", "__mx_nth")]
+    spans = left.join(dealt.where(F.size("spans") > 0), same).select(
+        *[left[c] for c in df.columns], dealt["__mx_size"], F.explode("spans").alias("__mx_span"))
+    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    length = F.col("__mx_span.to") - F.col("__mx_span.from")
+    part = F.array_join(F.slice(words, (F.col("__mx_span.from") + 1).cast("int"), length.cast("int")), " ")
+    return spans.withColumn(text, F.when(length == F.col("__mx_size"), F.col(text)).otherwise(part)).select(*df.columns)
