@@ -262,11 +262,11 @@ def cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in whole_groups(batches, 3):
-            side, ident, comp, n = (table.column(i).to_numpy() for i in range(3, 7))
+            lo, hi, side, ident, comp, n = (table.column(i).to_numpy() for i in range(1, 7))
             raw = table.column(7).to_pylist()
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if comp[a:b].min() < comp[a:b].max():
+                if comp[a:b].min() < comp[a:b].max() and (lo[a] == hi[a] or side[a:b].any()):
                     x, y = allowed_pairs(side[a:b], comp[a:b], n[a:b], raw[a:b], num, den, forest)
                     found.append((ident[a + x], ident[a + y]))
             if found:

@@ -162,10 +162,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
         def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table, edges in whole_groups(batches, 3):
-                key, side, ident, dims, size = (table.column(i).to_numpy() for i in (0, 3, 4, 5, 7))
-                found: list[np.ndarray] = []
+                key, lo, hi, side, ident, dims, size = (table.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 5, 7))
+                found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     part = slice(a, b)
+                    if lo[a] < hi[a] and not (side[part].any() and (side[part] == 0).any()):
+                        continue  # one of the two blocks is empty
                     x = unit(matrix(table.column(6).slice(a, b - a), int(dims[a])))
                     near = np.array(table.column(8).slice(a, b - a).to_pylist())
                     total, pairs = cell_links(x, near, side[part], size[part], int(key[a] & 1023), shared, threshold)
