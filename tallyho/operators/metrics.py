@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyho import spec
-from tallyho.functions.scalar import fmt_comparison, fmt_duration, pct_diff, run_stamp
+from tallyho.functions.scalar import fmt_comparison, fmt_duration, pct_diff, round_half_even, run_stamp
 from tallyho.operators.ordered import rolling_window, tail_rows
 from tallyho.operators.quantiles import quantiles
 from tallyho.operators.stats import _by, attach_stats, column_aggs, join_groups
@@ -137,7 +137,7 @@ def run_metrics(df: DataFrame, label: str = "label", latency: str = "latency_ms"
     if y_true and y_pred:
         agg += [F.count_if(F.col(y_true) == F.col(y_pred)).alias("_correct"),
                 F.count(F.col(y_true)).alias("_n_truth")]
-    base = x.groupBy(*group).agg(*agg).join(lat, group)
+    base = join_groups(x.groupBy(*group).agg(*agg), lat, group)
     wall = _seconds_between(F.col("_t0"), F.col("_t1"))
     n = F.col("n_requests")
     acc = (F.col("_correct") / F.greatest(F.lit(1), F.col("_n_truth"))) if y_true and y_pred \
@@ -166,15 +166,24 @@ def run_metrics(df: DataFrame, label: str = "label", latency: str = "latency_ms"
     for name, c in cols.items():
         digits = spec.RUN_METRIC_COLUMNS.get(name)
         if rounded and digits is not None:
-            c = F.bround(c, digits)
+            c = round_half_even(c, digits)
         out.append(c.alias(name))
     return base.select(*out, *keys)
 
 
+def _array_percentile(name: str, p: float) -> Column:
+    """Linear-interpolated percentile of a sorted array column; NULL when empty."""
+    pos = (F.size(name) - 1).cast("double") * F.lit(p)
+    lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
+    a, b = F.get(F.col(name), lo), F.get(F.col(name), hi)
+    return F.when(F.size(name) > 0, F.when(lo == hi, a).otherwise(
+        (hi.cast("double") - pos) * a + (pos - lo.cast("double")) * b))
+
+
 def rolling_latency(df: DataFrame, n: int = spec.ROLLING_WINDOW, by=None,
                     order: Sequence[str] = ("ts", "event_id"), latency: str = "value",
                     error: Column | None = None, ts: str = "ts", chunk_rows: int = 100_000,
-                    rows_per_part: int = 1_000_000) -> DataFrame:
+                    rows_per_part: int | None = None) -> DataFrame:
     """Sliding window over the last ``n`` requests, emitted after every request.
 
     A failed request counts latency 0 (excluded from latency statistics).  Per
@@ -186,15 +195,17 @@ def rolling_latency(df: DataFrame, n: int = spec.ROLLING_WINDOW, by=None,
     err = F.coalesce(error, F.lit(False)) if error is not None else F.lit(False)
     lat = F.when(err, F.lit(0.0)).otherwise(F.col(latency).cast("double"))
     x = df.withColumn("_err", err.cast("int")).withColumn("_valid", F.when(lat > 0, lat))
+    # The frame's latencies are gathered once, sorted once, and both percentiles read from that array.
     aggs = {
         "window_n": F.count(F.lit(1)),
         "error_count": F.sum("_err"),
         "_avg": F.avg("_valid"),
-        "_p95": F.percentile(F.col("_valid"), F.lit(0.95)),
-        "_p99": F.percentile(F.col("_valid"), F.lit(0.99)),
+        "_frame": F.collect_list("_valid"),
     }
     r = rolling_window(x, n, keys, list(order), aggs, chunk_rows=chunk_rows,
                        rows_per_part=rows_per_part)
+    r = r.withColumn("_frame", F.array_sort("_frame"))
+    r = r.withColumns({"_p95": _array_percentile("_frame", 0.95), "_p99": _array_percentile("_frame", 0.99)})
     first = column_aggs(df, {"_t0": F.min(ts)}, keys)
     r = attach_stats(r, first, keys)
     return r.select(
@@ -212,11 +223,11 @@ def rolling_latency(df: DataFrame, n: int = spec.ROLLING_WINDOW, by=None,
 
 def tail_summary(df: DataFrame, n: int = spec.ROLLING_WINDOW, by=None,
                  order: Sequence[str] = ("ts", "event_id"), latency: str = "value",
-                 error: Column | None = None, rows_per_part: int = 1_000_000) -> DataFrame:
+                 error: Column | None = None) -> DataFrame:
     """Summary of the last ``n`` requests only."""
     keys = _by(by)
     err = F.coalesce(error, F.lit(False)) if error is not None else F.lit(False)
-    tail = tail_rows(df.withColumn("_err", err), n, keys, list(order), rows_per_part=rows_per_part)
+    tail = tail_rows(df.withColumn("_err", err), n, keys, list(order))
     v = F.when(~F.col("_err") & (F.col(latency) > 0), F.col(latency).cast("double"))
     z = F.lit(0.0)
     out = tail.groupBy(*keys).agg(
@@ -249,15 +260,20 @@ COMPARED_METRICS = ["total_execution_time_sec", "throughput_req_per_sec", "min_l
 
 
 def compare_runs(runs: DataFrame, base_label: str, other_label: str,
-                 metrics: Sequence[str] = COMPARED_METRICS, label: str = "label") -> DataFrame:
-    """Latest run of two labels side by side, metric by metric.
+                 metrics: Sequence[str] = COMPARED_METRICS, label: str = "label",
+                 base_run: str | None = None, other_run: str | None = None, ts: str = "timestamp") -> DataFrame:
+    """Two runs side by side, metric by metric (J2, F6-F9): the runs of the given
+    stamps, else the latest of each label.
 
     One row per metric: both values, absolute and % difference (percentage
     points for rate metrics; (0, 0) when the base is 0), a verdict
     (``equivalent`` / ``better`` / ``worse`` for the other run; accuracy is
     equivalent within 0.001) and display texts.
     """
-    latest = latest_run(runs.where(F.col(label).isin(base_label, other_label)), label)
+    chosen = F.lit(False)
+    for name, stamp in ((base_label, base_run), (other_label, other_run)):
+        chosen = chosen | ((F.col(label) == name) & (F.lit(True) if stamp is None else F.col(ts) == stamp))
+    latest = latest_run(runs.where(chosen), label, ts)
     ms = list(metrics)
     long = latest.select(label, *[F.col(m).cast("double").alias(m) for m in ms]).unpivot(
         [label], ms, "metric", "value")
@@ -272,7 +288,8 @@ def compare_runs(runs: DataFrame, base_label: str, other_label: str,
     eps = F.when(F.col("metric") == "accuracy", F.lit(spec.ACCURACY_EQUIVALENCE)).otherwise(F.lit(0.0))
     lower = F.col("metric").isin(LOWER_IS_BETTER)
     verdict = (F.when(F.col("base_value").isNull() | F.col("other_value").isNull(), F.lit(None))
-               .when(F.abs(F.col("other_value") - F.col("base_value")) <= eps, F.lit("equivalent"))
+               .when((F.col("other_value") == F.col("base_value"))
+                     | (F.abs(F.col("other_value") - F.col("base_value")) < eps), F.lit("equivalent"))
                .when(lower == (F.col("other_value") < F.col("base_value")), F.lit("better"))
                .otherwise(F.lit("worse")))
     is_time = F.col("metric") == "total_execution_time_sec"

@@ -1,7 +1,7 @@
 """Row-order operators without single-task windows.
 
-Anything defined "in row order" (forward fill, first N rows, the last N rows,
-sliding windows over the last N observations) needs a dense ordinal per group.
+First and last N rows per group come from the N-th order value (radix selection) and a
+filter.  Forward fill and sliding windows need a dense ordinal per group.
 A plain ``row_number().over(Window.partitionBy(g).orderBy(o))`` puts a whole
 group into one task; here a group may hold a third of all rows, so ordinals are
 built from a range partitioning instead (see ``with_sequence``): one range
@@ -16,7 +16,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyho.operators.quantiles import nth_smallest
 from tallyho.operators.stats import _by, join_small
 from tallyho.session import materialize
 
@@ -73,30 +75,70 @@ def with_sequence(df: DataFrame, by, order: Sequence[str | Column], seq_col: str
     return out.drop("_part", "_pos", "_first", "_off")
 
 
+def _sort_value(df: DataFrame, name: str) -> Column | None:
+    """A double that grows with the column (NULL first, NaN with +infinity), None where there is none."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    elif not isinstance(kind, (T.NumericType, T.BooleanType)):
+        return None
+    v = c.cast("double")
+    return F.coalesce(F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v), F.lit(float("-inf")))
+
+
+def _first_rows(df: DataFrame, limit: Column, keys: list[str], order: Sequence[str], descending: bool) -> DataFrame:
+    """The first ``limit`` rows of each group without sorting or moving the table.
+
+    The value of the first order column at the limit is found per group by radix selection
+    on that column alone; rows before it are kept by a filter, and only rows that tie
+    with it are ranked by the whole order.  Without a numeric first column the rows are
+    ranked by a window, which Spark limits inside each task before the shuffle.
+    """
+    by_order = [F.desc(o) if descending else F.asc(o) for o in order]
+    window = Window.partitionBy(*keys).orderBy(*by_order)
+    v = _sort_value(df, order[0])
+    if v is None:
+        ranked = df.withColumn("_rank", F.row_number().over(window))
+        return ranked.where(F.col("_rank") <= limit).drop("_rank")
+    v = -v if descending else v
+    cut = nth_smallest(df, v, limit, keys)
+    x = join_small(df.withColumn("_sort", v), cut, keys, "left").where(limit > 0)
+    before = x.where(F.col("_cut").isNull() | (F.col("_sort") < F.col("_cut")))
+    held = before.where(F.col("_cut").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_held"))
+    ties = join_small(x.where(F.col("_sort") == F.col("_cut")), held, keys, "left")
+    ties = ties.withColumn("_rank", F.row_number().over(window)).where(
+        F.col("_rank") <= limit - F.coalesce("_held", F.lit(0)))
+    return before.select(*df.columns).unionByName(ties.select(*df.columns))
+
+
 def head_rows(df: DataFrame, limits: int | dict[str, int], by="split",
-              order: Sequence[str] = ("row_ix",), rows_per_part: int | None = ROWS_PER_PART) -> DataFrame:
-    """First N rows of each group in ``order`` (L1/L5); N may differ per group value."""
+              order: Sequence[str] = ("row_ix",)) -> DataFrame:
+    """First N rows of each group in ``order`` (L1/L5); N may differ per group value.
+
+    With a dict, groups that it does not name are left out.
+    """
     keys = _by(by)
-    seq = with_sequence(df, keys, list(order), "_seq", rows_per_part=rows_per_part)
     if isinstance(limits, dict):
         if len(keys) != 1:
             raise ValueError("per-group limits need exactly one group column")
-        lim = F.lit(None).cast("bigint")
+        lim = F.lit(0).cast("bigint")
         for value, n in limits.items():
-            lim = F.when(F.col(keys[0]) == F.lit(value), F.lit(int(n))).otherwise(lim)
-        cond = F.col("_seq") < lim
+            lim = F.when(F.col(keys[0]).eqNullSafe(F.lit(value)), F.lit(int(n)).cast("bigint")).otherwise(lim)
     else:
-        cond = F.col("_seq") < F.lit(int(limits))
-    return seq.where(cond).drop("_seq")
+        lim = F.lit(int(limits)).cast("bigint")
+    if not keys:
+        return df.orderBy(*order).limit(int(limits))
+    return _first_rows(df, lim, keys, list(order), descending=False)
 
 
-def tail_rows(df: DataFrame, n: int, by=None, order: Sequence[str] = ("row_ix",),
-              rows_per_part: int | None = ROWS_PER_PART) -> DataFrame:
+def tail_rows(df: DataFrame, n: int, by=None, order: Sequence[str] = ("row_ix",)) -> DataFrame:
     """Last ``n`` rows of each group in ``order``."""
     keys = _by(by)
-    seq = with_sequence(df, keys, list(order), "_seq", count_col="_n",
-                        rows_per_part=rows_per_part)
-    return seq.where(F.col("_seq") >= F.col("_n") - F.lit(int(n))).drop("_seq", "_n")
+    if not keys:
+        return df.orderBy(*[F.desc(o) for o in order]).limit(int(n))
+    return _first_rows(df, F.lit(int(n)).cast("bigint"), keys, list(order), descending=True)
 
 
 def fill_forward(df: DataFrame, columns: Sequence[str] | None = None, by=None,

@@ -14,7 +14,7 @@ from tallyho.operators.clean import NUMERIC_TYPES, _q
 from tallyho.operators.label import avg_score
 from tallyho.operators.quantiles import median_of, quantiles
 from tallyho.operators.stats import (_by, attach_fixed, attach_stats, column_aggs, fix_small, join_groups,
-                                     one_row_values)
+                                     null_safe_join, one_row_values)
 
 
 def _rate(num, den):
@@ -191,7 +191,7 @@ def histogram(df: DataFrame, column: str, bins: int = spec.HIST_BINS, by=None,
     counts = x.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = stats.select(*keys, "_n", "_lo", "_hi",
                         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = grid.join(counts, [*keys, "bin"], "left")
+    out = null_safe_join(grid, counts, [*keys, "bin"], "left")
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     cols = [*keys, "bin",
             (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
@@ -213,12 +213,12 @@ def kde(df: DataFrame, column: str, by: str | None = spec.TARGET, gridsize: int
 
     Scott bandwidth ``std * n^(-1/5)`` (sample std), grid from ``min - cut*bw``
     to ``max + cut*bw`` with ``gridsize`` points; with ``common_norm`` densities
-    are scaled by the group's share of all rows.  Exact: rows are first reduced
-    to distinct (group, value, weight) by a partial-aggregated count; each
-    value then generates the grid indices it can reach (``explode`` of a
-    bounded ``sequence``, at most ``gridsize``; beyond ``KDE_REACH`` bandwidths
-    the kernel is exactly 0.0) and the kernel sums are partially aggregated per
-    (group, grid index).  No join between values and the grid.
+    are scaled by the group's share of all rows.  Exact: each row generates the
+    grid indices it can reach (``explode`` of a bounded ``sequence``, at most
+    ``gridsize``; beyond ``KDE_REACH`` bandwidths the kernel is exactly 0.0) and
+    the kernel sums are partially aggregated per (group, grid index), so only
+    groups x grid partial sums leave a task.  No shuffle of values, no join
+    between values and the grid.
     """
     keys = _by(by)
     v = _q(column).cast("double")
@@ -235,16 +235,15 @@ def kde(df: DataFrame, column: str, by: str | None = spec.TARGET, gridsize: int
                          (F.col("_lo") - F.lit(cut) * F.col("_bw")).alias("_g0"),
                          ((F.col("_hi") - F.col("_lo") + F.lit(2 * cut) * F.col("_bw"))
                           / F.lit(float(gridsize - 1))).alias("_step"))
-    values = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    values = attach_fixed(values, stats, local, keys)
+    values = attach_fixed(base, stats, local, keys)
     reach = F.lit(KDE_REACH) * F.col("_bw")
     first = F.greatest(F.ceil((F.col("_v") - reach - F.col("_g0")) / F.col("_step")), F.lit(0))
     last = F.least(F.floor((F.col("_v") + reach - F.col("_g0")) / F.col("_step")), F.lit(gridsize - 1))
-    pts = values.select(*keys, "_v", "_w", "_bw", "_g0", "_step",
+    pts = values.select(*keys, "_v", "_bw", "_g0", "_step",
                         F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("grid_ix"))
     x = F.col("_g0") + F.col("grid_ix") * F.col("_step")
     z = (x - F.col("_v")) / F.col("_bw")
-    sums = pts.groupBy(*keys, "grid_ix").agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z)).alias("_s"))
+    sums = pts.groupBy(*keys, "grid_ix").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("_s"))
     grid = stats.select(*keys, "_n", "_total", "_bw", "_g0", "_step",
                         F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_ix"))
     grid = grid.withColumn("x", F.col("_g0") + F.col("grid_ix") * F.col("_step"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyho import spec
-from tallyho.functions.scalar import or_na, yes_no
+from tallyho.functions.scalar import fixed, or_na, yes_no
 from tallyho.operators.contract import recommendation_violations
 from tallyho.operators.label import failed_conditions
 
@@ -39,9 +39,9 @@ def profile_text(note: str) -> Column:
     att = F.coalesce(F.col("attendance_rate").cast("double"), F.lit(0.0)) * F.lit(100.0)
     values = {
         "age": or_na(F.col("age")), "grade": or_na(F.col("grade")),
-        "attendance_pct": F.format_string("%.1f", att),
+        "attendance_pct": fixed(att, 1),
         "attendance_note": F.lit(note),
-        "study_hours": F.format_string("%.1f", F.coalesce(F.col("study_hours").cast("double"), F.lit(0.0))),
+        "study_hours": fixed(F.coalesce(F.col("study_hours").cast("double"), F.lit(0.0)), 1),
         "extracurricular": yes_no("extracurricular"), "part_time_job": yes_no("part_time_job"),
         "parent_support": yes_no("parent_support"), "internet_access": yes_no("internet_access"),
         "free_time": or_na(F.col("free_time")), "go_out": or_na(F.col("go_out")),
@@ -63,8 +63,8 @@ def conditions_text(conditions: Column) -> Column:
 def factors_text(factors: Column) -> Column:
     """Attribution list -> bullet text under a header; empty or missing -> '' (T4)."""
     lines = F.transform(factors, lambda f: F.format_string(
-        "- %s: %s impact (%+.3f) - %s", f["feature"], F.coalesce(f["direction"], F.lit("negative")),
-        F.coalesce(f["impact"], F.lit(0.0)),
+        "- %s: %s impact (%s) - %s", f["feature"], F.coalesce(f["direction"], F.lit("negative")),
+        fixed(F.coalesce(f["impact"], F.lit(0.0)), 3, sign=True),
         F.coalesce(f["description"], F.when(F.coalesce(f["impact"], F.lit(0.0)) >= 0,
                                              F.lit(spec.IMPACT_POSITIVE))
                    .otherwise(F.lit(spec.IMPACT_NEGATIVE)))))

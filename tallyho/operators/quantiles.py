@@ -27,13 +27,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyho.operators.stats import _by
-from tallyho.session import materialize
+from tallyho.session import Scratch, materialize
 
 SUB_BUCKETS = 1 << 16       # buckets per refinement pass
 MAX_PASSES = 12             # far above what doubles need (range / 2^16 per pass)
@@ -55,9 +54,10 @@ def _with_octave_key(df: DataFrame, v: str, out: str) -> DataFrame:
         "_e": F.when(low, F.col("_e0") - 1).when(high, F.col("_e0") + 1).otherwise(F.col("_e0")),
         "_p": F.when(low, F.col("_p0") * 0.5).when(high, F.col("_p0") * 2.0).otherwise(F.col("_p0"))})
     m = F.least(F.greatest(F.floor((a / F.col("_p") - 1.0) * 16.0), F.lit(0)), F.lit(15))
-    mag = F.when(F.isnan(a) | (a == F.lit(float("inf"))), F.lit(1 + 2200 * 16)) \
+    # NaN is the greatest value and has a bucket of its own above +infinity.
+    mag = F.when(F.isnan(a), F.lit(2 + 2200 * 16)).when(a == F.lit(float("inf")), F.lit(1 + 2200 * 16)) \
         .otherwise(F.lit(1) + (F.col("_e") + 1100) * 16 + m)
-    key = F.when(F.col(v) == 0, F.lit(0)).when(F.col(v) > 0, mag).otherwise(-mag).cast("long")
+    key = F.when(F.col(v) == 0, F.lit(0)).when(F.isnan(v) | (F.col(v) > 0), mag).otherwise(-mag).cast("long")
     return x.withColumn(out, key).drop("_e0", "_p0", "_e", "_p")
 
 
@@ -104,52 +104,16 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: dict[str, float],
                 .alias(f"{n}__{lb}") for n, e in exprs.items() for lb in labels]
         return df.groupBy(*keys).agg(*aggs)
 
-    # The projected input is kept for the passes (spilling to disk as needed;
-    # lost blocks are recomputed from lineage).  The result never refers to
-    # it -- every state table is fetched or written -- so it is released here.
+    # The projected input is written once and read by every pass.  The result
+    # never refers to it -- every state table is fetched or written -- so it is
+    # deleted at the end.
     wide = df.select(*[F.col(k) for k in keys], *[e.cast("double").alias(n) for n, e in exprs.items()])
-    wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        long = (wide.unpivot(keys, list(exprs), "_column", "_v").where(F.col("_v").isNotNull()))
-        part = [*keys, "_column"]
-        ps = [float(probs[lb]) for lb in labels]
-
-        # Pass 1: octave buckets per (group, column).
-        hist = _with_octave_key(long, "_v", "_b").groupBy(*part, "_b").agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        hist = (hist.withColumn("_n", F.sum("_c").over(Window.partitionBy(*part)))
-                .withColumn("_want", _ranks(F.col("_n"), ps)))
-        found = _locate(hist, part, "_b", "_want", F.lit(0).cast("long"))
-        state = _fix(found.select(*part, "_n", "_rank", "_lo", "_hi", F.col("_start").alias("_below")))
-        done = [state.table.where(F.col("_lo") == F.col("_hi"))]
-
-        # Refinement passes over the still-open buckets only.
-        passes = 0
-        while state.unresolved > 0:
-            passes += 1
-            if passes > MAX_PASSES:
-                raise RuntimeError("quantile refinement did not converge")
-            tgt = _targets(state, part)
-            t = F.broadcast(tgt.table) if tgt.local else tgt.table
-            cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"t.{k}")) for k in part] + [
-                F.col("l._v") >= F.col("t._lo"), F.col("l._v") <= F.col("t._hi")]
-            rows = long.alias("l").join(t.alias("t"), cond, "inner")
-            width = F.col("t._hi") - F.col("t._lo")
-            sb = F.least(F.floor((F.col("l._v") - F.col("t._lo")) / width * F.lit(float(SUB_BUCKETS))),
-                         F.lit(SUB_BUCKETS - 1)).cast("long")
-            sub = rows.groupBy(F.col("t._tid").alias("_tid"), sb.alias("_sb")).agg(
-                F.count(F.lit(1)).alias("_c"), F.min("l._v").alias("_lo"), F.max("l._v").alias("_hi"))
-            info = tgt.table.select("_tid", *part, "_n", "_ranks", F.col("_below").alias("_base"))
-            sub = sub.join(F.broadcast(info) if tgt.local else info, "_tid")
-            found = _locate(sub, ["_tid"], "_sb", "_ranks", F.col("_base"))
-            state = _fix(found.select(*part, "_n", "_rank", "_lo", "_hi", F.col("_start").alias("_below")))
-            done.append(state.table.where(F.col("_lo") == F.col("_hi")))
-    finally:
-        wide.unpersist()
+    part = [*keys, "_column"]
+    ps = [float(probs[lb]) for lb in labels]
+    with Scratch(df.sparkSession) as scratch:
+        long = scratch.table(wide).unpivot(keys, list(exprs), "_column", "_v").where(F.col("_v").isNotNull())
+        vals = _select_ranks(long, part, _ranks(F.col("_n"), ps))
 
-    vals = done[0]
-    for d in done[1:]:
-        vals = vals.unionByName(d)
     # At most 2 ranks per probability per (group, column): a small map.
     per = vals.groupBy(*part, "_n").agg(
         F.map_from_entries(F.collect_list(F.struct("_rank", F.col("_lo").alias("_val")))).alias("_m"))
@@ -168,6 +132,59 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: dict[str, float],
     return per.groupBy(*keys).agg(*pivot)
 
 
+def nth_smallest(df: DataFrame, value: Column, n: Column, by=None) -> DataFrame:
+    """(keys, ``_cut``): the ``n``-th smallest value (1-based) of each group that has more than ``n`` rows.
+
+    ``n`` may depend on the group keys; groups where it is below 1 or NULL have no row.
+    """
+    keys = _by(by)
+    base = df.select(*[F.col(k) for k in keys], F.lit("v").alias("_column"), value.cast("double").alias("_v"))
+    want = F.when((F.col("_n") > n) & (n >= 1), F.array((n - 1).cast("long")))
+    with Scratch(df.sparkSession) as scratch:
+        vals = _select_ranks(scratch.table(base), [*keys, "_column"], want)
+    return vals.select(*keys, F.col("_lo").alias("_cut"))
+
+
+def _select_ranks(long: DataFrame, part: list[str], want: Column) -> DataFrame:
+    """(part, _n, _rank, _lo): the value at each wanted rank of the ``_v`` of each part.
+
+    ``want`` is an array of 0-based ranks over the part's columns and its row count ``_n``.
+    """
+    # Pass 1: octave buckets per (group, column).
+    hist = _with_octave_key(long, "_v", "_b").groupBy(*part, "_b").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    hist = hist.withColumn("_n", F.sum("_c").over(Window.partitionBy(*part))).withColumn("_want", want)
+    found = _locate(hist, part, "_b", "_want", F.lit(0).cast("long"))
+    state = _fix(found.select(*part, "_n", "_rank", "_lo", "_hi", F.col("_start").alias("_below")))
+    done = [state.table.where(F.col("_lo") == F.col("_hi"))]
+
+    # Refinement passes over the still-open buckets only.
+    passes = 0
+    while state.unresolved > 0:
+        passes += 1
+        if passes > MAX_PASSES:
+            raise RuntimeError("quantile refinement did not converge")
+        tgt = _targets(state, part)
+        t = F.broadcast(tgt.table) if tgt.local else tgt.table
+        cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"t.{k}")) for k in part] + [
+            F.col("l._v") >= F.col("t._lo"), F.col("l._v") <= F.col("t._hi")]
+        rows = long.alias("l").join(t.alias("t"), cond, "inner")
+        width = F.col("t._hi") - F.col("t._lo")
+        sb = F.least(F.floor((F.col("l._v") - F.col("t._lo")) / width * F.lit(float(SUB_BUCKETS))),
+                     F.lit(SUB_BUCKETS - 1)).cast("long")
+        sub = rows.groupBy(F.col("t._tid").alias("_tid"), sb.alias("_sb")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("l._v").alias("_lo"), F.max("l._v").alias("_hi"))
+        info = tgt.table.select("_tid", *part, "_n", "_ranks", F.col("_below").alias("_base"))
+        sub = sub.join(F.broadcast(info) if tgt.local else info, "_tid")
+        found = _locate(sub, ["_tid"], "_sb", "_ranks", F.col("_base"))
+        state = _fix(found.select(*part, "_n", "_rank", "_lo", "_hi", F.col("_start").alias("_below")))
+        done.append(state.table.where(F.col("_lo") == F.col("_hi")))
+    vals = done[0]
+    for d in done[1:]:
+        vals = vals.unionByName(d)
+    return vals
+
+
 class _State:
     def __init__(self, table: DataFrame, local: bool, unresolved: int, rows=None):
         self.table, self.local, self.unresolved, self.rows = table, local, unresolved, rows

@@ -69,40 +69,21 @@ def sample_key(key_cols: Sequence[str], seed: int = spec.SEED):
 
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str] | str = "row_ix", seed: int = spec.SEED,
-             by=None, oversample: float = 2.0) -> DataFrame:
+             by=None) -> DataFrame:
     """Exact-size seeded sample without replacement: the ``n`` rows with the smallest
     ``md5(seed:key)`` (L2).  ``n`` >= rows gives all rows.
 
-    Invariant under repartitioning.  Candidates are pre-filtered by the hash
-    prefix with a bound ~``oversample * n / rows``; the exact rank is then taken
-    on the candidates only, by a distributed ordinal (no driver gather).  The
-    bound widens until enough candidates survive, so the result is always exact.
+    Invariant under repartitioning.  The hash value at the n-th place (per group) is
+    found by radix selection on the hash alone, and rows up to it are kept by a filter.
     """
-    from tallyho.operators.ordered import with_sequence
+    from tallyho.operators.ordered import head_rows
     from tallyho.operators.stats import _by
 
     keys = [key] if isinstance(key, str) else list(key)
-    groups = _by(by)
-    h = sample_key(keys, seed)
-    x = df.withColumn("_h", h)
-    # First 8 hex digits as a number in [0, 2^32).
-    prefix = F.conv(F.substring(F.col("_h"), 1, 8), 16, 10).cast("bigint")
-    if not groups:
-        total = df.count()
-        if total <= n:
-            return df
-        frac = min(1.0, oversample * n / total)
-        while True:
-            bound = int(frac * (1 << 32))
-            cand = x.where(prefix < F.lit(bound)) if frac < 1.0 else x
-            cand_n = cand.count() if frac < 1.0 else total
-            if cand_n >= n or frac >= 1.0:
-                break
-            frac = min(1.0, frac * 2)
-        ranked = with_sequence(cand, [], ["_h", *keys], "_seq")
-        return ranked.where(F.col("_seq") < F.lit(int(n))).drop("_h", "_seq")
-    ranked = with_sequence(x, groups, ["_h", *keys], "_seq")
-    return ranked.where(F.col("_seq") < F.lit(int(n))).drop("_h", "_seq")
+    # 13 hex digits are a whole number that a double holds exactly.
+    x = df.withColumn("_h", sample_key(keys, seed))
+    x = x.withColumn("_hn", F.conv(F.substring(F.col("_h"), 1, 13), 16, 10).cast("double"))
+    return head_rows(x, int(n), by=_by(by), order=["_hn", "_h", *keys]).drop("_h", "_hn")
 
 
 def union_splits(frames: dict[str, DataFrame], column: str = "split") -> DataFrame:

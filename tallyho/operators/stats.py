@@ -1,8 +1,10 @@
 """Column statistics as small DataFrames, and attaching them to rows.
 
-Statistics are always computed by distributed aggregation (partial + final) and
-kept as DataFrames; nothing is collected to the driver.  A statistic table has
-one row per group of ``by`` (or exactly one row when ``by`` is empty).
+Statistics are always computed by distributed aggregation (partial + final).  A
+statistic table has one row per group of ``by`` (or exactly one row when ``by``
+is empty); tables within a checked bound of rows are fetched to the driver and
+broadcast, larger ones stay distributed.  Joins on group keys match NULL to
+NULL, so the rows of a NULL group are a group like any other.
 """
 
 from __future__ import annotations
@@ -99,6 +101,21 @@ def column_aggs(df: DataFrame, aggs: dict[str, Column], by=None) -> DataFrame:
 MAX_LOCAL_STAT_ROWS = 10_000
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                   broadcast: bool = False) -> DataFrame:
+    """Equi-join on group keys in which NULL matches NULL; the keys of ``left`` are kept
+    (for ``full`` either side's).  ``<=>`` stays a hash or sort-merge join in Spark."""
+    keys = list(keys)
+    r = right.select(*[F.col(k).alias("_rk_" + k) for k in keys],
+                     *[F.col(c) for c in right.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col("_rk_" + k)) for k in keys]
+    out = left.join(F.broadcast(r) if broadcast else r, cond, how)
+    if how == "full":
+        # A key is NULL either because the group is NULL or because the side has no row.
+        out = out.withColumns({k: F.coalesce(F.col(k), F.col("_rk_" + k)) for k in keys})
+    return out if how in ("left_semi", "left_anti") else out.drop(*["_rk_" + k for k in keys])
+
+
 def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                max_rows: int = MAX_LOCAL_STAT_ROWS) -> DataFrame:
     """Join a table expected to be small; broadcast it only after proving its size.
@@ -109,7 +126,7 @@ def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     checkpointed to the shared folder and joined by a regular shuffle join.
     """
     fixed, local = fix_small(small, max_rows)
-    return df.join(F.broadcast(fixed) if local else fixed, list(on), how)
+    return null_safe_join(df, fixed, on, how, broadcast=local)
 
 
 def fix_small(small: DataFrame, max_rows: int = MAX_LOCAL_STAT_ROWS) -> tuple[DataFrame, bool]:
@@ -132,7 +149,7 @@ def attach_fixed(df: DataFrame, fixed: DataFrame, local: bool, keys: Sequence[st
     and is attached as literals (no row at all: ``how='inner'`` keeps nothing)."""
     keys = list(keys)
     if keys:
-        return df.join(F.broadcast(fixed) if local else fixed, keys, how)
+        return null_safe_join(df, fixed, keys, how, broadcast=local)
     if fixed.limit(1).count() == 0:
         empty = df.where(F.lit(False))
         return empty.withColumns({f.name: F.lit(None).cast(f.dataType) for f in fixed.schema.fields}) \
@@ -188,10 +205,4 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     keys = list(keys)
     if not keys:
         return left.withColumns(one_row_values(right))
-    r = right.select(*[F.col(k).alias("_rk_" + k) for k in keys],
-                     *[F.col(c) for c in right.columns if c not in keys])
-    cond = [F.col(k).eqNullSafe(F.col("_rk_" + k)) for k in keys]
-    out = left.join(r, cond, how)
-    if how == "full":
-        out = out.withColumns({k: F.coalesce(F.col(k), F.col("_rk_" + k)) for k in keys})
-    return out.drop(*["_rk_" + k for k in keys])
+    return null_safe_join(left, right, keys, how)

@@ -324,8 +324,7 @@ SMALL_HEAD_LIMITS = {"train": 10_000, "validation": 1_000, "test": 3_000}
 SELECT row_ix, split FROM (SELECT row_ix, split, row_number() OVER (PARTITION BY split ORDER BY row_ix) AS rn
 FROM cleaned) WHERE rn <= CASE split WHEN 'train' THEN 10000 WHEN 'validation' THEN 1000 ELSE 3000 END"""))
 def q_head_rows(spark, sf_dir):
-    x = ordered.head_rows(cleaned(spark, sf_dir), SMALL_HEAD_LIMITS, by="split", order=["row_ix"],
-                          rows_per_part=5_000)
+    x = ordered.head_rows(cleaned(spark, sf_dir), SMALL_HEAD_LIMITS, by="split", order=["row_ix"])
     return x.select("row_ix", "split")
 
 
@@ -652,7 +651,7 @@ d AS (SELECT *, CASE WHEN base_value = 0 THEN 0.0 ELSE other_value - base_value
 SELECT metric, base_value, other_value, round(abs_diff, 6) AS abs_diff, round(pct_diff, 6) AS pct_diff,
   base_value = 0 AS base_zero,
   CASE WHEN base_value IS NULL OR other_value IS NULL THEN NULL
-       WHEN abs(other_value - base_value) <= CASE WHEN metric = 'accuracy' THEN 0.001 ELSE 0.0 END THEN 'equivalent'
+       WHEN abs(other_value - base_value) < CASE WHEN metric = 'accuracy' THEN 0.001 ELSE 0.0 END OR other_value = base_value THEN 'equivalent'
        WHEN (metric IN ({lower})) = (other_value < base_value) THEN 'better' ELSE 'worse' END AS verdict
 FROM d"""
 
@@ -682,8 +681,7 @@ SELECT event_id, ts, user_id, event_type, value, props, request_count,
   round(COALESCE(p99, 0.0), 6) AS p99_latency FROM w""")
 def q_rolling_latency(spark, sf_dir):
     r = metrics.rolling_latency(_events(spark, sf_dir), n=100, by=None, order=["ts", "event_id"],
-                                latency="value", error=_is_error(), chunk_rows=1_000,
-                                rows_per_part=5_000)
+                                latency="value", error=_is_error())
     computed = ["uptime_sec", "success_rate", "avg_latency", "p95_latency", "p99_latency"]
     return r.select(*[F.round(c, 6).alias(c) if c in computed else F.col(c) for c in r.columns])
 
@@ -699,7 +697,7 @@ SELECT count(*) AS n_window, count(*) FILTER (WHERE NOT err) AS n_success, count
   round(count(*) FILTER (WHERE NOT err) / count(*), 6) AS success_rate FROM v""")
 def q_tail_summary(spark, sf_dir):
     return round_doubles(metrics.tail_summary(_events(spark, sf_dir), n=100, order=["ts", "event_id"],
-                                              latency="value", error=_is_error(), rows_per_part=5_000))
+                                              latency="value", error=_is_error()))
 
 
 # --- attributions on embeddings ---------------------------------------------------------------
@@ -990,15 +988,34 @@ def run_stream_to_table(spark, stream_df: DataFrame, name: str, mode: str = "app
     return spark.read.parquet(base + "/data")
 
 
-@register("stream_rolling_latency", ORACLE["rolling_latency"])
+def time_slices(events: DataFrame, base: str, batches: int = 4) -> None:
+    """Write the events as ``batches`` files in time order, one after the other, for a file stream to read one by one."""
+    cuts = events.agg(F.percentile_approx("ts", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"]
+    edges = [None, *sorted(set(cuts or [])), None]
+    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = events if lo is None else events.where(F.col("ts") >= F.lit(lo))
+        part = part if hi is None else part.where(F.col("ts") < F.lit(hi))
+        part.coalesce(1).write.mode("overwrite").parquet(f"{base}/slice{i}")
+
+
+@register("stream_rolling_latency", ORACLE["rolling_latency"].replace(
+    "ORDER BY ts, event_id", "PARTITION BY event_type ORDER BY ts, event_id").replace(
+    "min(ts) OVER ()", "min(ts) OVER (PARTITION BY event_type)"))
 def q_stream_rolling_latency(spark, sf_dir):
-    from tallyho.sources.tables import table_path
-    from tallyho.streaming.rolling import stream_rolling_latency
-    schema = spark.read.parquet(table_path(sf_dir, "events")).schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    out = stream_rolling_latency(stream, n=100, key=None, error=F.col("event_type") == F.lit("error"))
-    r = run_stream_to_table(spark, out, "k1")
+    """K1 per event type over several micro-batches, the windows reaching across them."""
+    import uuid
+
+    from tallyho.session import scratch_path
+    from tallyho.streaming.rolling import stream_rolling_latency_table
+    base = scratch_path(spark, f"k1-{uuid.uuid4().hex[:8]}")
+    events = read_table(spark, sf_dir, "events")
+    time_slices(events, f"{base}/events")
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(f"{base}/events"))
+    q = stream_rolling_latency_table(stream, f"{base}/out", f"{base}/_checkpoint", n=100, key="event_type",
+                                     error=F.col("event_type") == F.lit("error"))
+    q.awaitTermination()
+    r = spark.read.parquet(f"{base}/out/data").drop("epoch")
     computed = ["uptime_sec", "success_rate", "avg_latency", "p95_latency", "p99_latency"]
     return r.select(*[F.round(c, 6).alias(c) if c in computed else F.col(c) for c in r.columns])
 

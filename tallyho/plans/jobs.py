@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyho import spec
-from tallyho.operators import clean, explain as _explain, label, metrics, ordered, profile, select
+from tallyho.operators import clean, label, metrics, ordered, profile, select
 from tallyho.operators.contract import validate_contract
 from tallyho.operators.models import explain as explain_rows, model_card, score, train_suite
 from tallyho.operators.prompts import build_prompts
@@ -21,16 +21,18 @@ from tallyho.sources import files
 def prepare(spark: SparkSession, input_dir: str, output_dir: str,
             head_limits: dict | None = None, probe_rows: int = spec.PROBE_ROWS,
             fmt: str = "parquet") -> dict[str, DataFrame]:
-    """Q1: raw splits -> clean -> first N per split -> label -> dedup -> write;
+    """Q1: raw splits -> clean -> (first N per split) -> label -> dedup -> write;
     probe = exact seeded sample of the processed test split.
 
+    Every row is kept unless ``head_limits`` names a limit per split (such as
+    ``spec.HEAD_LIMITS``).
+
     Returns the quality reports (label distribution, condition breakdown,
     missing census, duplicates, IQR outliers) as DataFrames.
     """
     cleaned = files.scan_split(spark, input_dir)
     order = "row_ix" if "row_ix" in cleaned.columns else "_row"
-    limited = ordered.head_rows(cleaned, head_limits or spec.HEAD_LIMITS, by="split",
-                                order=[order])
+    limited = ordered.head_rows(cleaned, head_limits, by="split", order=[order]) if head_limits else cleaned
     if order == "row_ix":
         limited = limited.drop("_row")
     labelled = materialize(label.label_rule(limited))
@@ -54,8 +56,9 @@ def prepare(spark: SparkSession, input_dir: str, output_dir: str,
 
 def profile_report(spark: SparkSession, processed_dir: str, output_dir: str, split: str = "train",
                    fmt: str = "parquet") -> dict[str, DataFrame]:
-    """Q2: processed split -> class profiles, histograms, densities, region
-    rate on an exact 50k sample, threshold profile, report JSON."""
+    """Q2: processed split -> class profiles, histograms, densities, region rate,
+    threshold profile (all over every row), an exact sample of ``spec.SCATTER_ROWS`` rows
+    for plots (``scatter_sample``), report JSON."""
     df = files.scan_processed(spark, processed_dir, [split], fmt)
     df = label.avg_score(df)
     scatter = select.sample_n(df, spec.SCATTER_ROWS, key=[c for c in ("row_ix", "student_id")
@@ -66,7 +69,8 @@ def profile_report(spark: SparkSession, processed_dir: str, output_dir: str, spl
         "avg_histogram": profile.histogram(df, spec.AVG_SCORE, by=spec.TARGET, density=True),
         "gpa_kde": profile.kde(df, "gpa"),
         "avg_kde": profile.kde(df, spec.AVG_SCORE),
-        "region_rate": profile.region_rate(scatter),
+        "region_rate": profile.region_rate(df),
+        "scatter_sample": scatter,
         "threshold_profile": profile.threshold_profile(df),
         "dataset_report": profile.dataset_report(df.drop(spec.AVG_SCORE)),
     }
@@ -83,12 +87,18 @@ def profile_report(spark: SparkSession, processed_dir: str, output_dir: str, spl
 
 
 def train(spark: SparkSession, processed_dir: str, model_dir: str, small: bool = False,
-          fmt: str = "parquet"):
-    """Q3: fit all candidates, select by validation F1, save pipeline + card."""
+          fmt: str = "parquet", fit_rows: int | None = None):
+    """Q3: fit all candidates, select by validation F1, save pipeline + card.
+
+    ``fit_rows`` bounds the labelled train rows that the fits read (an exact seeded
+    sample); None fits on all.  Validation and test always use every row."""
     df = materialize(select.select_features(files.scan_processed(spark, processed_dir, fmt=fmt)
                                             .withColumnRenamed(spec.TARGET, "_y"))
                      .withColumnRenamed("_y", spec.TARGET))
     tr, va, te = (df.where(F.col("split") == s) for s in spec.SPLITS)
+    if fit_rows is not None:
+        tr = materialize(select.sample_n(tr, fit_rows, key=[c for c in ("row_ix", "student_id") if c in tr.columns]
+                                         or tr.columns))
     result = train_suite(tr, va, te, small=small)
     best = result.models[result.best]
     files.save_model(best, f"{model_dir}/model")
@@ -129,11 +139,11 @@ def run_report(log: DataFrame, run_label: str, output_dir: str | None = None,
     return rec
 
 
-def compare(spark: SparkSession, runs_dir: str, base_label: str = "local",
-            other_label: str = "aws") -> DataFrame:
-    """Q6: latest run of two labels side by side with differences and verdicts."""
-    return metrics.compare_runs(spark.read.parquet(runs_dir), base_label, other_label)
+def compare(spark: SparkSession, runs_dir: str, base_label: str = "local", other_label: str = "aws",
+            base_run: str | None = None, other_run: str | None = None) -> DataFrame:
+    """Q6: two runs side by side with differences and verdicts: the named run stamps, else the latest of each label."""
+    return metrics.compare_runs(spark.read.parquet(runs_dir), base_label, other_label,
+                                base_run=base_run, other_run=other_run)
 
 
 __all__ = ["prepare", "profile_report", "train", "score_explain", "run_report", "compare"]
-_ = _explain

@@ -19,6 +19,7 @@ from tallyho import spec
 from tallyho.operators.clean import clean_split
 from tallyho.operators.metrics import latest_run as _latest_run
 from tallyho.operators.select import require_columns
+from tallyho.sources.tables import nan_to_null
 
 
 def _normalise_raw(df: DataFrame) -> DataFrame:
@@ -63,12 +64,28 @@ def scan_split(spark: SparkSession, input_dir: str, splits=tuple(spec.SPLITS)) -
     return clean_split(read_raw_splits(spark, input_dir, splits), by="split")
 
 
+def processed_type(name: str) -> str:
+    """Type of a processed column by its name."""
+    if name in (*spec.RAW_DOUBLE_COLUMNS, spec.AVG_SCORE):
+        return "double"
+    if name in ("row_ix", "student_id", "_row", spec.TARGET) or (name in spec.NUMERIC_FEATURES):
+        return "bigint"
+    return "string"
+
+
 def scan_processed(spark: SparkSession, path: str, splits=None, fmt: str = "parquet") -> DataFrame:
-    """Processed splits (partitioned by ``split``); requires the label column."""
+    """Processed splits (partitioned by ``split``); requires the label column.
+
+    NaN becomes NULL.  CSV columns get their types from ``spec`` by name, without a
+    second pass over the data; other columns stay text.
+    """
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", True)
+        reader = reader.option("header", True).option("inferSchema", False)
     df = reader.load(path)
+    if fmt == "csv":
+        df = df.select(*[F.col(c).cast(processed_type(c)).alias(c) for c in df.columns])
+    df = nan_to_null(df)
     require_columns(df, [spec.TARGET], "processed data")
     if splits:
         df = df.where(F.col("split").isin(list(splits)))

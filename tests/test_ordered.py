@@ -36,11 +36,11 @@ def test_with_sequence_dense(spark, frame, rows_per_part):
 
 def test_head_and_tail(spark, frame):
     pdf, df = frame
-    head = ordered.head_rows(df, {"hot": 100, "a": 5, "b": 0}, by="g", rows_per_part=150)
+    head = ordered.head_rows(df, {"hot": 100, "a": 5, "b": 0}, by="g")
     want = pdf.sort_values("row_ix").groupby("g").head(1000)
     want = pd.concat([want[want.g == "hot"].head(100), want[want.g == "a"].head(5)])
     assert sorted(r.row_ix for r in head.collect()) == sorted(want.row_ix.tolist())
-    tail = ordered.tail_rows(df, 7, by="g", rows_per_part=150)
+    tail = ordered.tail_rows(df, 7, by="g")
     want_t = pdf.sort_values("row_ix").groupby("g").tail(7)
     assert sorted(r.row_ix for r in tail.collect()) == sorted(want_t.row_ix.tolist())
 

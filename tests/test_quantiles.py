@@ -105,24 +105,6 @@ def test_written_state_path_matches_percentile(spark, monkeypatch):
     _assert_same(ev, {"value": F.col("value"), "uid": F.col("user_id")}, "event_type")
 
 
-def test_spread_only_under_split_inputs(spark, tmp_path):
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    from tallyho.sources.tables import spread_small_input
-
-    t = pa.table({"k": list(range(4000)), "v": [float(i) for i in range(4000)]})
-    pq.write_table(t, tmp_path / "one.parquet", row_group_size=4000)
-    pq.write_table(t, tmp_path / "many.parquet", row_group_size=100)
-    one = spread_small_input(spark.read.parquet(str(tmp_path / "one.parquet")))
-    plan = one.where("v > 10").select("k")._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in plan
-    assert "PushedFilters: [IsNotNull(v), GreaterThan(v,10.0)]" in plan and "ReadSchema: struct<k:bigint,v:double>" in plan
-    many = spark.read.parquet(str(tmp_path / "many.parquet"))
-    assert spread_small_input(many) is many
-    assert one.count() == 4000
-
-
 def test_approx_path_is_close_to_exact(spark):
     li = spark.read.parquet(f"{SF01}/lineitem.parquet")
     exprs = {"p": F.col("l_extendedprice")}
