@@ -119,3 +119,58 @@ def stream_rolling_latency(stream: DataFrame, n: int = spec.ROLLING_WINDOW, key:
     fn = make_state_fn(n, id_col, ts_col, latency, "_err", columns)
     return x.groupBy(k).applyInPandasWithState(fn, out_schema, STATE_SCHEMA, "append",
                                                GroupStateTimeout.NoTimeout)
+
+
+def stream_rolling_latency_table(stream: DataFrame, path: str, checkpoint: str, n: int = spec.ROLLING_WINDOW,
+                                 key: str | None = None, id_col: str = "event_id", ts_col: str = "ts",
+                                 latency: str = "value", error=None, trigger: dict | None = None):
+    """K1 for endpoints of any size: start a stream that writes each batch's windows under ``path``.
+
+    A keyed state function runs one Python group per endpoint, so a busy endpoint is
+    one task.  Here a batch is windowed by the batch operator, which cuts a group into
+    chunks of consecutive rows; the state is a small table with the last ``n - 1`` rows,
+    the row count and the first time of each endpoint, written per batch.  Batch
+    ``e`` reads the state of batch ``e - 1`` and overwrites its own folders, so a replayed
+    batch writes the same rows again.  Rows of one batch are ordered by
+    ``(ts, id)``; across batches arrival order wins.
+    """
+    from tallyho.operators.metrics import rolling_latency
+    from tallyho.operators.ordered import tail_rows
+    from tallyho.operators.stats import join_small
+
+    spark = stream.sparkSession
+    keys = [key] if key else ["_endpoint"]
+    columns = list(stream.columns)
+    failed = F.coalesce(error, F.lit(False)) if error is not None else F.lit(False)
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        new = batch.withColumn("_failed", failed).withColumn("_batch", F.lit(int(epoch_id)))
+        new = new if key else new.withColumn("_endpoint", F.lit("all"))
+        facts = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_new"), F.min(ts_col).alias("_first"))
+        if epoch_id:
+            carried = spark.read.parquet(f"{path}/carry/epoch={epoch_id - 1}")
+            seen = spark.read.parquet(f"{path}/seen/epoch={epoch_id - 1}")
+        else:
+            carried, seen = new.limit(0), facts.limit(0).withColumnsRenamed({"_new": "_count", "_first": "_t0"})
+        rows = carried.unionByName(new)
+        # the totals before this batch, and how many of those rows are carried
+        held = carried.groupBy(*keys).agg(F.count(F.lit(1)).alias("_held"))
+        r = rolling_latency(rows, n=n, by=keys, order=["_batch", ts_col, id_col], latency=latency,
+                            error=F.col("_failed"), ts=ts_col).where(F.col("_batch") == int(epoch_id))
+        r = join_small(join_small(r, seen, keys, "left"), held, keys, "left")
+        r = join_small(r, facts.select(*keys, "_first"), keys, "left")
+        t0 = F.coalesce("_t0", "_first")
+        before = F.coalesce("_count", F.lit(0)) - F.coalesce("_held", F.lit(0))
+        r = (r.withColumn("request_count", F.col("request_count") + before)
+             .withColumn("uptime_sec", F.timestamp_diff("MICROSECOND", t0, F.col(ts_col)).cast("double") / F.lit(1e6)))
+        r.select(*columns, *[f.name for f in STATS_FIELDS]).write.mode("overwrite").parquet(f"{path}/data/epoch={epoch_id}")
+        last = tail_rows(rows, n - 1, by=keys, order=["_batch", ts_col, id_col])
+        last.write.mode("overwrite").parquet(f"{path}/carry/epoch={epoch_id}")
+        both = seen.unionByName(facts.withColumnsRenamed({"_new": "_count", "_first": "_t0"}).withColumn("_late", F.lit(1)),
+                                allowMissingColumns=True)
+        total = both.groupBy(*keys).agg(F.sum("_count").alias("_count"),
+                                        F.min_by("_t0", F.coalesce("_late", F.lit(0))).alias("_t0"))
+        total.write.mode("overwrite").parquet(f"{path}/seen/epoch={epoch_id}")
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()

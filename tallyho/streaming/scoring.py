@@ -2,8 +2,9 @@
 
 ``readStream`` -> ``validate_contract`` -> ``PipelineModel.transform`` ->
 ``writeStream``.  One ``foreachBatch`` writes accepted (scored) rows and
-rejected rows (with their violations) to two append-only tables; each batch
-is written by Spark in parallel, and the checkpoint makes the sink restartable.
+rejected rows (with their violations) to two tables, each batch into its own
+``epoch=<id>`` partition with overwrite: a batch that is replayed after a
+failure, also one between the two writes, replaces what it wrote before.
 """
 
 from __future__ import annotations
@@ -39,9 +40,14 @@ def stream_score(model: PipelineModel, stream: DataFrame, accepted_path: str, re
                  checkpoint: str, trigger: dict | None = None):
     """Start the scoring stream; returns the ``StreamingQuery``."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        ok, bad = score_batch(model, batch)
-        ok.withColumn("failed_conditions", F.to_json("failed_conditions")).write.mode("append").parquet(accepted_path)
-        bad.write.mode("append").parquet(rejected_path)
+        batch = batch.persist()  # the source is read once for both sinks
+        try:
+            ok, bad = score_batch(model, batch)
+            ok = ok.withColumn("failed_conditions", F.to_json("failed_conditions"))
+            ok.write.mode("overwrite").parquet(f"{accepted_path}/epoch={epoch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejected_path}/epoch={epoch_id}")
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
