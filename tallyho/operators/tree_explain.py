@@ -17,12 +17,10 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyho import spec
@@ -138,5 +136,3 @@ def explain_trees(model: PipelineModel, df: DataFrame, keep: list[str], k: int =
     x = tree_contributions(model, df, keep)
     return top_factors(rollup_attributions(x, "contributions", slot_base, bases), k=k)
 
-
-_ = (pd, F)

@@ -919,7 +919,7 @@ def q_explode_recommendations(spark, sf_dir):
 # --- supervised learning (no SQL twin: row-count checks only) -------------------------------------
 
 def _splits(spark, sf_dir):
-    """Labelled train / validation / test, checkpointed once: iterative fits then
+    """Labelled train / validation / test, written once: iterative fits then
     read the cut lineage instead of re-running the cleaning chain per pass."""
     from tallyho.session import materialize
     lab = materialize(labelled(spark, sf_dir))
@@ -927,6 +927,7 @@ def _splits(spark, sf_dir):
 
 
 def fit_logistic_model(spark, sf_dir):
+    """(model, train, test): the balanced logistic model on the train split."""
     from pyspark.ml import Pipeline
 
     from tallyho.operators.features import build_preprocessor
@@ -941,9 +942,10 @@ def fit_logistic_model(spark, sf_dir):
 
 @register("score_logistic")
 def q_score_logistic(spark, sf_dir):
+    """Every row of every split scored by the model of the train split."""
     from tallyho.operators.models import score
-    model, _, test = fit_logistic_model(spark, sf_dir)
-    return score(model, test).select("row_ix", spec.TARGET, "pass_prob", "prediction")
+    model, _, _ = fit_logistic_model(spark, sf_dir)
+    return score(model, labelled(spark, sf_dir)).select("row_ix", spec.TARGET, "pass_prob", "prediction")
 
 
 @register("train_suite")
@@ -959,8 +961,8 @@ def q_score_explain(spark, sf_dir):
     from tallyho.operators.contract import validate_contract
     from tallyho.operators.models import explain, score
     from tallyho.operators.prompts import build_prompts
-    model, train, test = fit_logistic_model(spark, sf_dir)
-    checked = validate_contract(test).where(F.col("is_valid"))
+    model, train, _ = fit_logistic_model(spark, sf_dir)
+    checked = validate_contract(labelled(spark, sf_dir)).where(F.col("is_valid"))
     scored = score(model, checked).drop("features")
     scored = label.failed_conditions(scored, label_col="prediction")
     explained = explain(model, scored.drop(*[c for c in scored.columns if c.endswith(("__idx", "__ohe"))
@@ -1050,7 +1052,7 @@ def q_stream_score(spark, sf_dir):
 
 @register("explain_trees")
 def q_explain_trees(spark, sf_dir):
-    """M12 for a boosted-tree model: top-3 path attributions per held-out row."""
+    """M12 for a boosted-tree model: top-3 path attributions of every row."""
     from pyspark.ml import Pipeline
 
     from tallyho.operators.features import build_preprocessor
@@ -1058,6 +1060,6 @@ def q_explain_trees(spark, sf_dir):
     from tallyho.operators.tree_explain import explain_trees
     train, val, test = _splits(spark, sf_dir)
     model = Pipeline(stages=[*build_preprocessor(train), gbt(20, 5)]).fit(train)
-    x = explain_trees(model, test, ["row_ix"])
+    x = explain_trees(model, labelled(spark, sf_dir), ["row_ix"])
     from tallyho.operators.explain import explode_factors
     return explode_factors(x, ["row_ix"])
