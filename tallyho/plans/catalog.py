@@ -7,6 +7,7 @@ Each query takes ``(spark, sf_dir)`` and reads the driver tables (or the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -587,10 +588,16 @@ def q_latency_profile(spark, sf_dir):
     return round_doubles(metrics.latency_profile(_events(spark, sf_dir), "value", by="event_type"))
 
 
+def _exact_half_even(sql: str) -> str:
+    """Let ``round_even`` see all decimals of the double: on a DOUBLE it rounds the scaled product, which may be off."""
+    exact = r"CAST(round_even(CAST(format('{:.24f}', CAST(\1 AS DOUBLE)) AS DECIMAL(38, 24)), \2) AS DOUBLE) AS"
+    return re.sub(r"round_even\((.*), (\d)\) AS", exact, sql)
+
+
 def _run_metrics_sql(extra: str = "") -> str:
     g = f", {extra}" if extra else ""
     wall = "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6"
-    return f"""SELECT event_type AS label, strftime(max(ts), '%Y%m%d_%H%M%S') AS timestamp,
+    return _exact_half_even(f"""SELECT event_type AS label, strftime(max(ts), '%Y%m%d_%H%M%S') AS timestamp,
   count(*) AS n_requests, count(*) FILTER (WHERE {ERROR_SQL}) AS n_errors,
   round_even(count(*) FILTER (WHERE {ERROR_SQL}) / count(*), 4) AS error_rate,
   round_even({wall}, 3) AS total_execution_time_sec,
@@ -606,7 +613,7 @@ def _run_metrics_sql(extra: str = "") -> str:
   CAST(NULL AS DOUBLE) AS accuracy,
   round_even((count(*) - count(*) FILTER (WHERE {ERROR_SQL})) / count(*), 4) AS success_rate,
   round_even((count(*) - count(*) FILTER (WHERE {ERROR_SQL})) / count(*) * 100.0, 2) AS reliability_percent{g}
-FROM events GROUP BY event_type{g}"""
+FROM events GROUP BY event_type{g}""")
 
 
 @register("run_metrics", _run_metrics_sql())
