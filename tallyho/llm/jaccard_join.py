@@ -287,14 +287,17 @@ def link(active: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratc
     lead = active.groupBy("key").agg(F.min("id").alias("b"))
     star = active.select("key", F.col("id").alias("a")).join(lead, "key").where("a <> b").select("a", "b").distinct()
     links = scratch.table(verified(possible(star, marks, num, den), sets, num, den))
-    comp = components(links, scratch)
+    comp, tested = components(links, scratch), None
     for forest in (True, False):
         placed = scratch.table(_with_component(active, comp))
         several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         members = scratch.table(placed.join(several, "key").join(marks, "id").select("key", "id", "c", "n", "sketch"))
         if members.isEmpty():
             break
-        more = scratch.table(verified(scratch.table(cell_pairs(members, num, den, forest)), sets, num, den))
+        pairs = cell_pairs(members, num, den, forest)
+        pairs = scratch.table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        scratch.drop(placed, members)
+        more, tested = scratch.table(verified(pairs, sets, num, den)), pairs
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = components(links, scratch)
@@ -308,7 +311,7 @@ def jaccard_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     with Scratch(spark) as scratch:
         sets = scratch.table(describe(df, doc_id, text, width, num, den))
         usable = sets.where("doc_id is not null and n > 0")
-        classes = usable.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep"))
+        classes = scratch.table(usable.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep")))
         members = scratch.table(usable.select("doc_id", "n", "fa", "fb").join(classes, ["n", "fa", "fb"]).select("doc_id", "rep"))
         every = shared_keys(usable.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")))
         reps = every.join(members.distinct(), F.col("id") == F.col("doc_id")).select("key", F.col("rep").alias("id"))
