@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyho.llm import jaccard_join, line_dedup, mixing, packing, quality
+from tallyho.llm._join import fits
 from tallyho.session import materialize
 
 ORACLE_SQL = None
@@ -43,8 +44,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group linked by 3-gram Jaccard similarity of 0.9 or more."""
     groups = jaccard_join.jaccard_groups(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    side = F.broadcast(gone) if fits(gone) else gone  # a counted list of ids; beyond the bound the texts are shuffled
+    kept = docs.join(side, docs["doc_id"] == side["__gone"], "left_anti")
     if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
