@@ -172,14 +172,20 @@ def test_no_passages(spark):
     assert substring_dedup.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_compact_windows_hold_every_sequence():
+def test_signatures_cover_every_sequence():
     rng = np.random.default_rng(2)
-    values = rng.permutation(400).astype(np.uint64)
-    doc = np.repeat([0, 1, 2], [150, 30, 220])
-    got = substring_dedup.compact_windows(values, doc, 46)
-    covered = {(int(l) + k, int(c)) for l, c, r in got for k in range(int(r - l) - 44)}
-    want = {(i, i + int(np.argmin(values[i:i + 46]))) for i in range(355) if doc[i] == doc[i + 45]}
-    assert covered == want
+    tokens = rng.permutation(400).astype(np.uint64)
+    first = np.array([0, 150, 180, 400])
+    key, doc, at = substring_dedup.signatures(tokens, first)
+    seeds = _text.mix64(np.arange(1, substring_dedup.HASHES + 1, dtype=np.uint64))
+    for d, (lo, hi) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        smallest = [tuple(int(_text.mix64(tokens[i:i + 46] ^ s).min()) for s in seeds) for i in range(lo, hi - 45)]
+        starts = [i for i in range(len(smallest)) if not i or smallest[i] != smallest[i - 1]]
+        assert at[doc == d].tolist() == starts
+        of = dict(zip([smallest[i] for i in starts], key[doc == d].tolist(), strict=True))
+        assert len(set(of.values())) == len(of)
+    again = substring_dedup.signatures(np.concatenate([tokens[200:300], tokens[20:120]]), np.array([0, 100, 200]))[0]
+    assert set(again.tolist()) <= set(substring_dedup.signatures(tokens, np.array([0, 400]))[0].tolist())
 
 
 def test_passages_survive_edits_and_inner_repeats():
