@@ -199,3 +199,32 @@ def test_passages_survive_edits_and_inner_repeats():
     twice = np.concatenate([a[60:80], b])
     assert (50, 149, 60, 159) in substring_dedup.passages(a, twice)
     assert substring_dedup.passages(a, b[:40]) == [] and substring_dedup.passages(a[:0], b) == []
+
+
+@pytest.mark.parametrize("changed, similarity", [(20, 0.80), (3, 0.84), (2, 0.87), (1, 0.91), (0, 0.95)])
+def test_changed_passages_share_a_signature(changed, similarity):
+    rng = np.random.default_rng(changed)
+    found, n = 0, 400
+    for _ in range(n):
+        one = rng.integers(0, 2**63, 50, dtype=np.uint64)
+        two = one.copy()
+        two[changed] = 1
+        tokens = np.concatenate([_text.rolled(w, substring_dedup.WIDTH) for w in (one, two)])
+        a, b = (set(tokens[x:x + 46].tolist()) for x in (0, 46))
+        assert similarity <= len(a & b) / len(a | b) < similarity + 0.05
+        bands = [substring_dedup.signatures(tokens, np.array([0, 46, 92]), band=k)[0] for k in range(substring_dedup.BANDS)]
+        found += any(k[0] == k[1] for k in bands)
+    assert found >= 0.95 * n
+
+
+def test_short_passages_with_a_changed_word_are_found(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(80):
+        passage = [f"p{rng.randrange(10**9)}" for _ in range(50)]
+        for d in (i, 1000 + i):
+            rows.append((d, " ".join([f"q{rng.randrange(10**9)}" for _ in range(30)] + passage), "en", "s", 0))
+            passage[24] = "changed"
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    pairs = {r.group_doc_id for r in found if r.doc_id == r.group_doc_id + 1000 and (r.start_word, r.n_words) == (30, 50)}
+    assert len(pairs) >= 74  # 0.98 of 80 expected at similarity 41 / 51
