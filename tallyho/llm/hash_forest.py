@@ -11,7 +11,7 @@ p = 1 - acos(s) / pi, so it shares the first x bits in one of L trees at least w
 probability 1 - (1 - p^x)^L, and x is the greatest level at which that is 1 - ``MISS`` or more.
 The query then meets every vector that shares x bits with it in some tree: a query with very
 near neighbours stays in one small range a tree, one without ascends to short prefixes.
-No range is cut off.  All cosines are computed on the original vectors in double
+The neighbours found while descending stay candidates.  No range is cut off.  All cosines are computed on the original vectors in double
 precision.
 
 Defined results
@@ -201,6 +201,7 @@ def search(df: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: s
                   .withColumn("cell", F.explode(F.expr("sequence(begin, begin + shiftleft(1L, up) - 1)"))).drop("up", "begin"))
         second = attach(second, parts, ["cell"]).withColumn("part", every_part).join(member, "id")
         met = _meet(index.unionByName(second.select(*index.columns)), k + 1, "ascend").select("q", "c")
+        met = met.unionByName(found.select("q", "c")).distinct()  # what descending has found stays a candidate
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -104,6 +104,19 @@ def test_forest_recall_without_any_near_neighbours(spark):
     assert hit / 300 >= 0.9 and len(out) == 300
 
 
+def test_forest_keeps_what_descending_found(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((60, 1, 48))
+    x = (base + 0.1 * rng.standard_normal((60, 6, 48))).reshape(-1, 48)  # groups of six at cosine 0.99, nothing else in range
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    out = hash_forest.search(frame(spark, rows), F.lit(True)).collect()
+    got = {q: set() for q in range(360)}
+    for r in out:
+        got[r.query_id].add(r.vec_id)
+    assert all(len(g) == 5 for g in got.values())
+    assert sum(g == set(range(q // 6 * 6, q // 6 * 6 + 6)) - {q} for q, g in got.items()) >= 358
+
+
 def test_forest_of_nothing(spark):
     assert hash_forest.search(frame(spark, []), F.col("vec_id") % 50 == 0).count() == 0
     assert hash_forest.search(frame(spark, [(50, [1.0, 2.0])]), F.col("vec_id") % 50 == 0).count() == 0
