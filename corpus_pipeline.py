@@ -20,6 +20,8 @@ from tallyho.llm._join import fits
 from tallyho.session import materialize
 
 ORACLE_SQL = None
+#: Words of a shingle and least similarity of near duplicates; the op5 query has a contract of its own.
+NEAR_WIDTH, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -42,8 +44,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group linked by 3-gram Jaccard similarity of 0.9 or more."""
-    groups = jaccard_join.jaccard_groups(docs)
+    """One document, the smallest id, of each group linked by 5-gram Jaccard similarity of 0.8 or more."""
+    groups = jaccard_join.jaccard_groups(docs, width=NEAR_WIDTH, num=NEAR_NUM, den=NEAR_DEN)
     gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     side = F.broadcast(gone) if fits(gone) else gone  # a counted list of ids; beyond the bound the texts are shuffled
     kept = docs.join(side, docs["doc_id"] == side["__gone"], "left_anti")

@@ -1,6 +1,7 @@
 """The pipeline against plain-Python versions of its stages, each on the rows that Spark's stage before it kept."""
 
 import collections
+import random
 
 import pytest
 
@@ -69,6 +70,29 @@ def test_near_duplicate_stage(corpus):
     assert after == sorted(want, key=str)
 
 
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
+    rng = random.Random(31)
+    rows, gone = [], set()
+    for i in range(24):  # 50 words with one changed: 41 / 51 of five words, 45 / 51 of three; with two changed 36 / 56
+        base = [f"b{rng.randrange(10**9)}" for _ in range(50)]
+        rows.append((i, " ".join(base)))
+        for place in ((25,) if i % 2 else (15, 30)):
+            base[place] = f"x{rng.randrange(10**9)}"
+        rows.append((100 + i, " ".join(base)))
+    long = [f"c{rng.randrange(10**9)}" for _ in range(300)]
+    rows.append((50, " ".join(long)))
+    for k in range(6):  # 266 / 326
+        long[20 + 45 * k] = "changed"
+    rows.append((51, " ".join(long)))
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    for b, y in sets.items():
+        if any(a < b and 100 * len(x & y) >= 80 * len(x | y) for a, x in sets.items()):
+            gone.add(b)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert gone == {51} | {100 + i for i in range(1, 24, 2)} and kept == set(sets) - gone
+
+
 def test_mixing_stage(corpus):
     before, after = plain(corpus[3][2]), plain(corpus[3][3])
     size, taken, own = collections.Counter(), collections.Counter(), collections.Counter()
