@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyho.llm import _text, jaccard_join, line_dedup, substring_dedup
+from tallyho.session import Scratch
 
 from .helpers import SCHEMA, documents, frame, union_find, words
 
@@ -228,3 +229,23 @@ def test_short_passages_with_a_changed_word_are_found(spark):
     found = substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
     pairs = {r.group_doc_id for r in found if r.doc_id == r.group_doc_id + 1000 and (r.start_word, r.n_words) == (30, 50)}
     assert len(pairs) >= 74  # 0.98 of 80 expected at similarity 41 / 51
+
+
+def test_windows_covered_by_passages_with_others_are_still_tested(spark):
+    rng = np.random.default_rng(6)
+    fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+
+    def change(tokens, at):
+        out = tokens.copy()
+        out[at::10] = fresh(6)
+        return out
+
+    one = fresh(60)
+    two = change(one, 8)
+    docs = {1: fresh(60), 5: change(one, 5), 6: change(two, 2), 10: one, 20: two}  # 1 leads the signature of 10 and 20
+    active = spark.createDataFrame([(1, 1, 7), (1, 10, 7), (1, 20, 7), (2, 5, 7), (2, 10, 7), (3, 6, 7), (3, 20, 7)],
+                                   "key bigint, id bigint, at int")
+    tokens = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in docs.items()], "id bigint, tokens binary")
+    with Scratch(spark) as scratch:
+        pairs = {(r.a, r.b) for r in substring_dedup.links(active, tokens, scratch).collect()}
+    assert pairs == {(10, 5), (20, 6), (20, 10)}
