@@ -249,3 +249,14 @@ def test_windows_covered_by_passages_with_others_are_still_tested(spark):
     with Scratch(spark) as scratch:
         pairs = {(r.a, r.b) for r in substring_dedup.links(active, tokens, scratch).collect()}
     assert pairs == {(10, 5), (20, 6), (20, 10)}
+
+
+@pytest.mark.parametrize("in_a, in_b", [(1, 3), (1, 5), (2, 4), (4, 4)])
+def test_every_occurrence_of_a_passage_is_matched(in_a, in_b):
+    rng = np.random.default_rng(in_b)
+    fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    shared = fresh(60)
+    a, b = (np.concatenate([x for _ in range(n) for x in (fresh(30), shared)]) for n in (in_a, in_b))
+    found = substring_dedup.passages(a, b)
+    assert {f[:2] for f in found} == {(30 + 90 * k, 89 + 90 * k) for k in range(in_a)}
+    assert {f[2:] for f in found} == {(30 + 90 * k, 89 + 90 * k) for k in range(in_b)}
