@@ -959,7 +959,7 @@ def q_score_logistic(spark, sf_dir):
 def q_train_suite(spark, sf_dir):
     from tallyho.operators.models import train_suite
     train, val, test = _splits(spark, sf_dir)
-    return train_suite(train, val, test, small=True).table
+    return train_suite(train, val, test).table
 
 
 @register("score_explain")
@@ -1066,7 +1066,7 @@ def q_explain_trees(spark, sf_dir):
     from tallyho.operators.models import gbt
     from tallyho.operators.tree_explain import explain_trees
     train, val, test = _splits(spark, sf_dir)
-    model = Pipeline(stages=[*build_preprocessor(train), gbt(20, 5)]).fit(train)
+    model = Pipeline(stages=[*build_preprocessor(train), gbt()]).fit(train)
     x = explain_trees(model, labelled(spark, sf_dir), ["row_ix"])
     from tallyho.operators.explain import explode_factors
     return explode_factors(x, ["row_ix"])
