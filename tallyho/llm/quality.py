@@ -213,11 +213,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def training_sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled texts.  The labels are bounded before the join, so they can be broadcast."""
+    """At most ``rows`` labelled texts.  The labels are bounded before the join, so they can be broadcast; of the
+    rows that repeat an id the text of the smallest hash is taken."""
     chosen = (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
               .select(F.col(doc_id).alias("__q_id"), F.col(label).cast("int").alias("__q_label"))
               .orderBy(F.xxhash64("__q_id"), "__q_id", "__q_label").limit(rows))
-    return df.join(F.broadcast(chosen), F.col(doc_id) == F.col("__q_id")).select(F.col(text).alias("text"), "__q_label")
+    joined = df.join(F.broadcast(chosen), F.col(doc_id) == F.col("__q_id")).select("__q_id", "__q_label", F.col(text).alias("text"))
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    return joined.groupBy("__q_id", "__q_label").agg(first).select("first.text", "__q_label")
 
 
 def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",

@@ -138,3 +138,10 @@ def test_pair_tables_learn_an_interaction():
     model = quality.fit(x, y)
     assert (0, 1) in model.pairs
     assert ((model.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_rows_that_repeat_an_id_stay_within_the_bound_of_the_fit(spark):
+    rows = [(7, f"text {i}", "en", "s", 6) for i in range(50)] + [(8, None, "en", "s", None), (9, "other", "en", "s", 5)]
+    given = spark.createDataFrame([(7, 1), (8, 0), (9, 0)], "doc_id long, quality int")
+    got = quality.training_sample(frame(spark, rows), given, "doc_id", "text", "quality", 3).collect()
+    assert sorted(r["__q_label"] for r in got) == [0, 0, 1] and {None, "other"} < {r.text for r in got}
