@@ -1,20 +1,25 @@
-"""Additive path attributions for tree ensembles (M12, tree models).
-
-For every tree, the change of node value along a row's root-to-leaf path is
-credited to the split feature of each step; summed over trees (GBT: times the
-tree weight, margin space; random forest: averaged, class-1 probability
-space) plus the root values this equals the model output exactly.  It is not
-numerically TreeSHAP.
-
-The node table is read from the model's saved form (public ML persistence
-format), collected once (model-sized) and broadcast; rows are processed in
-Arrow batches by ``mapInPandas`` with numpy, one vectorised step per tree
-depth level — never per row.
+"""Shapley attributions of tree ensembles (M12, tree models).
+
+The value of a set of features is the tree's output when only they are known: at a split on another feature both
+sides count by their cover, the weight of the training rows that went there (path-dependent expectation).  A leaf
+with value v and d distinct features on its path adds to feature i
+
+    v * (o_i - z_i) * integral over t of the product over j != i of (o_j * t + z_j * (1 - t)),
+
+where o_j is 1 if the row passes all splits on feature j along the path and z_j is the product of their cover shares:
+the weights |S|! (d - |S| - 1)! / d! are the integrals of t^|S| (1 - t)^(d - 1 - |S|).  The integrand is a polynomial of degree d - 1,
+so a Gauss-Legendre rule of d / 2 points is exact.  It depends on a row only through which o_j are 1, so it is tabulated
+for each pattern and rows look it up.  Summed over leaves and trees (boosting: times the tree weight, in margin space;
+forest: averaged, in probability of class 1) plus the expected output, the attributions add up to the model's output.
+
+The node table (model-sized) is read from the fitted model and broadcast; rows are processed in Arrow batches, one
+vectorised step per leaf, never per row.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -24,90 +29,150 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallyho import spec
+from tallyho.operators.boosting import BoostedTreesModel
 from tallyho.operators.explain import rollup_attributions, top_factors
 from tallyho.operators.features import slot_table
-from tallyho.session import scratch_path
-
-
-def _tree_arrays(spark, clf) -> tuple[list[dict], str]:
+from tallyho.session import delete_path, scratch_path
+
+#: Distinct features of a path up to which all patterns are tabulated at once; beyond, those that occur.
+TABLE_FEATURES = 8
+
+
+@dataclass
+class TreeNodes:
+    """Nodes by number, the root 0; leaves have left -1.  ``groups[i]`` marks the categories that go left at a categorical split."""
+
+    left: np.ndarray
+    right: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    value: np.ndarray
+    cover: np.ndarray
+    groups: dict[int, np.ndarray]
+    weight: float
+
+    def goes_left(self, node: int, x: np.ndarray) -> np.ndarray:
+        column = x[:, self.feature[node]]
+        if node in self.groups:
+            marks = self.groups[node]
+            inside = (column >= 0) & (column < len(marks))
+            return inside & marks[np.where(inside, column, 0).astype(np.int64)]
+        return column <= self.threshold[node]
+
+
+@dataclass
+class Leaf:
+    """A leaf's value, the distinct features of its path, their cover shares, and per feature its splits (node, whether left)."""
+
+    value: float
+    features: list[int]
+    shares: np.ndarray
+    splits: list[list[tuple[int, bool]]]
+
+
+def leaves(tree: TreeNodes) -> list[Leaf]:
+    out, todo = [], [(0, ())]
+    while todo:
+        node, path = todo.pop()
+        if tree.left[node] >= 0:
+            for child, side in ((tree.left[node], True), (tree.right[node], False)):
+                share = tree.cover[child] / tree.cover[node] if tree.cover[node] > 0 else 0.0
+                todo.append((int(child), (*path, (node, side, share))))
+            continue
+        features = sorted({int(tree.feature[n]) for n, _, _ in path})
+        own = [[(n, side, share) for n, side, share in path if tree.feature[n] == f] for f in features]
+        out.append(Leaf(float(tree.value[node]), features, np.array([np.prod([s for _, _, s in steps]) for steps in own]),
+                        [[(n, side) for n, side, _ in steps] for steps in own]))
+    return out
+
+
+def pattern_values(shares: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """(pattern, feature): Shapley values of a leaf of value 1 for rows that pass the features of a bit pattern."""
+    d = len(shares)
+    t, w = np.polynomial.legendre.leggauss(max(1, (d + 1) // 2))
+    t, w = (t + 1) / 2, w / 2
+    passed = (patterns[:, None] >> np.arange(d)) & 1
+    term = passed[:, :, None] * t + (shares[:, None] * (1 - t))[None]   # pattern, feature, point
+    out = np.empty((len(patterns), d))
+    for i in range(d):
+        rest = np.prod(np.delete(term, i, axis=1), axis=1)
+        out[:, i] = (passed[:, i] - shares[i]) * (rest @ w)
+    return out
+
+
+def expected_output(trees: list[TreeNodes]) -> float:
+    return float(sum(t.weight * leaf.value * np.prod(leaf.shares) for t in trees for leaf in leaves(t)))
+
+
+def shapley_values(trees: list[TreeNodes], x: np.ndarray) -> np.ndarray:
+    """(rows, slots) attributions of encoded rows."""
+    out = np.zeros(x.shape)
+    for tree in trees:
+        inner = np.flatnonzero(tree.left >= 0)
+        goes = {int(n): tree.goes_left(int(n), x) for n in inner}
+        for leaf in leaves(tree):
+            d = len(leaf.features)
+            if not d:
+                continue
+            code = np.zeros(len(x), np.int64)
+            for j, splits in enumerate(leaf.splits):
+                passes = np.ones(len(x), bool)
+                for node, side in splits:
+                    passes &= goes[node] == side
+                code |= passes.astype(np.int64) << j
+            if d <= TABLE_FEATURES:
+                found, at = np.arange(1 << d), code
+            else:
+                found, at = np.unique(code, return_inverse=True)
+            out[:, leaf.features] += tree.weight * leaf.value * pattern_values(leaf.shares, found)[at]
+    return out
+
+
+def saved_trees(spark, clf) -> list[TreeNodes]:
+    """Trees of a fitted classifier, from its own table or its saved form."""
+    if isinstance(clf, BoostedTreesModel):
+        step = clf.body["step"]
+        start = TreeNodes(np.array([-1]), np.array([-1]), np.zeros(1, np.int64), np.zeros(1), np.array([clf.start]), np.ones(1), {}, 1.0)
+        return [start, *(TreeNodes(t["left"], t["right"], t["feature"], t["threshold"], t["value"], t["cover"], {}, step)
+                         for t in clf.trees)]
+    if not isinstance(clf, (GBTClassificationModel, RandomForestClassificationModel)):
+        raise TypeError(f"tree attributions need a boosted or random forest model, got {type(clf).__name__}")
     path = scratch_path(spark, f"models/{uuid.uuid4().hex}")
     clf.write().overwrite().save(path)
     nodes = spark.read.parquet(path + "/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.leftChild",
         "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
         "nodeData.split.numCategories").toPandas()
-    if isinstance(clf, GBTClassificationModel):
-        meta = spark.read.parquet(path + "/treesMetadata").toPandas()
-        weights = dict(zip(meta.iloc[:, 0], meta.iloc[:, 2]))
-        space = "margin"
-    elif isinstance(clf, RandomForestClassificationModel):
-        n = int(nodes.treeID.nunique())
-        weights = {t: 1.0 / n for t in nodes.treeID.unique()}
-        space = "probability"
-    else:
-        raise TypeError(f"tree attributions need a GBT or random forest model, got {type(clf).__name__}")
+    margin = isinstance(clf, GBTClassificationModel)
+    weights = dict(enumerate(clf.treeWeights)) if margin else {t: 1.0 / clf.getNumTrees for t in nodes.treeID.unique()}
+    delete_path(spark, path)
     trees = []
-    for tid, g in nodes.groupby("treeID"):
+    for number, g in nodes.groupby("treeID"):
         size = int(g.id.max()) + 1
-        left = np.full(size, -1, dtype=np.int64)
-        right = np.full(size, -1, dtype=np.int64)
-        feat = np.zeros(size, dtype=np.int64)
-        thr = np.zeros(size)
-        is_cat = np.zeros(size, dtype=bool)
-        mask = np.zeros(size, dtype=np.int64)
-        value = np.zeros(size)
+        t = TreeNodes(np.full(size, -1), np.full(size, -1), np.zeros(size, np.int64), np.zeros(size), np.zeros(size), np.zeros(size),
+                      {}, float(weights[number]))
         for r in g.itertuples(index=False):
             i = int(r.id)
-            left[i], right[i] = int(r.leftChild), int(r.rightChild)
-            feat[i] = max(int(r.featureIndex), 0)
-            if space == "margin":
-                value[i] = float(r.prediction)
-            else:
-                stats = np.asarray(r.impurityStats, dtype=float)
-                value[i] = stats[1] / stats.sum() if stats.sum() > 0 and len(stats) > 1 else 0.0
-            cats = list(r.leftCategoriesOrThreshold) if r.leftCategoriesOrThreshold is not None else []
+            stats = np.asarray(r.impurityStats, dtype=float)
+            t.left[i], t.right[i], t.feature[i] = int(r.leftChild), int(r.rightChild), max(int(r.featureIndex), 0)
+            # a regression tree's statistics are (rows, sum, sum of squares), a classification tree's the rows of each class
+            t.cover[i] = stats[0] if margin else stats.sum()
+            t.value[i] = float(r.prediction) if margin else (stats[1] / stats.sum() if stats.sum() > 0 and len(stats) > 1 else 0.0)
+            sides = list(r.leftCategoriesOrThreshold) if r.leftCategoriesOrThreshold is not None else []
             if int(r.numCategories) >= 0:
-                is_cat[i] = True
-                for c in cats:
-                    mask[i] |= 1 << int(c)
-            elif cats:
-                thr[i] = float(cats[0])
-        trees.append(dict(left=left, right=right, feat=feat, thr=thr, is_cat=is_cat, mask=mask,
-                          value=value, weight=float(weights[tid])))
-    return trees, space
-
-
-def path_contributions(trees: list[dict], X: np.ndarray) -> tuple[np.ndarray, float]:
-    """(rows x slots contributions, bias) for a batch of encoded rows."""
-    n, d = X.shape
-    contrib = np.zeros((n, d))
-    rows_all = np.arange(n)
-    bias = 0.0
-    for t in trees:
-        w = t["weight"]
-        bias += w * t["value"][0]
-        node = np.zeros(n, dtype=np.int64)
-        active = t["left"][node] >= 0
-        while active.any():
-            rows = rows_all[active]
-            cur = node[rows]
-            f = t["feat"][cur]
-            x = X[rows, f]
-            bit = (t["mask"][cur] >> np.clip(x, 0, 62).astype(np.int64)) & 1
-            go_left = np.where(t["is_cat"][cur], bit == 1, x <= t["thr"][cur])
-            child = np.where(go_left, t["left"][cur], t["right"][cur])
-            contrib[rows, f] += w * (t["value"][child] - t["value"][cur])
-            node[rows] = child
-            active = t["left"][node] >= 0
-    return contrib, bias
+                t.groups[i] = np.isin(np.arange(int(r.numCategories)), [int(c) for c in sides])
+            elif sides:
+                t.threshold[i] = float(sides[0])
+        trees.append(t)
+    return trees
 
 
 def tree_contributions(model: PipelineModel, df: DataFrame, keep: list[str],
                        name: str = "contributions") -> DataFrame:
-    """Per-slot contributions (``array<double>``) and ``bias`` for each row of ``df``."""
+    """Per-slot Shapley values (``array<double>``) and ``bias``, the expected output, for each row of ``df``."""
     spark = df.sparkSession
-    clf = model.stages[-1]
-    trees, _space = _tree_arrays(spark, clf)
+    trees = saved_trees(spark, model.stages[-1])
+    bias = expected_output(trees)
     bc = spark.sparkContext.broadcast(trees)
     enc = PipelineModel(stages=model.stages[:-1]).transform(df)
     x = enc.select(*keep, vector_to_array("features").alias("_f"))
@@ -116,15 +181,13 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: list[str],
                                T.StructField("bias", T.DoubleType())])
 
     def fn(batches):
-        tr = bc.value
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            X = np.stack(pdf["_f"].to_numpy()).astype(float)
-            c, b = path_contributions(tr, X)
+            values = shapley_values(bc.value, np.stack(pdf["_f"].to_numpy()).astype(float))
             out = pdf.drop(columns=["_f"])
-            out[name] = list(c)
-            out["bias"] = b
+            out[name] = list(values)
+            out["bias"] = bias
             yield out
 
     return x.mapInPandas(fn, out_schema)
