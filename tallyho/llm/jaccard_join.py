@@ -8,7 +8,10 @@ some part.  Every choice of two of its three cells is enumerated as a signature,
 sets share one.  Signatures only propose pairs; every link is checked exactly on
 the whole sets.
 
-Sets that are equal collapse to their smallest id first.  A signature's members are not
+Sets that are equal collapse to their smallest id first, and only these get signatures.  A signature of
+empty cells alone would be shared by all sets that leave them empty.  Where linked sets have ``CERTAIN`` shingles in
+common at least, it is left out: that every shingle which two linked sets have in common lies in cells that differ has
+a chance below 0.62 ^ CERTAIN, about that of two equal 64-bit hashes.  A signature's members are not
 paired with each other.  All are compared with the signature's smallest id (a star), and
 what that links becomes one component.  Only signatures that still hold two components
 are looked at again, in cells of bounded size: parity sketches bound the symmetric
@@ -36,7 +39,8 @@ from pyspark.sql import functions as F
 
 from tallyho.llm._cells import whole_groups
 from tallyho.llm._components import components
-from tallyho.llm._shared import shared_keys
+from tallyho.llm._join import fits
+from tallyho.llm._shared import sorted_shared_keys
 from tallyho.llm._text import binaries, distinct, mix64, shingles, slices, words_of
 from tallyho.session import Scratch, materialize
 
@@ -46,6 +50,8 @@ NUM, DEN = 90, 100
 BAND = 1.4
 #: Members of a signature in one cell's side.
 CELL_ROWS = 512
+#: Shingles in common from which signatures of empty cells are left out.
+CERTAIN = 100
 #: Bits of a parity sketch for each element that may differ.
 SKETCH_BITS = 16
 _PART = np.uint64(0xA0761D6478BD642F)
@@ -66,16 +72,21 @@ def bands(num: int = NUM, den: int = DEN, largest: int = 1 << 40) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def signatures(sets: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, document of each) of documents given as flat sets of 64-bit hashes."""
+def signatures(sets: np.ndarray, first: np.ndarray, table: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, document of each) of documents given as flat sets of 64-bit hashes.
+
+    A set stands in its own band and in all further ones whose members may be linked with it.
+    """
     n = np.diff(first)
     own = np.searchsorted(table[:, 1], n, side="right") - 1
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for step in (0, 1):
+    step = -1
+    while True:
+        step += 1
         band = np.minimum(own + step, len(table) - 1)
         docs = np.flatnonzero((n > 0) & (n >= table[band, 0]) & (band == own + step))
         if not len(docs):
-            continue
+            break
         k = table[band[docs], 3]
         parts = np.where(k > 0, (k + 2) // 2, 1)  # n1 * 2 > k
         base = np.concatenate([[0], np.cumsum(parts * 3)])
@@ -89,6 +100,8 @@ def signatures(sets: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[
         sums = np.zeros(base[-1], np.uint64)
         np.add.at(sums, cell, mix64(h ^ _CELL))
         sums = sums.reshape(-1, 3)
+        filled = np.bincount(cell, minlength=base[-1]).reshape(-1, 3)
+        sure = np.repeat(table[band[docs], 1] * num >= CERTAIN * den, parts)
         total = sums.sum(axis=1, dtype=np.uint64)
         place = np.arange(len(sums)) - np.repeat(base[:-1] // 3, parts)
         seed = mix64((np.repeat(band[docs], parts).astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64) * np.uint64(4))
@@ -96,7 +109,8 @@ def signatures(sets: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[
         exact = np.repeat(k == 0, parts)  # no difference allowed: the whole set is the signature
         found.append((mix64(total[exact] + seed[exact]), of[exact]))
         for left_out in range(3):
-            found.append((mix64((total - sums[:, left_out])[~exact] + mix64(seed[~exact] + np.uint64(left_out + 1))), of[~exact]))
+            use = ~exact & (~sure | (filled.sum(axis=1) > filled[:, left_out]))
+            found.append((mix64((total - sums[:, left_out])[use] + mix64(seed[use] + np.uint64(left_out + 1))), of[use]))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sig, doc = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -104,26 +118,39 @@ def signatures(sets: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[
     return sig[order], doc[order]
 
 
-def describe(df: DataFrame, doc_id: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, fa, fb, keys): size, 128-bit fingerprint and signatures of every row."""
-    table = bands(num, den)
+def describe(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(doc_id, n, fa, fb): size and 128-bit fingerprint of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             sets, first = distinct(*shingles(words_of(batch.column(1)), width))
-            sig, doc = signatures(sets, first, table)
-            keys_first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32)
             total = [np.zeros(len(sets) + 1, np.uint64) for _ in range(2)]
             for t, c in zip(total, (_PART, _CELL), strict=True):
                 np.cumsum(mix64(mix64(sets + c)), out=t[1:])
             fa, fb = (mix64(t[first[1:]] - t[first[:-1]]).astype(np.int64) for t in total)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.diff(first)), pa.array(fa), pa.array(fb),
-                pa.ListArray.from_arrays(pa.array(keys_first), pa.array(sig.astype(np.int64)))],
-                names=["doc_id", "n", "fa", "fb", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(fa), pa.array(fb)],
+                                             names=["doc_id", "n", "fa", "fb"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, fa bigint, fb bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, fa bigint, fb bigint")
+
+
+def memberships(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(key, id): the signatures of documents (id, text)."""
+    table = bands(num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            sets, first = distinct(*shingles(words_of(batch.column(1)), width))
+            sig, doc = signatures(sets, first, table, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), batch.column(0).take(pa.array(doc))], names=["key", "id"])
+
+    return docs.select("id", "text").mapInArrow(run, "key bigint, id bigint")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose id is not in the written list ``gone``, which is broadcast if its counted rows are within the bound."""
+    return docs.join(F.broadcast(gone) if fits(gone) else gone, "id", "left_anti")
 
 
 def sketch(elements: np.ndarray, num: int, den: int) -> bytes:
@@ -309,13 +336,16 @@ def jaccard_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """(doc_id, n_shingles, component_id, class_id) of every row; ``class_id`` is the smallest id with an equal set."""
     spark = df.sparkSession
     with Scratch(spark) as scratch:
-        sets = scratch.table(describe(df, doc_id, text, width, num, den))
+        sets = scratch.table(describe(df, doc_id, text, width))
         usable = sets.where("doc_id is not null and n > 0")
         classes = scratch.table(usable.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("rep")))
         members = scratch.table(usable.select("doc_id", "n", "fa", "fb").join(classes, ["n", "fa", "fb"]).select("doc_id", "rep"))
-        every = shared_keys(usable.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")))
-        reps = every.join(members.distinct(), F.col("id") == F.col("doc_id")).select("key", F.col("rep").alias("id"))
-        active = scratch.table(shared_keys(reps.distinct()))
+        # an id that stands for a class in any of its rows keeps its signatures
+        gone = scratch.table(members.groupBy(F.col("doc_id").alias("id")).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+                             .where("lo <> id and hi <> id").select("id"))
+        docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+        active = scratch.table(sorted_shared_keys(memberships(_without(docs, gone), width, num, den)))
+        scratch.drop(classes, gone)
         full = contents(df, active.select("id").distinct(), doc_id, text, width, num, den)
         if not usable.groupBy("doc_id").count().where("count > 1").isEmpty():
             full = full.distinct()

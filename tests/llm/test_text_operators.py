@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyho.llm import _text, jaccard_join, line_dedup, substring_dedup
+from tallyho.llm._shared import sorted_shared_keys
 from tallyho.session import Scratch
 
 from .helpers import SCHEMA, documents, frame, union_find, words
@@ -70,11 +71,11 @@ def test_visible_lines(spark):
     assert row[0].u == "www.x.org" and row[1].t is None and row[1].u == ""
 
 
-def brute_groups(rows, num=90, den=100):
+def brute_groups(rows, num=90, den=100, width=3):
     sets = []
     for i, t, *_ in rows:
         w = words(t)
-        sets.append((i, frozenset(tuple(w[k:k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()))
+        sets.append((i, frozenset(tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()))
     pairs = [(i, i) for i, _ in sets if i is not None]
     for a in range(len(sets)):
         for b in range(a):
@@ -129,6 +130,52 @@ def test_partenum_signatures_are_shared_by_all_similar_sets():
             assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), (n, inter, union)
 
 
+@pytest.mark.parametrize("num", [90, 80, 50, 40])
+def test_nested_sets_at_the_bar_share_a_signature(num):
+    """Sizes at the farthest ratio that the bar allows, over several size bands at a low bar."""
+    rng = np.random.default_rng(num)
+    table = jaccard_join.bands(num, 100)
+    for n in [*range(1, 60), *range(60, 1200, 37)]:
+        large = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
+        small = large[:-(-n * num // 100)]
+        sets = np.concatenate([large, small])
+        sig, doc = jaccard_join.signatures(sets, np.array([0, n, len(sets)]), table, num, 100)
+        assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), n
+
+
+def test_large_sets_share_no_signature_of_empty_cells():
+    """Sets without a common shingle do not meet, however many cells both leave empty."""
+    rng = np.random.default_rng(6)
+    table = jaccard_join.bands(80, 100)
+    sizes = [125 + 3 * i for i in range(60)]
+    sets, first = rng.integers(0, 2**63, sum(sizes), dtype=np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    sig, _ = jaccard_join.signatures(sets, first, table, 80, 100)
+    assert len(np.unique(sig)) == len(sig)
+
+
+@pytest.mark.parametrize("num", [80, 50])
+def test_jaccard_groups_at_other_bars(spark, num):
+    rows = near_miss_corpus()
+    sets, find = brute_groups(rows, width=5, num=num)
+    got = jaccard_join.jaccard_groups(frame(spark, rows), width=5, num=num, den=100).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), find(i)) for i, s in sets)
+
+
+def test_shared_keys_of_sorted_rows(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(300), rng.randrange(40)) for _ in range(700)] + [(7, 5)] * 50 + [(8, i % 900) for i in range(2000)]
+    rows += [(9000 + i, 1) for i in range(500)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = sorted_shared_keys(spark.createDataFrame(rows, "key long, id long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by_key = {}
+    for k, i in rows:
+        by_key.setdefault(k, set()).add(i)
+    assert sorted(map(tuple, got)) == sorted((k, i) for k, ids in by_key.items() if len(ids) > 1 for i in ids)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(5)
     for n in (5, 80, 700, 9000):
