@@ -7,8 +7,10 @@ if, and only if, their shared-pivot count is ``SHARED`` at least.  What meets is
 by cosine in double precision; a pair is counted only in the list of its smallest
 shared pivots, so once.
 
-Pivots are ``PIVOTS`` vectors out of a bounded sample, none near another; every vector is
-indexed.  Vectors that are equal are one class with its size.  A long list is
+Pivots are vectors out of a bounded sample, none near another; every vector is indexed.  Their number grows with the
+square root of the vectors (``pivot_count``), so that lists do not grow in proportion to the table.  The ``LENGTHS``
+vector lengths with most rows take pivots from the sample, any others seeded random directions.
+Vectors that are equal are one class with its size.  A long list is
 split into blocks, and each pair of blocks is a cell of bounded size.  Cells hand on
 counts and a spanning forest of the links, never the pairs.
 
@@ -23,13 +25,16 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tallyho.llm._cells import whole_groups
 from tallyho.llm._components import components
@@ -38,34 +43,56 @@ from tallyho.llm._vectors import classes, matrix, unit, usable
 from tallyho.session import Scratch, materialize
 
 THRESHOLD = 0.95
-#: Pivots fit in 10 bits, so a list's three pivots and the dimension make one key.
-PIVOTS, NEAREST, SHARED = 256, 8, 3
-#: Most vectors from which pivots are taken, and the greatest cosine between two pivots.
-SAMPLE, APART = 2048, 0.6
+#: Least and most pivots; they fit in 12 bits, so a list's three pivots and the dimension make one key.
+PIVOTS, MOST_PIVOTS, NEAREST, SHARED = 256, 800, 8, 3
+#: Rows up to which the least number of pivots serves.
+PIVOT_ROWS = 10_000
+#: Vectors of a length from which pivots are taken, for each pivot wanted, the most bytes of them, lengths with a sample, and
+#: the greatest cosine between two pivots.
+SAMPLE, SAMPLE_BYTES, LENGTHS, APART = 8, 64 << 20, 16, 0.6
 CELL_ROWS = 512
 
 
+def pivot_count(rows: int) -> int:
+    return min(MOST_PIVOTS, max(PIVOTS, int(PIVOTS * math.sqrt(rows / PIVOT_ROWS))))
+
+
+def spread(pool: np.ndarray, pivots: int) -> np.ndarray:
+    """The first ``pivots`` rows of a pool, without those whose cosine with an earlier one exceeds ``APART``."""
+    free, chosen = np.ones(len(pool), bool), []
+    for i in range(len(pool)):
+        if free[i] and len(chosen) < pivots:
+            chosen.append(i)
+            free &= pool @ pool[i] <= APART
+    return pool[chosen]
+
+
+def random_pool(dim: int, pivots: int) -> np.ndarray:
+    return unit(np.random.default_rng([7, dim]).standard_normal((4 * pivots, dim)))
+
+
+@lru_cache(maxsize=64)
+def random_pivots(dim: int, pivots: int) -> np.ndarray:
+    return spread(random_pool(dim, pivots), pivots)
+
+
 def pick_pivots(vectors: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """``pivots`` unit vectors for each dimension from at most ``SAMPLE`` distinct vectors, the first by hash.
+    """``pivots`` unit vectors for each of the ``LENGTHS`` most frequent dimensions from distinct vectors, the first by hash.
 
     A vector whose cosine with an earlier pivot exceeds ``APART`` is passed over: pivots out of one
     cluster would stand at equal distance from its members, whose order of them would be noise.
     Seeded random directions fill up what the sample leaves.
     """
-    dims = [r.dim for r in vectors.select("dim").distinct().orderBy("dim").limit(pivots + 1).collect()]
-    if len(dims) > pivots:
-        raise ValueError("more dimensions than pivots")
+    dims = [r.dim for r in vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()]
+    most = F.least(F.lit(SAMPLE * pivots), F.greatest(F.lit(1), F.lit(SAMPLE_BYTES // LENGTHS // 8) / F.col("dim")))
+    rank = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("vec"), "vec"))
+    firsts = vectors.where(F.col("dim").isin(dims)).withColumn("r", rank).where(F.col("r") <= SAMPLE * pivots).where(F.col("r") <= most)
+    sample = firsts.select("dim", "vec").toArrow()
+    kinds = sample.column("dim").to_numpy()
     out = {}
     for dim in dims:
-        rows = vectors.where(F.col("dim") == dim).orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").toArrow()
-        random = np.random.default_rng([7, dim]).standard_normal((4 * pivots, dim))
-        pool = np.concatenate([unit(matrix(rows.column(0), dim)), unit(random)])
-        free, chosen = np.ones(len(pool), bool), []
-        for i in range(len(pool)):
-            if free[i] and len(chosen) < pivots:
-                chosen.append(i)
-                free &= pool @ pool[i] <= APART
-        out[dim] = pool[chosen]
+        own = sample.column("vec").combine_chunks().take(pa.array(np.flatnonzero(kinds == dim)))
+        out[dim] = spread(np.concatenate([unit(matrix(own, dim)), random_pool(dim, pivots)]), pivots)
     return out
 
 
@@ -85,7 +112,7 @@ def list_keys(near: np.ndarray, dim: int, shared: int) -> np.ndarray:
     for chosen in combinations(range(near.shape[1]), min(shared, near.shape[1])):
         key = np.full(len(near), dim, np.int64)
         for c in chosen:
-            key = (key << 10) | ranked[:, c]
+            key = (key << 12) | ranked[:, c]
         keys.append(key)
     return np.stack(keys, axis=1)
 
@@ -125,22 +152,24 @@ def cell_links(x: np.ndarray, near: np.ndarray, side: np.ndarray, size: np.ndarr
 
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD,
-                    pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
-    if not 0 < pivots <= 1024:
-        raise ValueError("pivots must be 1 to 1024")
+                    pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row; without ``pivots`` their number follows that of the vectors."""
+    if pivots is not None and not 0 < pivots <= 4096:
+        raise ValueError("pivots must be 1 to 4096")
     spark = df.sparkSession
     with Scratch(spark) as scratch:
         rows = scratch.table(usable(df, vec_id, embedding))
         distinct = scratch.table(classes(rows))
-        known = spark.sparkContext.broadcast(pick_pivots(distinct, pivots))
+        wanted = pivots or pivot_count(distinct.count())
+        known = spark.sparkContext.broadcast(pick_pivots(distinct, wanted))
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 dims = batch.column(1).to_numpy()
                 for dim in np.unique(dims):
                     part = batch.filter(pa.array(dims == dim))
-                    near = nearest_pivots(unit(matrix(part.column(2), int(dim))), known.value[int(dim)], nearest)
+                    own = known.value[int(dim)] if int(dim) in known.value else random_pivots(int(dim), wanted)
+                    near = nearest_pivots(unit(matrix(part.column(2), int(dim))), own, nearest)
                     keys = list_keys(near, int(dim), shared)
                     as_list = lambda a: pa.ListArray.from_arrays(
                         pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()))
@@ -170,7 +199,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                         continue  # one of the two blocks is empty
                     x = unit(matrix(table.column(6).slice(a, b - a), int(dims[a])))
                     near = np.array(table.column(8).slice(a, b - a).to_pylist())
-                    total, pairs = cell_links(x, near, side[part], size[part], int(key[a] & 1023), shared, threshold)
+                    total, pairs = cell_links(x, near, side[part], size[part], int(key[a] & 4095), shared, threshold)
                     some = np.flatnonzero(total)
                     found.append(np.stack([ident[part][some], ident[part][some], total[some]]))
                     found.append(np.stack([ident[part][pairs[:, 0]], ident[part][pairs[:, 1]], np.zeros(len(pairs), np.int64)]))

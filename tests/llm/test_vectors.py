@@ -39,6 +39,41 @@ def cosine(a, b):
     return float(a @ b / math.sqrt(a @ a) / math.sqrt(b @ b)) if len(a) == len(b) else -9.0
 
 
+def test_many_vector_lengths(spark):
+    """300 lengths, of which most take no pivots from the sample; links stay within a length."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for dim in range(2, 302):
+        v = rng.standard_normal(dim)
+        rows += [(3 * dim, v.astype(np.float32).tolist()), (3 * dim + 1, (v + 0.02 * rng.standard_normal(dim)).astype(np.float32).tolist()),
+                 (3 * dim + 2, rng.standard_normal(dim).astype(np.float32).tolist())]
+    got = {r.vec_id: r for r in pivot_index.near_duplicates(frame(spark, rows)).collect()}
+    assert len(got) == 900
+    found = pairs = 0
+    for dim in range(2, 302):
+        own = rows[3 * (dim - 2):3 * (dim - 1)]
+        for a, (i, v) in enumerate(own):
+            partners = [j for b, (j, w) in enumerate(own) if b != a and cosine(v, w) >= 0.95]
+            pairs += len(partners)
+            found += got[i].n_links
+            assert got[i].n_links <= len(partners) and got[i].component_id in (i, *partners)
+    assert pairs >= 600 and found >= 0.99 * pairs
+
+
+def test_recall_does_not_fall_with_the_number_of_pivots():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    y = 0.951 * x + math.sqrt(1 - 0.951**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    for rows in (1000, 100_000, 10**9):
+        pivots = pivot_index.random_pivots(64, pivot_index.pivot_count(rows))
+        a, b = (pivot_index.nearest_pivots(v, pivots, pivot_index.NEAREST) for v in (x, y))
+        shared = (a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1)
+        assert (shared >= pivot_index.SHARED).mean() >= 0.99
+
+
 @pytest.mark.parametrize("cell", [512, 3])
 def test_pivot_index_matches_brute_force(spark, monkeypatch, cell):
     monkeypatch.setattr(pivot_index, "CELL_ROWS", cell)
