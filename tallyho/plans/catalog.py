@@ -751,9 +751,9 @@ def _requests(spark, sf_dir) -> DataFrame:
                     F.col("gpa").alias("actual_gpa"))
 
 
-def _contract_sql() -> str:
+def _contract_sql(optional: bool = True) -> str:
     checks = []
-    for f, (typ, lo, hi) in {**spec.CONTRACT_FIELDS, **spec.OPTIONAL_CONTRACT_FIELDS}.items():
+    for f, (typ, lo, hi) in {**spec.CONTRACT_FIELDS, **(spec.OPTIONAL_CONTRACT_FIELDS if optional else {})}.items():
         src = {"age": "age_raw", "actual_gpa": "gpa"}.get(f, f)
         required = f in spec.CONTRACT_FIELDS
         if required:
@@ -1057,6 +1057,17 @@ def q_stream_score(spark, sf_dir):
     return ok.unionByName(bad)
 
 
+@register("stream_score_counts", f"""
+SELECT CASE WHEN is_valid THEN 'accepted' ELSE 'rejected' END AS status, count(*) AS n,
+  CAST(sum(n_violations) AS BIGINT) AS n_violations, count(*) FILTER (is_valid) AS scored
+FROM ({_contract_sql(optional=False)}) GROUP BY 1""")
+def q_stream_score_counts(spark, sf_dir):
+    """K2: what the two sinks hold after the stream: rows, violations, and rows with a probability and its label."""
+    scored = F.col("prediction") == (F.col("pass_prob") >= spec.PROB_THRESHOLD).cast("int")
+    return q_stream_score(spark, sf_dir).groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_violations").cast("bigint").alias("n_violations"), F.count_if(scored).alias("scored"))
+
+
 @register("explain_trees")
 def q_explain_trees(spark, sf_dir):
     """M12 for a boosted model of 200 trees: top-3 Shapley attributions of every row."""

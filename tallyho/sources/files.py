@@ -9,23 +9,28 @@ URI (``s3a://``, ``abfss://``, ``hdfs://``) — S11 is just a path argument.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.utils import AnalysisException
 
 from tallyho import spec
 from tallyho.operators.clean import clean_split
 from tallyho.operators.metrics import latest_run as _latest_run
 from tallyho.operators.select import require_columns
+from tallyho.operators.stats import join_small
 from tallyho.sources.tables import nan_to_null
 
 
-def _normalise_raw(df: DataFrame) -> DataFrame:
-    """Rename raw headers, map every missing spelling to NULL, cast doubles."""
-    cols = []
+def _normalise_raw(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rename raw headers, map every missing spelling to NULL, cast doubles; ``keep`` columns stay as they are."""
+    cols = [F.col(c) for c in keep]
     for c in df.columns:
+        if c in keep:
+            continue
         name = spec.RAW_COLUMN_NAMES.get(c, c)
         v = F.col(f"`{c}`")
         v = F.when(F.trim(v).isin(spec.MISSING_TOKENS) | v.isNull(), F.lit(None).cast("string")).otherwise(v)
@@ -36,11 +41,29 @@ def _normalise_raw(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def with_file_order(scan: DataFrame, name: str = "_row") -> DataFrame:
+    """A file scan with each row's position in its files, which are ordered by name, from 0 on.
+
+    Spark packs files into partitions by size, so a row's partition says nothing of its file.  A block of a file (its path
+    and the block's start, from the scan's metadata) is read by one task in order: a first pass, which reads no data
+    column, counts the rows of each block, the running sum over the blocks in order gives where each one begins, and
+    inside a block the row number of the scan counts on.
+    """
+    seen = F.monotonically_increasing_id()
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), seen.alias("_seen")]
+    blocks = scan.select(*place).groupBy("_file", "_block").agg(F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)  # the table has one row a block
+    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    rows = join_small(scan.select("*", *place), blocks, ["_file", "_block"])
+    return rows.withColumn(name, F.col("_begin") + F.col("_seen") - F.col("_first")).drop("_file", "_block", "_seen", "_first", "_begin")
+
+
 def read_raw_splits(spark: SparkSession, input_dir: str, splits=tuple(spec.SPLITS)) -> DataFrame:
     """All raw split CSVs as one table with ``split`` and file-order ``_row`` columns
     (text values, no schema inference).
 
-    A missing file raises ``FileNotFoundError``.
+    A split is a file or a folder of files named ``<split>.csv``; ``_row`` counts its rows from 0, files in the order of
+    their names.  A missing file raises ``FileNotFoundError``.
     """
     frames = []
     for s in splits:
@@ -50,9 +73,7 @@ def read_raw_splits(spark: SparkSession, input_dir: str, splits=tuple(spec.SPLIT
             raw.schema  # resolve now so a missing file fails here
         except AnalysisException as e:
             raise FileNotFoundError(f"Dataset file not found: {path}") from e
-        # File order, fixed right after the scan: partition index then position.
-        frames.append(_normalise_raw(raw).withColumn("_row", F.monotonically_increasing_id())
-                      .withColumn("split", F.lit(s)))
+        frames.append(_normalise_raw(with_file_order(raw), ["_row"]).withColumn("split", F.lit(s)))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -126,8 +147,11 @@ def load_model(path: str) -> PipelineModel:
 
 
 def write_run_metrics(runs: DataFrame, path: str) -> None:
-    """Append benchmark records, partitioned by ``label``."""
-    runs.write.mode("append").partitionBy("label").parquet(path)
+    """Add benchmark records, one folder per run: its ``label`` and ``timestamp``.
+
+    The folder is the run's commit marker: a job that is run again replaces its own record, and those of other runs stay.
+    """
+    (runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "timestamp").parquet(path))
 
 
 def latest_run(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
