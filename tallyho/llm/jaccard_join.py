@@ -15,8 +15,8 @@ a chance below 0.62 ^ CERTAIN, about that of two equal 64-bit hashes.  A signatu
 paired with each other.  All are compared with the signature's smallest id (a star), and
 what that links becomes one component.  Only signatures that still hold two components
 are looked at again, in cells of bounded size: parity sketches bound the symmetric
-difference from below, and a cell hands on a spanning forest of the pairs between
-components that the bound allows, then, once those are checked, the pairs that are
+difference from below.  A signature with few members hands on the pairs between components that the bound
+allows; a cell of a larger one a spanning forest of them, then, once those are checked, the pairs that are
 still allowed between components.  No link between different sets is lost.
 
 Defined results
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,16 @@ NUM, DEN = 90, 100
 BAND = 1.4
 #: Members of a signature in one cell's side.
 CELL_ROWS = 512
+#: Pairs whose sketches are compared at once.
+PAIRS = 1 << 16
 #: Shingles in common from which signatures of empty cells are left out.
 CERTAIN = 100
-#: Bits of a parity sketch for each element that may differ.
-SKETCH_BITS = 16
+#: Bits of a parity sketch for each element that may differ: at 4, sets that differ in 1.15 times the bound stand out.
+SKETCH_BITS = 4
+#: Members up to which a signature's pairs are formed together with those of others.
+SMALL = 24
+#: Ids up to which a list of wanted documents is broadcast, so that their texts are not shuffled.
+WANTED_ROWS = 2_000_000
 _PART = np.uint64(0xA0761D6478BD642F)
 _CELL = np.uint64(0xE7037ED1A0B428DB)
 
@@ -177,8 +184,36 @@ def _folded(raw: list[bytes]) -> np.ndarray:
     return out
 
 
+def apart(raw: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of row pairs differ, each pair folded to its shorter one."""
+    size = pc.binary_length(raw).to_numpy()
+    out = np.empty(len(left), np.int64)
+    lo, hi = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+    swap = size[left] > size[right]
+    short, long = np.where(swap, right, left), np.where(swap, left, right)
+    for a, b in np.unique(np.stack([lo, hi], axis=1), axis=0) if len(left) else ():
+        own = np.flatnonzero((lo == a) & (hi == b))
+        rows = {w: np.unique(side[own], return_inverse=True) for w, side in (("s", short), ("l", long))}
+        x, y = (np.frombuffer(b"".join(raw.take(pa.array(rows[w][0])).to_pylist()), np.uint64).reshape(-1, n // 8)
+                for w, n in (("s", a), ("l", b)))
+        while y.shape[1] > x.shape[1]:
+            y = y[:, :y.shape[1] // 2] ^ y[:, y.shape[1] // 2:]
+        for at in range(0, len(own), PAIRS):
+            cut = slice(at, at + PAIRS)
+            out[own[cut]] = np.bitwise_count(x[rows["s"][1][cut]] ^ y[rows["l"][1][cut]]).sum(axis=1)
+    return out
+
+
+def allowed(raw: pa.Array, n: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the sizes and sketches of row pairs allow a link."""
+    keep = np.maximum(n[left], n[right]) * num <= np.minimum(n[left], n[right]) * den
+    own = np.flatnonzero(keep)
+    keep[own] = apart(raw, left[own], right[own]) * (den + num) <= (den - num) * (n[left[own]] + n[right[own]])
+    return keep
+
+
 def contents(df: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, set, sketch) of the rows with a wanted id; the set is sorted 64-bit shingle hashes as binary."""
+    """(id, n, set, sketch) of the rows with an id of the written list ``wanted``; the set is sorted 64-bit shingle hashes as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -189,7 +224,8 @@ def contents(df: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: in
                  pa.array(marks, pa.binary())], names=["id", "n", "set", "sketch"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.join(wanted, "id").mapInArrow(run, "id bigint, n bigint, set binary, sketch binary")
+    side = F.broadcast(wanted) if fits(wanted, WANTED_ROWS) else wanted
+    return rows.join(side, "id").mapInArrow(run, "id bigint, n bigint, set binary, sketch binary")
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -197,10 +233,10 @@ def possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            apart = [int(np.bitwise_count(np.bitwise_xor(*_folded([x, y]))).sum()) for x, y in zip(left, right, strict=True)]
-            keep = pa.array(np.array(apart, np.int64) * (den + num) <= (den - num) * n)
+            row = np.arange(batch.num_rows)
+            n = np.concatenate([batch.column(c).to_numpy() for c in (2, 3)])
+            raw = pa.concat_arrays([batch.column(4), batch.column(5)])
+            keep = pa.array(allowed(raw, n, row, row + batch.num_rows, num, den))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
     one = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -271,6 +307,23 @@ def allowed_pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, raw: list[b
     return both[0], both[1]
 
 
+def small_pairs(edges: np.ndarray, comp: np.ndarray, n: np.ndarray, marks: pa.Array, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All allowed pairs between components of the signatures with at most ``SMALL`` members, formed by their distance in the group."""
+    size = np.diff(edges)
+    left_in = np.repeat(edges[1:], size) - np.arange(edges[-1])  # rows of the group from this one on
+    left_in[np.repeat(size, size) > SMALL] = 0
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, SMALL):
+        x = np.flatnonzero(left_in > step)
+        x = x[comp[x] != comp[x + step]]
+        for at in range(0, len(x), PAIRS):
+            part = x[at:at + PAIRS]
+            part = part[allowed(marks, n, part, part + step, num, den)]
+            one.append(part)
+            two.append(part + step)
+    return np.concatenate(one), np.concatenate(two)
+
+
 def cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """(a, b) from (key, id, c, n, sketch) rows of signatures with several components.
 
@@ -290,16 +343,18 @@ def cell_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in whole_groups(batches, 3):
             lo, hi, side, ident, comp, n = (table.column(i).to_numpy() for i in range(1, 7))
-            raw = table.column(7).to_pylist()
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            marks = table.column(7).combine_chunks()
+            marks = pa.concat_arrays(marks.chunks) if isinstance(marks, pa.ChunkedArray) else marks
+            found = [tuple(ident[x] for x in small_pairs(edges, comp, n, marks, num, den))]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a <= SMALL and lo[a] == hi[a]:
+                    continue
+                raw = marks.slice(a, b - a).to_pylist()
                 if comp[a:b].min() < comp[a:b].max() and (lo[a] == hi[a] or side[a:b].any()):
-                    x, y = allowed_pairs(side[a:b], comp[a:b], n[a:b], raw[a:b], num, den, forest)
+                    x, y = allowed_pairs(side[a:b], comp[a:b], n[a:b], raw, num, den, forest)
                     found.append((ident[a + x], ident[a + y]))
-            if found:
-                one, two = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
+            one, two = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -346,7 +401,8 @@ def jaccard_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
         active = scratch.table(sorted_shared_keys(memberships(_without(docs, gone), width, num, den)))
         scratch.drop(classes, gone)
-        full = contents(df, active.select("id").distinct(), doc_id, text, width, num, den)
+        wanted = scratch.table(active.select("id").distinct())
+        full = contents(df, wanted, doc_id, text, width, num, den)
         if not usable.groupBy("doc_id").count().where("count > 1").isEmpty():
             full = full.distinct()
         comp = link(active, scratch.table(full), num, den, scratch)
