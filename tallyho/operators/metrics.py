@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyho import spec
 from tallyho.functions.scalar import fmt_comparison, fmt_duration, pct_diff, round_half_even, run_stamp
-from tallyho.operators.ordered import rolling_window, tail_rows
+from tallyho.operators.ordered import tail_rows
 from tallyho.operators.quantiles import quantiles
+from tallyho.operators.sliding import sliding_statistics
 from tallyho.operators.stats import _by, attach_stats, column_aggs, join_groups
 
 
@@ -171,15 +172,6 @@ def run_metrics(df: DataFrame, label: str = "label", latency: str = "latency_ms"
     return base.select(*out, *keys)
 
 
-def _array_percentile(name: str, p: float) -> Column:
-    """Linear-interpolated percentile of a sorted array column; NULL when empty."""
-    pos = (F.size(name) - 1).cast("double") * F.lit(p)
-    lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
-    a, b = F.get(F.col(name), lo), F.get(F.col(name), hi)
-    return F.when(F.size(name) > 0, F.when(lo == hi, a).otherwise(
-        (hi.cast("double") - pos) * a + (pos - lo.cast("double")) * b))
-
-
 def rolling_latency(df: DataFrame, n: int = spec.ROLLING_WINDOW, by=None,
                     order: Sequence[str] = ("ts", "event_id"), latency: str = "value",
                     error: Column | None = None, ts: str = "ts", chunk_rows: int = 100_000,
@@ -195,17 +187,9 @@ def rolling_latency(df: DataFrame, n: int = spec.ROLLING_WINDOW, by=None,
     err = F.coalesce(error, F.lit(False)) if error is not None else F.lit(False)
     lat = F.when(err, F.lit(0.0)).otherwise(F.col(latency).cast("double"))
     x = df.withColumn("_err", err.cast("int")).withColumn("_valid", F.when(lat > 0, lat))
-    # The frame's latencies are gathered once, sorted once, and both percentiles read from that array.
-    aggs = {
-        "window_n": F.count(F.lit(1)),
-        "error_count": F.sum("_err"),
-        "_avg": F.avg("_valid"),
-        "_frame": F.collect_list("_valid"),
-    }
-    r = rolling_window(x, n, keys, list(order), aggs, chunk_rows=chunk_rows,
-                       rows_per_part=rows_per_part)
-    r = r.withColumn("_frame", F.array_sort("_frame"))
-    r = r.withColumns({"_p95": _array_percentile("_frame", 0.95), "_p99": _array_percentile("_frame", 0.99)})
+    r = sliding_statistics(x, n, keys, list(order), "_valid", "_err", {"_p95": 0.95, "_p99": 0.99}, chunk_rows=chunk_rows,
+                           rows_per_part=rows_per_part)
+    r = r.withColumnsRenamed({"n_flagged": "error_count", "mean": "_avg"})
     first = column_aggs(df, {"_t0": F.min(ts)}, keys)
     r = attach_stats(r, first, keys)
     return r.select(

@@ -74,3 +74,23 @@ def test_rolling_halo_matches_brute_force(spark):
         n, avg, p95, cnt = exp[row.event_id]
         assert row.window_n == n and row.request_count == cnt
         assert row.avg_latency == pytest.approx(avg) and row.p95_latency == pytest.approx(p95)
+
+
+@pytest.mark.parametrize("n", [100, 10_000])
+def test_long_windows_equal_brute_force(spark, n):
+    """Windows longer and shorter than the groups, with ties, NULL values and failed rows, over several chunks."""
+    rng = np.random.default_rng(n)
+    m = 3 * n if n > 1000 else 1500
+    rows = [(i, "hot" if i % 10 else "cold", float(rng.integers(0, 50)) if i % 13 else None, bool(rng.random() < 0.1)) for i in range(m)]
+    df = spark.createDataFrame(rows, "event_id long, g string, value double, failed boolean").withColumn("ts", F.timestamp_seconds("event_id"))
+    got = {r.event_id: r for r in rolling_latency(df, n=n, by="g", error=F.col("failed"), chunk_rows=n + 7, rows_per_part=n).collect()}
+    assert len(got) == m
+    for name in ("hot", "cold"):
+        own = [r for r in rows if r[1] == name]
+        for i in [*range(0, len(own), max(1, len(own) // 97)), len(own) - 1]:
+            part = own[max(0, i - n + 1):i + 1]
+            v = np.array([r[2] for r in part if r[2] is not None and r[2] > 0 and not r[3]])
+            r = got[own[i][0]]
+            assert (r.window_n, r.error_count, r.request_count) == (len(part), sum(p[3] for p in part), i + 1)
+            want = [v.mean(), np.percentile(v, 95), np.percentile(v, 99)] if len(v) else [0.0] * 3
+            assert [r.avg_latency, r.p95_latency, r.p99_latency] == pytest.approx(want, abs=1e-9)
