@@ -18,8 +18,10 @@ vectorised step per leaf, never per row.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -81,27 +83,32 @@ def leaves(tree: TreeNodes) -> list[Leaf]:
             continue
         features = sorted({int(tree.feature[n]) for n, _, _ in path})
         own = [[(n, side, share) for n, side, share in path if tree.feature[n] == f] for f in features]
-        out.append(Leaf(float(tree.value[node]), features, np.array([np.prod([s for _, _, s in steps]) for steps in own]),
+        out.append(Leaf(float(tree.value[node]), features, np.array([math.prod(s for _, _, s in steps) for steps in own]),
                         [[(n, side) for n, side, _ in steps] for steps in own]))
     return out
 
 
+@lru_cache(maxsize=64)
+def _rule(points: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre points and weights on 0 to 1."""
+    t, w = np.polynomial.legendre.leggauss(points)
+    return (t + 1) / 2, w / 2
+
+
 def pattern_values(shares: np.ndarray, patterns: np.ndarray) -> np.ndarray:
     """(pattern, feature): Shapley values of a leaf of value 1 for rows that pass the features of a bit pattern."""
     d = len(shares)
-    t, w = np.polynomial.legendre.leggauss(max(1, (d + 1) // 2))
-    t, w = (t + 1) / 2, w / 2
+    t, w = _rule(max(1, (d + 1) // 2))
     passed = (patterns[:, None] >> np.arange(d)) & 1
     term = passed[:, :, None] * t + (shares[:, None] * (1 - t))[None]   # pattern, feature, point
-    out = np.empty((len(patterns), d))
-    for i in range(d):
-        rest = np.prod(np.delete(term, i, axis=1), axis=1)
-        out[:, i] = (passed[:, i] - shares[i]) * (rest @ w)
-    return out
+    ones = np.ones((len(patterns), 1, len(t)))
+    before = np.concatenate([ones, term[:, :-1].cumprod(axis=1)], axis=1)
+    after = np.concatenate([term[:, :0:-1].cumprod(axis=1)[:, ::-1], ones], axis=1)
+    return (passed - shares) * ((before * after) @ w)
 
 
 def expected_output(trees: list[TreeNodes]) -> float:
-    return float(sum(t.weight * leaf.value * np.prod(leaf.shares) for t in trees for leaf in leaves(t)))
+    return float(sum(t.weight * leaf.value * math.prod(leaf.shares) for t in trees for leaf in leaves(t)))
 
 
 def shapley_values(trees: list[TreeNodes], x: np.ndarray) -> np.ndarray:
