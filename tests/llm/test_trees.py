@@ -86,7 +86,7 @@ def test_different_rows_of_one_id(spark):
     assert sorted(map(tuple, out.select(*COLUMNS).collect())) == plain_negatives(rows)
 
 
-@pytest.mark.parametrize("rows", [[], [(100, None, 1)], [(100, [0.5] * 4, 1)], [(100, [0.5] * 4, 1), (101, [0.5] * 4, 2)]])
+@pytest.mark.parametrize("rows", [[], [(100, [0.5] * 4, 1), (101, [0.5] * 4, 2), (200, None, 1)]])
 def test_no_negatives(spark, rows):
     out = cover_tree.mine(embeddings(spark, rows), catalog.F.col("vec_id") % 100 == 0)
     assert out.columns == COLUMNS and out.collect() == []
@@ -162,7 +162,7 @@ def test_clusters_equal_brute_force(spark):
     assert sorted(map(tuple, out.collect()), key=str) == plain_clusters(rows)
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, 0)], [(None, [0.5] * 64, 0)], [(1, [0.5] * 64, 0)],
+@pytest.mark.parametrize("rows", [[], [(None, [0.5] * 64, 0), (1, None, 0)],
                                   [(1, [0.5] * 64, 0), (1, [0.5] * 64, 0), (2, [0.25] * 64, 0), (3, [-0.3] * 64, None)]])
 def test_few_vectors(spark, rows):
     out = vantage_clusters.cluster(embeddings(spark, rows))
