@@ -7,11 +7,15 @@ columns of ``documents``; ``n_chars`` follows the text.
 Defined results: a null text is scored as an empty one, has no lines and no shingles, and
 is not taken by the mix (it has no words).  Rows that repeat an id are one document to the
 near-duplicate stage, which keeps one of them; rows with a null id are kept there.  An
-empty table passes through every stage.
+empty table passes through every stage.  Further columns pass through as they are, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +28,28 @@ ORACLE_SQL = None
 NEAR_WIDTH, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _keeps_columns(stage: Callable) -> Callable:
+    """The stage with further columns under names that no operator uses, and back under their own afterwards."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        safe = {c if c in DOCUMENT else f"__extra{i}": c for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.toDF(*safe), sf_dir)
+        return out.toDF(*[safe[c] for c in out.columns])
+
+    return run
+
+
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
     """The columns of ``docs``, ``n_chars`` (where there is one) counted anew."""
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     return out.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+@_keeps_columns
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model, fitted on the labels, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -38,11 +58,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where("predicted = 1").select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
 
 
+@_keeps_columns
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source."""
     return _like(docs, line_dedup.drop_boilerplate(docs, "source", "text"))
 
 
+@_keeps_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group linked by 5-gram Jaccard similarity of 0.8 or more."""
     groups = jaccard_join.jaccard_groups(docs, width=NEAR_WIDTH, num=NEAR_NUM, den=NEAR_DEN)
@@ -54,6 +76,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
+@_keeps_columns
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, whole or in part, once or twice, that give the sources their target shares."""
     return _like(docs, mixing.mixed_documents(docs))
