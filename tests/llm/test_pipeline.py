@@ -52,6 +52,20 @@ def test_quality_stage_keeps_clean_documents(spark, corpus):
     assert good == len(kept)
 
 
+def test_further_columns_of_any_name_pass_through(spark, corpus):
+    folder, rows, _, _ = corpus
+    docs = spark.createDataFrame(rows, SCHEMA)
+    names = ["n_lines", "n_dropped", "score", "predicted", "a.b", "x`y", "__gone", "size", "id", "d_text"]
+    for name in names:
+        quoted = name.replace("`", "``")
+        docs = docs.selectExpr("*", f"coalesce(doc_id, -1) + 777 as `{quoted}`")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[name] == (-1 if r.doc_id is None else r.doc_id) + 777 for r in kept for name in names)
+
+
 def test_line_stage(corpus):
     before, after = plain(corpus[3][0]), plain(corpus[3][1])
     texts = brute_lines([(r[3], r[1]) for r in before], 0.1, 5)
