@@ -1,8 +1,10 @@
 """File order over several files, and run records that a repeated job replaces."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyho.operators.sketches import RANK_ERROR, latency_sketches, merged_percentiles
 from tallyho.sources import files
 
 
@@ -46,3 +48,22 @@ def test_a_run_that_is_written_again_replaces_itself(spark, tmp_path):
     assert files.latest_run(spark, path, "a").first().p95 == 4.0
     with pytest.raises(FileNotFoundError):
         files.latest_run(spark, path, "c")
+
+
+def test_percentiles_of_many_runs_from_their_sketches(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a" if i % 3 else "b", i % 7, float(v)) for i, v in enumerate(rng.lognormal(3, 1, 30_000))]
+    rows += [("c", 0, None), ("c", 0, -1.0), ("c", 1, 0.0), ("a", 99, None)]
+    runs = latency_sketches(spark.createDataFrame(rows, "label string, run int, latency_ms double"), by=["label", "run"])
+    assert runs.where("latency_sketch is null").count() == 3
+    got = {r.label: r for r in merged_percentiles(runs, by="label").collect()}
+    assert (got["a"].n_runs, got["b"].n_runs, got["c"].n_runs) == (8, 7, 2)
+    assert (got["c"].n_valid, got["c"].p99_latency_ms) == (0, 0.0)
+    for label in "ab":
+        v = np.array([x for name, _, x in rows if name == label and x is not None and x > 0])
+        assert got[label].n_valid == len(v)
+        for p in (50, 95, 99):
+            q = got[label][f"p{p}_latency_ms"]
+            assert (v < q).mean() <= p / 100 + RANK_ERROR and (v <= q).mean() >= p / 100 - RANK_ERROR
+    whole = merged_percentiles(runs).first()
+    assert whole.n_runs == 17 and whole.n_valid == 30_000

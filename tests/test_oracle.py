@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tests.conftest import SF001
-from tallyho.plans import learning, nullable  # noqa: F401  they register their queries
+from tallyho.plans import completions, learning, nullable, runs  # noqa: F401  they register their queries
 from tallyho.plans.catalog import ORACLE, QUERIES
 from tallyho.sources.tables import TABLES
 
