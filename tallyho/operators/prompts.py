@@ -136,32 +136,36 @@ def parse_completions(df: DataFrame, text_col: str = "completion", envelope: boo
     Text that is not JSON gets fallback A; an empty text, or JSON without a
     ``recommendations`` list, gets fallback B.
     """
-    raw = F.col(text_col)
-    content = _strip(unwrap_envelope(raw) if envelope else raw)
-    inner = extract_json_text(content)
-    parsed = F.from_json(inner, "struct<recommendations: array<string>, summary: string>")
-    valid = F.try_parse_json(inner).isNotNull()
+    # columns of their own: what refers to one does not compute it again
+    steps = [f"_completion_{c}" for c in ("raw", "content", "inner", "parsed", "valid")]
+    raw, content, inner, parsed, valid = map(F.col, steps)
+    x = df
+    for name, value in zip(steps, (
+            F.col(text_col), _strip(unwrap_envelope(raw) if envelope else raw), extract_json_text(content),
+            F.from_json(inner, "struct<recommendations: array<string>, summary: string>"), F.try_parse_json(inner).isNotNull()),
+            strict=True):
+        x = x.withColumn(name, value)
     items = parsed["recommendations"]
     keys = F.array(*[F.lit(k) for k in spec.RECOMMENDATION_KEYS])
-    kept = F.filter(items, lambda it: F.forall(
-        keys, lambda k: F.coalesce(F.array_contains(F.json_object_keys(it), k), F.lit(False))))
+    kept = F.filter(items, lambda it: F.coalesce(F.size(F.array_except(keys, F.json_object_keys(it))) == 0, F.lit(False)))
     recs = F.transform(kept, lambda it: F.from_json(it, spec.RECOMMENDATION))
     status = (F.when(F.coalesce(F.length(content), F.lit(0)) == 0, F.lit("fallback_error"))
               .when(~valid, F.lit("fallback_invalid_json"))
               .when(items.isNull(), F.lit("fallback_error"))
               .otherwise(F.lit("ok")))
-    x = df.withColumn("status", status)
+    x = x.withColumn("status", status)
     st = F.col("status")
     return x.withColumn("recommendations", F.when(st == "ok", recs)
                         .when(st == "fallback_invalid_json", _fallback(spec.FALLBACK_INVALID_JSON))
                         .otherwise(_fallback(spec.FALLBACK_OTHER))).withColumn(
         "summary", F.when(st == "ok", F.coalesce(parsed["summary"], F.lit(spec.DEFAULT_SUMMARY)))
         .when(st == "fallback_invalid_json", F.lit(spec.FALLBACK_INVALID_JSON["summary"]))
-        .otherwise(F.lit(spec.FALLBACK_OTHER["summary"])))
+        .otherwise(F.lit(spec.FALLBACK_OTHER["summary"]))).drop(*steps)
 
 
 def explode_recommendations(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     """One row per recommendation with its contract violations."""
-    x = df.select(*id_cols, "status", F.posexplode("recommendations").alias("_pos", "_r"))
+    # the outer form, since a plain explode brings a filter on the array that is pushed down and parses every text once more
+    x = df.select(*id_cols, "status", F.posexplode_outer("recommendations").alias("_pos", "_r")).where(F.col("_pos").isNotNull())
     return x.select(*id_cols, "status", (F.col("_pos") + 1).alias("position"), "_r.*",
                     recommendation_violations(F.col("_r")).alias("violations"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyho import spec
-from tallyho.operators.prompts import build_prompts, factors_text, parse_completions
+from tallyho.operators.prompts import build_prompts, explode_recommendations, factors_text, parse_completions
 
 REC = '{"priority": 1, "category": "GPA", "action": "a", "reason": "r", "timeline": "t"}'
 CASES = [
@@ -86,3 +86,15 @@ def test_explode_recommendations_query_matches_duckdb(spark, tmp_path):
     w = want[cols].sort_values(key).reset_index(drop=True)
     assert len(g) == 6   # 2 kept items + 1 bare item + 3 fallbacks
     assert g.astype(str).values.tolist() == w.astype(str).values.tolist()
+
+
+def test_every_step_of_parsing_is_computed_once(spark):
+    """Expressions that repeat inside one another grew to hundreds of parses of each text; an explode added as many in a filter."""
+    env = '{"text": "```json\\n{\\"recommendations\\": [' + REC.replace('"', '\\"') + ', {\\"priority\\": 2}, 3, null]}\\n```"}'
+    df = spark.createDataFrame([(1, env), (2, '{"recommendations": []}'), (3, None)], "k int, completion string")
+    df = df.withColumn("completion", F.concat("completion", F.lit(" ")))
+    out = explode_recommendations(parse_completions(df, envelope=True), ["k"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 4 and plan.count("parseJson(") == 1 and plan.count("from_json(") == 2
+    assert sorted((r.k, r.status, r.position, r.category) for r in out.collect()) == [
+        (1, "ok", 1, "GPA"), (3, "fallback_error", 1, spec.FALLBACK_OTHER["category"])]
