@@ -38,6 +38,10 @@ from tallyho.session import delete_path, scratch_path
 
 #: Distinct features of a path up to which all patterns are tabulated at once; beyond, those that occur.
 TABLE_FEATURES = 8
+#: Bytes of such tables that a task keeps from one batch of rows to the next; further ones are made anew.
+TABLE_BYTES = 64 << 20
+#: Partitions for each core over which rows are dealt before they are explained.
+DEAL = 2
 
 
 @dataclass
@@ -111,28 +115,58 @@ def expected_output(trees: list[TreeNodes]) -> float:
     return float(sum(t.weight * leaf.value * math.prod(leaf.shares) for t in trees for leaf in leaves(t)))
 
 
-def shapley_values(trees: list[TreeNodes], x: np.ndarray) -> np.ndarray:
-    """(rows, slots) attributions of encoded rows."""
-    out = np.zeros(x.shape)
+@dataclass
+class TreeTables:
+    """A tree, its leaves, and for each leaf its values by pattern or None."""
+
+    tree: TreeNodes
+    leaves: list[Leaf]
+    tables: list[np.ndarray | None]
+
+
+def _table(tree: TreeNodes, leaf: Leaf, patterns: np.ndarray) -> np.ndarray:
+    """(feature, pattern): attributions of a leaf."""
+    return np.ascontiguousarray((tree.weight * leaf.value * pattern_values(leaf.shares, patterns)).T)
+
+
+def prepared(trees: list[TreeNodes]) -> list[TreeTables]:
+    """Leaves of the trees, with tables of up to ``TABLE_BYTES``."""
+    out, room = [], TABLE_BYTES
     for tree in trees:
-        inner = np.flatnonzero(tree.left >= 0)
-        goes = {int(n): tree.goes_left(int(n), x) for n in inner}
-        for leaf in leaves(tree):
+        own, tables = leaves(tree), []
+        for leaf in own:
+            d = len(leaf.features)
+            room -= d * 8 << d if 0 < d <= TABLE_FEATURES else 0
+            tables.append(_table(tree, leaf, np.arange(1 << d)) if 0 < d <= TABLE_FEATURES and room >= 0 else None)
+        out.append(TreeTables(tree, own, tables))
+    return out
+
+
+def shapley_values(trees: list[TreeNodes] | list[TreeTables], x: np.ndarray) -> np.ndarray:
+    """(rows, slots) attributions of encoded rows."""
+    out = np.zeros(x.shape[::-1])  # by slot, so that what a leaf adds to a slot is one run of memory
+    x = np.asfortranarray(x)
+    for t in trees if trees and isinstance(trees[0], TreeTables) else prepared(trees):
+        goes = {int(n): t.tree.goes_left(int(n), x) for n in np.flatnonzero(t.tree.left >= 0)}
+        stays = {n: ~left for n, left in goes.items()}
+        for leaf, table in zip(t.leaves, t.tables, strict=True):
             d = len(leaf.features)
             if not d:
                 continue
-            code = np.zeros(len(x), np.int64)
+            code = np.zeros(len(x), np.uint8 if d <= TABLE_FEATURES else np.int64)
             for j, splits in enumerate(leaf.splits):
-                passes = np.ones(len(x), bool)
-                for node, side in splits:
-                    passes &= goes[node] == side
-                code |= passes.astype(np.int64) << j
-            if d <= TABLE_FEATURES:
-                found, at = np.arange(1 << d), code
-            else:
+                sides = [goes[node] if side else stays[node] for node, side in splits]
+                passes = sides[0] if len(sides) == 1 else np.logical_and.reduce(sides)
+                code |= passes.astype(code.dtype) << code.dtype.type(j)
+            at = code
+            if d > TABLE_FEATURES:
                 found, at = np.unique(code, return_inverse=True)
-            out[:, leaf.features] += tree.weight * leaf.value * pattern_values(leaf.shares, found)[at]
-    return out
+                table = _table(t.tree, leaf, found)
+            elif table is None:
+                table = _table(t.tree, leaf, np.arange(1 << d))
+            for j, f in enumerate(leaf.features):
+                out[f] += table[j].take(at)
+    return out.T
 
 
 def saved_trees(spark, clf) -> list[TreeNodes]:
@@ -181,17 +215,20 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: list[str],
     trees = saved_trees(spark, model.stages[-1])
     bias = expected_output(trees)
     bc = spark.sparkContext.broadcast(trees)
-    enc = PipelineModel(stages=model.stages[:-1]).transform(df)
+    # every row takes a step for each leaf of each tree: a file of a few MB, which is read as one partition, is dealt over all cores
+    enc = PipelineModel(stages=model.stages[:-1]).transform(df.repartition(DEAL * spark.sparkContext.defaultParallelism))
     x = enc.select(*keep, vector_to_array("features").alias("_f"))
     out_schema = T.StructType([*[f for f in x.schema.fields if f.name != "_f"],
                                T.StructField(name, T.ArrayType(T.DoubleType())),
                                T.StructField("bias", T.DoubleType())])
 
     def fn(batches):
+        tables: list[TreeTables] = []
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            values = shapley_values(bc.value, np.stack(pdf["_f"].to_numpy()).astype(float))
+            tables = tables or prepared(bc.value)
+            values = shapley_values(tables, np.stack(pdf["_f"].to_numpy()).astype(float))
             out = pdf.drop(columns=["_f"])
             out[name] = list(values)
             out["bias"] = bias
