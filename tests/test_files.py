@@ -1,10 +1,13 @@
 """File order over several files, and run records that a repeated job replaces."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyho.operators.sketches import RANK_ERROR, latency_sketches, merged_percentiles
+from tallyho.session import CLEANUP, materialize
 from tallyho.sources import files
 
 
@@ -67,3 +70,15 @@ def test_percentiles_of_many_runs_from_their_sketches(spark):
             assert (v < q).mean() <= p / 100 + RANK_ERROR and (v <= q).mean() >= p / 100 - RANK_ERROR
     whole = merged_percentiles(runs).first()
     assert whole.n_runs == 17 and whole.n_valid == 30_000
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = held()
+    table = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and table.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get(CLEANUP, None) in (None, "false")
