@@ -94,6 +94,67 @@ def test_seating_in_parties_agrees_with_one_by_one():
     assert abs(got.mean() - np.mean(plain)) < 4 * np.sqrt((got.var() + np.var(plain)) / n) + 0.4
 
 
+def plain_start(rows):
+    """Scores of (text, train) rows when every pair of a word and the word before it has one table, by a plain double loop."""
+    texts = [(words(t) + ["\n"], train) for t, train in rows]
+    steps = [list(zip(["\n", *w], w, strict=False)) for w, _ in texts]
+    pairs = collections.Counter(s for x, (_, train) in zip(steps, texts, strict=True) if train for s in x)
+    n = collections.Counter()
+    for (u, _), k in pairs.items():
+        n[u] += k
+    tables, customers = collections.Counter(u for u, _ in pairs), collections.Counter(w for _, w in pairs)
+
+    def rate(counts):
+        ones, twos = (sum(v == k for v in counts.values()) for k in (1, 2))
+        return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
+
+    d, e, v = rate(pairs), rate(customers), len(customers)
+
+    def p(u, w):
+        parent = (customers[w] - e * (w in customers) + (1 + e * v) / (v + 1)) / (1 + len(pairs))
+        return (pairs[u, w] - d * ((u, w) in pairs) + (1 + d * tables[u]) * parent) / (1 + n[u])
+
+    return [sum(math.log10(p(u, w)) for u, w in x) for x in steps]
+
+
+@pytest.mark.parametrize("bucket", [10**6, 700])
+def test_start_matches_plain_contexts(spark, monkeypatch, bucket):
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", bucket)
+    monkeypatch.setattr(pitman_yor, "CHUNK_TOKENS", 600)
+    rng = random.Random(5)
+    texts = [None, "", "one"] + [" ".join(rng.choice(["the", "the", "of", f"w{int(rng.paretovariate(0.7)) % 900}"])
+                                          for _ in range(rng.randrange(1, 80))) for _ in range(150)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    train = F.col("doc_id") % 4 != 1
+    if bucket == 700:
+        chunks = pitman_yor.token_chunks(frame(spark, rows).select("doc_id", "text", F.lit(True))).withColumn("chunk", F.lit(1))
+        assert 2 <= len(pitman_yor.frequent_words(chunks, 6000)) <= 12
+    out = {r.doc_id: r.score for r in pitman_yor.score(frame(spark, rows), train, sweeps=0).collect()}
+    want = plain_start([(t, i % 4 != 1) for i, t in enumerate(texts)])
+    assert [out[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-9)
+
+
+def test_each_preceding_word_is_a_context_of_its_own(spark, monkeypatch):
+    """300 words that each have one follower: more than any fixed number of classes keeps apart."""
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 9000)
+    rows = [(30 * i + k, f"a{i} b{i}", "en", "s", 0) for i in range(300) for k in range(31)]
+    out = pitman_yor.score(frame(spark, rows), F.col("doc_id") % 31 != 0).collect()
+    # log10 of 1 / 300 for the first word; its follower and the end are all but certain
+    assert min(r.score for r in out) > -math.log10(300) - 0.1
+
+
+def test_sweeps_of_many_buckets_agree_with_those_of_one(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randrange(20, 120), 60) + " the end the", "en", "s", 0) for i in range(120)]
+    total = {}
+    for bucket in (10**6, 600):
+        monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", bucket)
+        out = pitman_yor.score(frame(spark, rows), F.col("doc_id") % 5 != 1).collect()
+        total[bucket] = {held: sum(r.score for r in out if r.held_out == held) for held in (True, False)}
+    for held in (True, False):
+        assert total[600][held] == pytest.approx(total[10**6][held], rel=0.004)
+
+
 def labelled(n=600):
     rng = random.Random(6)
     rows, labels = [], []
