@@ -214,6 +214,41 @@ def test_repeated_passages_cover_all_shared_runs(spark):
     assert words(cut[107]) == []
 
 
+def test_pairs_verified_in_turns_give_the_same_passages(spark, monkeypatch):
+    written = []
+
+    class Counted(Scratch):
+        def table(self, df):
+            written.append(df)
+            return super().table(df)
+
+    shared = list(range(60))
+    rows = [(i, np.array([*range(1000 * i, 1000 * i + i), *shared], np.uint32).tobytes()) for i in range(1, 13)]
+    tokens = spark.createDataFrame([(i, bytearray(t)) for i, t in rows], "id long, tokens binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(1, 13) for b in range(1, a)], "a long, b long")
+    with Counted(spark) as scratch:
+        got = [sorted(map(tuple, substring_dedup.verified_in_turns(pairs, tokens, scratch).collect()))]
+        assert len(written) == 3  # 66 pairs of 12 documents, 24 at once
+        monkeypatch.setattr(substring_dedup, "TURN_PAIRS", 100)
+        got.append(sorted(map(tuple, substring_dedup.verified_in_turns(pairs, tokens, scratch).collect())))
+        assert len(written) == 4
+    assert got[0] == got[1] and len(got[0]) == 66 and got[0][0] == (2, 1, 2, 61, 1, 60)
+
+
+def test_pairs_below_the_bound_have_no_passages():
+    rng = np.random.default_rng(12)
+    docs = [rng.integers(0, 40, rng.integers(0, 160), dtype=np.uint32) for _ in range(30)] + [np.zeros(0, np.uint32)]
+    docs += [np.concatenate([docs[0], np.arange(100, 160, dtype=np.uint32)]), np.arange(90, 170, dtype=np.uint32)]
+    rows = sorted(((a, b) for a in range(len(docs)) for b in range(a)), key=lambda r: r[1])
+    column = lambda k: pa.array([docs[r[k]].tobytes() for r in rows], pa.binary())
+    (ta, fa), (tb, fb) = substring_dedup._tokens(column(0)), substring_dedup._tokens(column(1).slice(0))
+    bound = substring_dedup.common_bound(np.array([b for _, b in rows]), ta, fa, tb, fb)
+    for n, (a, b) in zip(bound, rows, strict=True):
+        assert n >= max(np.isin(docs[a], docs[b]).sum(), np.isin(docs[b], docs[a]).sum())
+        assert n >= 0.8 * substring_dedup.T or substring_dedup.passages(docs[a], docs[b]) == []
+    assert (bound < 0.8 * substring_dedup.T).any() and substring_dedup.passages(docs[-1], docs[-2])
+
+
 def test_no_passages(spark):
     rows = [(i, f"{i} " * 40, "en", "s", 0) for i in range(5)] + [(9, None, None, None, None)]
     assert substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).count() == 0
