@@ -47,6 +47,8 @@ SWEEPS, BURN, SINGLE = 4, 1, 32
 THETA, SEED = 1.0, 17
 #: Tokens of a chunk (more if one document has more), and of a bucket.
 CHUNK_TOKENS, BUCKET_TOKENS = 1_500_000, 1_000_000
+#: Bytes of rows that a task sends at once.
+BATCH_BYTES = 1 << 20
 #: A word with this part of a bucket's tokens is frequent.
 FREQUENT = 0.25
 END = np.uint64(0x5851F42D4C957F2D)
@@ -85,9 +87,12 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ranked = values[order]
     new = np.ones(len(values), bool)
     new[1:] = ranked[1:] != ranked[:-1]
+    ranked = ranked[new]
+    nth = np.cumsum(new, dtype=np.int32)
+    nth -= 1
     place = np.empty(len(values), np.int32)
-    place[order] = np.cumsum(new, dtype=np.int32) - 1
-    return ranked[new], place
+    place[order] = nth
+    return ranked, place
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -95,6 +100,21 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield tuple(c[i].as_py() for c in batch.columns)
+        del batch  # or it stays until the next one is there
+        pa.default_memory_pool().release_unused()
+
+
+def _batches(rows: Iterator[tuple], names: list[str], kinds: tuple) -> Iterator[pa.RecordBatch]:
+    """Rows, some of them large, in batches of about ``BATCH_BYTES`` of binary cells, so that few are held at once."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names=names)
 
 
 def _share(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -172,11 +192,17 @@ def frequent_words(chunks: DataFrame, tokens: int) -> np.ndarray:
 def _pairs(places: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, context, each token's pair): the distinct pairs of a word and the word before it, by their places in the chunk."""
     word = places[token]
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[np.cumsum(n) - n] = word[n[0] - 1]  # a text begins where another ended
-    pairs, inverse = _distinct(word.astype(np.int64) * len(places) + before)
-    return (pairs // len(places)).astype(np.int32), (pairs % len(places)).astype(np.int32), inverse
+    begin = np.cumsum(n) - n
+    first = word[begin].astype(np.int64) * len(places) + word[n[0] - 1]  # a text begins where another ended
+    pairs = word.astype(np.int64)
+    pairs *= len(places)
+    pairs[1:] += word[:-1]
+    pairs[begin] = first
+    del word
+    pairs, inverse = _distinct(pairs)
+    word = (pairs // len(places)).astype(np.int32)
+    pairs %= len(places)
+    return word, pairs.astype(np.int32), inverse
 
 
 def _number(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -193,9 +219,11 @@ def _dealt(home: np.ndarray, number: np.ndarray, word: np.ndarray, context: np.n
     ``home`` is the bucket of each word, ``number`` its number among the frequent words or -1.  Pairs of a frequent word
     are dealt by its number and the bucket of the context.
     """
-    number = number[word]
-    bucket = np.where(number < 0, home[word], (home[context] + number) % buckets)
-    order = np.argsort(bucket * 2 + (number >= 0), kind="stable")
+    home, number = home.astype(np.int32), number.astype(np.int32)[word]
+    wide = number >= 0
+    bucket = home[word]
+    bucket[wide] = (home[context[wide]] + number[wide]) % buckets
+    order = np.argsort(bucket * 2 + wide, kind="stable").astype(np.int32)
     return order, bucket[order], number[order]
 
 
@@ -203,28 +231,27 @@ def asks(chunks: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
     """(bucket, chunk, words, seen, sizes, contexts, counts): a chunk's words in a bucket and how often training has them;
     the pairs of each of these and of each frequent word, their contexts, and how often training has the pair."""
 
+    def asked(chunk: int, train: bytes, n: bytes, words: bytes, places: bytes, token: bytes) -> Iterator[tuple]:
+        n, words = np.frombuffer(n, np.int32), _hashes(words)
+        word, context, inverse = _pairs(_values(places), _values(token), n)
+        count = np.bincount(inverse[np.repeat(np.frombuffer(train, bool), n)], minlength=len(word))
+        del inverse, token
+        # pairs stand by word, and every word has one
+        seen = np.add.reduceat(count, np.flatnonzero(np.diff(word, prepend=-1)))
+        home = _share(words, buckets)
+        order, bucket, number = _dealt(home, _number(words, frequent), word, context, buckets)
+        held = np.unique(np.concatenate([home, bucket]))
+        for b, w0, w1, p0, p1 in zip(held.tolist(), np.searchsorted(home, held), np.searchsorted(home, held, "right"),
+                                     np.searchsorted(bucket, held), np.searchsorted(bucket, held, "right"), strict=True):
+            at = order[p0:p1]
+            own = np.where(number[p0:p1] < 0, word[at] - w0, w1 - w0 + number[p0:p1])
+            yield (b, chunk, words[w0:w1].tobytes(), _planes(seen[w0:w1]),
+                   _planes(np.bincount(own, minlength=w1 - w0 + len(frequent))), words[context[at]].tobytes(), _planes(count[at]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, train, n, words, places, token in _rows(batches):
-            n, words = np.frombuffer(n, np.int32), _hashes(words)
-            word, context, inverse = _pairs(_values(places), _values(token), n)
-            count = np.bincount(inverse, weights=np.repeat(np.frombuffer(train, np.uint8), n),
-                                minlength=len(word)).astype(np.int64)
-            seen = np.bincount(word, weights=count, minlength=len(words)).astype(np.int64)
-            home = _share(words, buckets)
-            order, bucket, number = _dealt(home, _number(words, frequent), word, context, buckets)
-            held = np.unique(np.concatenate([home, bucket]))
-            rows = []
-            for b, w0, w1, p0, p1 in zip(held, np.searchsorted(home, held), np.searchsorted(home, held, "right"),
-                                         np.searchsorted(bucket, held), np.searchsorted(bucket, held, "right"), strict=True):
-                at = order[p0:p1]
-                own = np.where(number[p0:p1] < 0, word[at] - w0, w1 - w0 + number[p0:p1])
-                rows.append((b, chunk, words[w0:w1].tobytes(), _planes(seen[w0:w1]),
-                             _planes(np.bincount(own, minlength=w1 - w0 + len(frequent))),
-                             words[context[at]].tobytes(), _planes(count[at])))
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                names=["bucket", "chunk", "words", "seen", "sizes", "contexts", "counts"])
+        for row in _rows(batches):
+            yield from _batches(asked(*row), ["bucket", "chunk", "words", "seen", "sizes", "contexts", "counts"],
+                                (pa.int64(), pa.int64(), *[pa.binary()] * 5))
 
     return chunks.select("chunk", "train", "n", "words", "places", "tokens").mapInArrow(
         run, "bucket bigint, chunk bigint, words binary, seen binary, sizes binary, contexts binary, counts binary")
@@ -651,21 +678,30 @@ def judged(chunks: DataFrame, replies: DataFrame, corpus: Corpus, history: list[
             order = _dealt(home, number, word, context, buckets)[0]
             count, tables = np.empty(len(word)), np.empty(len(word))
             count[order], tables[order] = joined(col["counts"]), joined(col["tables"])
-            p = count - corpus.discount * tables / len(kept)
+            del order
+            tables *= corpus.discount
+            tables /= len(kept)
+            count -= tables
+            p = count
             for t, customers, dishes, own in zip(kept, seats[0::3], seats[1::3], seats[2::3], strict=True):
                 parent = corpus.parent(customers, dishes, t)
-                p += (THETA + corpus.discount * own)[context] * parent[word] / len(kept)
-            logs = np.log10(p / (THETA + seen)[context])
-            c = seen[places[token]]
-            base = np.log10((c + 0.5) / (corpus.tokens + 0.5 * (corpus.words + 1)))
+                part = (THETA + corpus.discount * own)[context]
+                part *= parent[word]
+                part /= len(kept)
+                p += part
+            p /= (THETA + seen)[context]
+            logs = np.log10(p, out=p)
+            del tables, count, part, word, context
+            base = np.log10((seen + 0.5) / (corpus.tokens + 0.5 * (corpus.words + 1)))
+            token = places[token]
             begin = np.cumsum(n) - n
             total = lambda v: np.add.reduceat(v, begin)
             out.append(pa.table({
                 "doc_id": pa.array(row["ids"], pa.int64()),
                 "held_out": pa.array(np.frombuffer(row["train"], np.uint8) == 0),
-                "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(total((c > 0).astype(np.int64))),
+                "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(total((seen > 0).astype(np.int64)[token])),
                 "train_tokens": pa.array(np.full(len(n), corpus.tokens)),
-                "base_score": pa.array(total(base)), "score": pa.array(total(logs[inverse]))}))
+                "base_score": pa.array(total(base[token])), "score": pa.array(total(logs[inverse]))}))
         return pa.concat_tables(out)
 
     return chunks.select("chunk", "ids", "train", "n", "places", "tokens").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, SCORES)

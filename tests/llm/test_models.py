@@ -1,9 +1,11 @@
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,33 @@ def test_rows_that_repeat_an_id_stay_within_the_bound_of_the_fit(spark):
     given = spark.createDataFrame([(7, 1), (8, 0), (9, 0)], "doc_id long, quality int")
     got = quality.training_sample(frame(spark, rows), given, "doc_id", "text", "quality", 3).collect()
     assert sorted(r["__q_label"] for r in got) == [0, 0, 1] and {None, "other"} < {r.text for r in got}
+
+
+def test_asks_hold_little_of_a_chunk():
+    """A chunk's asks leave in small batches, and no more is held than a few arrays of its tokens."""
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+    rng, n = np.random.default_rng(3), 400_000
+    vocabulary = np.array([f"w{i}" for i in range(20_000)])
+    texts = [" ".join(vocabulary[x]) for x in np.array_split(rng.integers(0, len(vocabulary), n), 400)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([True] * len(texts))],
+                                      names=["id", "text", "train"])
+    frame = Frame()
+    pitman_yor.token_chunks(frame)
+    chunk = next(frame.run(iter([docs])))
+    pitman_yor.asks(frame, 4, np.zeros(0, np.uint64))
+    row = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *[chunk.column(c) for c in ("train", "n", "words", "places", "tokens")]],
+                                     names=["chunk", "train", "n", "words", "places", "tokens"])
+    tracemalloc.start()
+    most = max(batch.nbytes for batch in frame.run(iter([row])))
+    peak = tracemalloc.get_traced_memory()[1] / n
+    tracemalloc.stop()
+    assert most < 2 * pitman_yor.BATCH_BYTES, most
+    assert peak < 65, peak
