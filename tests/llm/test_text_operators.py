@@ -342,3 +342,45 @@ def test_every_occurrence_of_a_passage_is_matched(in_a, in_b):
     found = substring_dedup.passages(a, b)
     assert {f[:2] for f in found} == {(30 + 90 * k, 89 + 90 * k) for k in range(in_a)}
     assert {f[2:] for f in found} == {(30 + 90 * k, 89 + 90 * k) for k in range(in_b)}
+
+
+def common_line_documents():
+    """Token sequences of 70 documents around one line, 20 of which share a long frequent stretch and two a rare passage."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    line, stretch, passage = fresh(20), fresh(60), fresh(50)
+    docs = {i: np.concatenate([fresh(30), line, fresh(40)]) for i in range(1, 71)}
+    for i in range(30, 50):
+        docs[i] = np.concatenate([docs[i], stretch])
+    for i in (60, 66):
+        docs[i] = np.concatenate([passage, docs[i]])
+    return docs
+
+
+def test_a_common_line_does_not_bring_all_pairs_together(spark, monkeypatch):
+    docs, tested = common_line_documents(), []
+    verify = substring_dedup.verified_in_turns
+    monkeypatch.setattr(substring_dedup, "verified_in_turns",
+                        lambda pairs, *rest: (tested.extend(map(tuple, pairs.collect())), verify(pairs, *rest))[1])
+    active = spark.createDataFrame([(1, i, 30) for i in docs], "key bigint, id bigint, at int")
+    tokens = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in docs.items()], "id bigint, tokens binary")
+    with Scratch(spark) as scratch:
+        found = {(r.a, r.b) for r in substring_dedup.links(active, tokens, scratch).collect()}
+    assert found == {(a, b) for a in docs for b in range(1, a) if substring_dedup.passages(docs[a], docs[b])}
+    assert len(found) == 191 and len(tested) == len(set(tested)) <= 69 + 191  # of 2415 pairs
+
+
+def test_pairs_with_a_passage_are_near(spark):
+    rng = np.random.default_rng(14)
+    docs = common_line_documents()
+    for i in range(100, 130):  # few words, many repeats
+        docs[i] = rng.integers(0, 25, rng.integers(0, 200), dtype=np.uint32)
+    for i in range(130, 150):
+        docs[i] = np.concatenate([docs[i - 30], docs[i - 80][:60], rng.integers(0, 2**32, 9, dtype=np.uint32)])
+    tokens = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in docs.items()], "id bigint, tokens binary")
+    with Scratch(spark) as scratch:
+        rare, often = substring_dedup.near(tokens.where("id <> 149").select("id"), tokens, scratch)
+        rare, often = {tuple(r) for r in rare.collect()}, {r.id for r in often.collect()}
+    true = {(a, b) for a in docs for b in docs if b < a < 149 and substring_dedup.passages(docs[a], docs[b])}
+    assert len(true) > 200 and all(p in rare or set(p) <= often for p in true)
+    assert (66, 60) in rare and set(range(30, 50)) <= often and not often & {1, 60, 66}
