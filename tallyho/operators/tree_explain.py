@@ -34,6 +34,7 @@ from tallyho import spec
 from tallyho.operators.boosting import BoostedTreesModel
 from tallyho.operators.explain import rollup_attributions, top_factors
 from tallyho.operators.features import slot_table
+from tallyho.operators.forest import ForestModel
 from tallyho.session import delete_path, scratch_path
 
 #: Distinct features of a path up to which all patterns are tabulated at once; beyond, those that occur.
@@ -176,6 +177,9 @@ def saved_trees(spark, clf) -> list[TreeNodes]:
         start = TreeNodes(np.array([-1]), np.array([-1]), np.zeros(1, np.int64), np.zeros(1), np.array([clf.start]), np.ones(1), {}, 1.0)
         return [start, *(TreeNodes(t["left"], t["right"], t["feature"], t["threshold"], t["value"], t["cover"], {}, step)
                          for t in clf.trees)]
+    if isinstance(clf, ForestModel):
+        own = clf.trees
+        return [TreeNodes(t["left"], t["right"], t["feature"], t["threshold"], t["value"], t["cover"], {}, 1 / len(own)) for t in own]
     if not isinstance(clf, (GBTClassificationModel, RandomForestClassificationModel)):
         raise TypeError(f"tree attributions need a boosted or random forest model, got {type(clf).__name__}")
     path = scratch_path(spark, f"models/{uuid.uuid4().hex}")
