@@ -12,18 +12,22 @@ so a Gauss-Legendre rule of d / 2 points is exact.  It depends on a row only thr
 for each pattern and rows look it up.  Summed over leaves and trees (boosting: times the tree weight, in margin space;
 forest: averaged, in probability of class 1) plus the expected output, the attributions add up to the model's output.
 
+Neighbouring leaves of a tree are looked up together as a unit: a row's cell says between which of the unit's thresholds each
+feature is, and the unit's table has the sums of its leaves' values for each cell.  Units grow up the tree to ``CELLS`` cells.
+
 The node table (model-sized) is read from the fitted model and broadcast; rows are processed in Arrow batches, one
-vectorised step per leaf, never per row.
+vectorised step per unit, never per row.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
@@ -39,6 +43,8 @@ from tallyho.session import delete_path, scratch_path
 
 #: Distinct features of a path up to which all patterns are tabulated at once; beyond, those that occur.
 TABLE_FEATURES = 8
+#: Cells of a unit of leaves at most.
+CELLS = 512
 #: Bytes of such tables that a task keeps from one batch of rows to the next; further ones are made anew.
 TABLE_BYTES = 64 << 20
 #: Partitions for each core over which rows are dealt before they are explained.
@@ -78,7 +84,11 @@ class Leaf:
 
 
 def leaves(tree: TreeNodes) -> list[Leaf]:
-    out, todo = [], [(0, ())]
+    return list(leaves_by_node(tree).values())
+
+
+def leaves_by_node(tree: TreeNodes) -> dict[int, Leaf]:
+    out, todo = {}, [(0, ())]
     while todo:
         node, path = todo.pop()
         if tree.left[node] >= 0:
@@ -88,8 +98,8 @@ def leaves(tree: TreeNodes) -> list[Leaf]:
             continue
         features = sorted({int(tree.feature[n]) for n, _, _ in path})
         own = [[(n, side, share) for n, side, share in path if tree.feature[n] == f] for f in features]
-        out.append(Leaf(float(tree.value[node]), features, np.array([math.prod(s for _, _, s in steps) for steps in own]),
-                        [[(n, side) for n, side, _ in steps] for steps in own]))
+        out[node] = Leaf(float(tree.value[node]), features, np.array([math.prod(s for _, _, s in steps) for steps in own]),
+                         [[(n, side) for n, side, _ in steps] for steps in own])
     return out
 
 
@@ -116,57 +126,153 @@ def expected_output(trees: list[TreeNodes]) -> float:
     return float(sum(t.weight * leaf.value * math.prod(leaf.shares) for t in trees for leaf in leaves(t)))
 
 
+@dataclass
+class Unit:
+    """Leaves that are looked up together, the thresholds of each feature on their paths, and their categorical splits."""
+
+    leaves: list[Leaf]
+    cuts: dict[int, tuple[float, ...]]
+    groups: tuple[int, ...]
+    #: Distinct features of the paths, and what the bin of a feature (by the thresholds of all trees) adds to a row's cell.
+    features: list[int] = field(default_factory=list)
+    steps: list[tuple[int, np.ndarray]] = field(default_factory=list)
+
+    @property
+    def cells(self) -> int:
+        return math.prod(len(c) + 1 for c in self.cuts.values()) << len(self.groups)
+
+    def with_other(self, other: Unit) -> Unit:
+        cuts = {f: tuple(sorted({*self.cuts.get(f, ()), *other.cuts.get(f, ())})) for f in (*self.cuts, *other.cuts)}
+        return Unit(self.leaves + other.leaves, cuts, tuple(sorted({*self.groups, *other.groups})))
+
+
+def units(tree: TreeNodes) -> list[Unit]:
+    """The leaves of a tree in units; a leaf whose own path has more than ``CELLS`` cells is one alone."""
+    found: dict[int, list[Unit]] = {}
+    for number, leaf in leaves_by_node(tree).items():
+        nodes = [n for splits in leaf.splits for n, _ in splits]
+        cuts: dict[int, set[float]] = {}
+        for n in nodes:
+            if n not in tree.groups:
+                cuts.setdefault(int(tree.feature[n]), set()).add(float(tree.threshold[n]))
+        found[number] = [Unit([leaf], {f: tuple(sorted(c)) for f, c in cuts.items()}, tuple(sorted(n for n in nodes if n in tree.groups)))]
+    todo = [(0, False)]
+    while todo:  # children before their parents
+        n, seen = todo.pop()
+        if n in found:
+            continue
+        kids = int(tree.left[n]), int(tree.right[n])
+        if not seen:
+            todo += [(n, True), *((k, False) for k in kids)]
+            continue
+        one, two = (found.pop(k) for k in kids)
+        both = one[0].with_other(two[0]) if len(one) == len(two) == 1 else None
+        found[n] = [both] if both and both.cells <= CELLS else one + two
+    for unit in found[0]:
+        unit.features = sorted({f for leaf in unit.leaves for f in leaf.features})
+    return found[0]
+
+
 @dataclass
 class TreeTables:
-    """A tree, its leaves, and for each leaf its values by pattern or None."""
+    """A tree, its units of leaves, and for each unit its values by cell or None."""
 
     tree: TreeNodes
-    leaves: list[Leaf]
+    units: list[Unit]
     tables: list[np.ndarray | None]
 
 
+class Prepared(list):
+    """``TreeTables`` of the trees, and the thresholds of all of them by feature."""
+
+    cuts: dict[int, np.ndarray]
+
+
 def _table(tree: TreeNodes, leaf: Leaf, patterns: np.ndarray) -> np.ndarray:
     """(feature, pattern): attributions of a leaf."""
     return np.ascontiguousarray((tree.weight * leaf.value * pattern_values(leaf.shares, patterns)).T)
 
 
-def prepared(trees: list[TreeNodes]) -> list[TreeTables]:
-    """Leaves of the trees, with tables of up to ``TABLE_BYTES``."""
-    out, room = [], TABLE_BYTES
+def _codes(leaf: Leaf, goes: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """Pattern of each of ``n`` rows or cells: bit j if it passes all splits on feature j."""
+    code = np.zeros(n, np.int64)
+    for j, splits in enumerate(leaf.splits):
+        sides = [goes[node] if side else ~goes[node] for node, side in splits]
+        code |= (sides[0] if len(sides) == 1 else np.logical_and.reduce(sides)).astype(np.int64) << j
+    return code
+
+
+def _unit_table(tree: TreeNodes, unit: Unit) -> np.ndarray:
+    """(feature, cell): attributions of all leaves of a unit."""
+    cells, factor, goes = np.arange(unit.cells), 1, {}
+    state = {}
+    for f, cuts in unit.cuts.items():
+        state[f], factor = cells // factor % (len(cuts) + 1), factor * (len(cuts) + 1)
+    for n in unit.groups:
+        goes[n], factor = cells // factor % 2 == 1, factor * 2
+    for leaf in unit.leaves:
+        for n in (n for splits in leaf.splits for n, _ in splits if n not in goes):
+            f = int(tree.feature[n])
+            goes[n] = state[f] <= unit.cuts[f].index(float(tree.threshold[n]))
+    out, at = np.zeros((len(unit.features), len(cells))), {f: i for i, f in enumerate(unit.features)}
+    for leaf in unit.leaves:
+        code, d = _codes(leaf, goes, len(cells)), len(leaf.features)
+        if d > TABLE_FEATURES:
+            found, code = np.unique(code, return_inverse=True)
+        values = _table(tree, leaf, found if d > TABLE_FEATURES else np.arange(1 << d))
+        for j, f in enumerate(leaf.features):
+            out[at[f]] += values[j].take(code)
+    return out
+
+
+def prepared(trees: list[TreeNodes]) -> Prepared:
+    """Units of the trees' leaves, with tables of up to ``TABLE_BYTES``."""
+    out, room = Prepared(), TABLE_BYTES
+    found: dict[int, set[float]] = {}
+    for tree in trees:
+        for n in np.flatnonzero(tree.left >= 0):
+            if int(n) not in tree.groups:
+                found.setdefault(int(tree.feature[n]), set()).add(float(tree.threshold[n]))
+    out.cuts = {f: np.array(sorted(c)) for f, c in found.items()}
     for tree in trees:
-        own, tables = leaves(tree), []
-        for leaf in own:
-            d = len(leaf.features)
-            room -= d * 8 << d if 0 < d <= TABLE_FEATURES else 0
-            tables.append(_table(tree, leaf, np.arange(1 << d)) if 0 < d <= TABLE_FEATURES and room >= 0 else None)
+        own, tables = [u for u in units(tree) if u.features], []
+        for unit in own:
+            fits = unit.cells <= CELLS
+            room -= len(unit.features) * unit.cells * 8 if fits else 0
+            tables.append(_unit_table(tree, unit) if fits and room >= 0 else None)
+            factor = 1
+            for f, cuts in unit.cuts.items():
+                passed = np.zeros(len(out.cuts[f]) + 1, np.int64)
+                passed[np.searchsorted(out.cuts[f], cuts) + 1] = factor
+                unit.steps.append((f, passed.cumsum()))
+                factor *= len(cuts) + 1
         out.append(TreeTables(tree, own, tables))
     return out
 
 
-def shapley_values(trees: list[TreeNodes] | list[TreeTables], x: np.ndarray) -> np.ndarray:
+def shapley_values(trees: list[TreeNodes] | Prepared, x: np.ndarray) -> np.ndarray:
     """(rows, slots) attributions of encoded rows."""
-    out = np.zeros(x.shape[::-1])  # by slot, so that what a leaf adds to a slot is one run of memory
+    out = np.zeros(x.shape[::-1])  # by slot, so that what a unit adds to a slot is one run of memory
     x = np.asfortranarray(x)
-    for t in trees if trees and isinstance(trees[0], TreeTables) else prepared(trees):
-        goes = {int(n): t.tree.goes_left(int(n), x) for n in np.flatnonzero(t.tree.left >= 0)}
-        stays = {n: ~left for n, left in goes.items()}
-        for leaf, table in zip(t.leaves, t.tables, strict=True):
-            d = len(leaf.features)
-            if not d:
+    trees = trees if isinstance(trees, Prepared) else prepared(trees)
+    rank = {f: np.searchsorted(cuts, x[:, f]) for f, cuts in trees.cuts.items()}  # NaN goes right everywhere
+    cell, part, more = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.zeros(len(x))
+    for t in trees:
+        for unit, table in zip(t.units, t.tables, strict=True):
+            if unit.cells > CELLS:  # one leaf of a long path: the patterns that occur
+                leaf = unit.leaves[0]
+                goes = {n: t.tree.goes_left(n, x) for splits in leaf.splits for n, _ in splits}
+                found, at = np.unique(_codes(leaf, goes, len(x)), return_inverse=True)
+                for f, values in zip(leaf.features, _table(t.tree, leaf, found), strict=True):
+                    out[f] += values.take(at)
                 continue
-            code = np.zeros(len(x), np.uint8 if d <= TABLE_FEATURES else np.int64)
-            for j, splits in enumerate(leaf.splits):
-                sides = [goes[node] if side else stays[node] for node, side in splits]
-                passes = sides[0] if len(sides) == 1 else np.logical_and.reduce(sides)
-                code |= passes.astype(code.dtype) << code.dtype.type(j)
-            at = code
-            if d > TABLE_FEATURES:
-                found, at = np.unique(code, return_inverse=True)
-                table = _table(t.tree, leaf, found)
-            elif table is None:
-                table = _table(t.tree, leaf, np.arange(1 << d))
-            for j, f in enumerate(leaf.features):
-                out[f] += table[j].take(at)
+            cell[:] = 0
+            for f, passed in unit.steps:
+                cell += passed.take(rank[f], out=part, mode="clip")
+            for i, n in enumerate(unit.groups):
+                cell += t.tree.goes_left(n, x) * (unit.cells >> (len(unit.groups) - i))
+            for f, values in zip(unit.features, _unit_table(t.tree, unit) if table is None else table, strict=True):
+                out[f] += values.take(cell, out=more, mode="clip")
     return out.T
 
 
@@ -218,7 +324,7 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: list[str],
     spark = df.sparkSession
     trees = saved_trees(spark, model.stages[-1])
     bias = expected_output(trees)
-    bc = spark.sparkContext.broadcast(trees)
+    bc, key = spark.sparkContext.broadcast(trees), uuid.uuid4().hex
     # every row takes a step for each leaf of each tree: a file of a few MB, which is read as one partition, is dealt over all cores
     enc = PipelineModel(stages=model.stages[:-1]).transform(df.repartition(DEAL * spark.sparkContext.defaultParallelism))
     x = enc.select(*keep, vector_to_array("features").alias("_f"))
@@ -226,19 +332,31 @@ def tree_contributions(model: PipelineModel, df: DataFrame, keep: list[str],
                                T.StructField(name, T.ArrayType(T.DoubleType())),
                                T.StructField("bias", T.DoubleType())])
 
+    at = x.columns.index("_f")
+
     def fn(batches):
-        tables: list[TreeTables] = []
-        for pdf in batches:
-            if len(pdf) == 0:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            tables = tables or prepared(bc.value)
-            values = shapley_values(tables, np.stack(pdf["_f"].to_numpy()).astype(float))
-            out = pdf.drop(columns=["_f"])
-            out[name] = list(values)
-            out["bias"] = bias
-            yield out
-
-    return x.mapInPandas(fn, out_schema)
+            rows = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            values = shapley_values(_tables_of(key, bc), rows)
+            first = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(first), pa.array(np.ascontiguousarray(values).ravel()))
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), parts, pa.array(np.full(batch.num_rows, bias))],
+                                             names=[*(n for i, n in enumerate(batch.schema.names) if i != at), name, "bias"])
+
+    return x.mapInArrow(fn, out_schema)
+
+
+#: Tables of the model that this Python worker explained last, by key: its next task has them.
+_LAST: dict[str, Prepared] = {}
+
+
+def _tables_of(key: str, trees) -> Prepared:
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = prepared(trees.value)
+    return _LAST[key]
 
 
 def explain_trees(model: PipelineModel, df: DataFrame, keep: list[str], k: int = spec.TOP_FACTORS) -> DataFrame:
